@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe
+from quillstream.llm import byte_bpe, linear_text, secret_scan
+from quillstream.llm.shared import remainder
 from quillstream.session import table
 
 
+def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) of every document; learnt from labelled rows that are not held out."""
+    learn_if = remainder(F.col("doc_id"), 3) != 1
+    model = linear_text.train(linear_text.labelled_sample(documents, labels, "quality", learn_if))
+    return linear_text.score(documents, model)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -15,5 +30,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLES: dict[str, str] = {}
