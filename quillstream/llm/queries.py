@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, linear_text, secret_scan
+from quillstream.llm import byte_bpe, clause_grammar, linear_text, secret_scan
 from quillstream.llm.shared import remainder
 from quillstream.session import table
 
@@ -30,6 +30,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learn_if = remainder(F.col("doc_id"), 4) != 2
+    sample = linear_text.labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", learn_if, clause_grammar.SAMPLE_ROWS)
+    scored = clause_grammar.score(documents, clause_grammar.train(sample))
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
