@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, linear_text, secret_scan
-from quillstream.llm.shared import remainder
+from quillstream.llm import byte_bpe, clause_grammar, linear_text, metric_tree, secret_scan, warc_archive
+from quillstream.llm.oracles import ORACLES as ORACLES
+from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc_archive.write(warc_archive.with_revisits(table(spark, sf_dir, "pages")), folder)
+    return warc_archive.page_records(spark, folder)
+
+
+def op2_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) of every document; learnt from labelled rows that are not held out."""
     learn_if = remainder(F.col("doc_id"), 3) != 1
@@ -44,9 +55,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_archive": op1_warc_archive,
+    "op2_metric_tree": op2_metric_tree,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
