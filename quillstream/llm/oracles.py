@@ -30,3 +30,45 @@ SELECT query_id::BIGINT AS query_id,
        vec_id::BIGINT AS vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+ORACLES["op5_phrase_index"] = """
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM documents
+), i AS (
+    SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+), spots AS (
+    SELECT doc_id, size, s, array_to_string(list_slice(w, s, s + size - 1), ' ') AS phrase
+    FROM (SELECT d.*, z.size, unnest(range(1, greatest(len(w) - z.size + 1, 0) + 1)) AS s FROM d CROSS JOIN (SELECT DISTINCT size FROM windows) z)
+), hits AS (
+    SELECT doc_id, item_id, s, spots.size FROM spots JOIN windows ON spots.phrase = windows.phrase AND spots.size = windows.size
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES["op8_line_windows"] = """
+WITH d AS (SELECT doc_id, text, string_split(text, E'\\n') AS l FROM documents),
+w AS (
+    SELECT doc_id, s, array_to_string(list_slice(l, s, s + 2), E'\\n') AS h
+    FROM (SELECT *, unnest(range(1, len(l) - 1)) AS s FROM d WHERE len(l) >= 3)
+    WHERE trim(array_to_string(list_slice(l, s, s + 2), '')) <> ''
+), later AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS p FROM later),
+gone AS (SELECT doc_id, list(p) AS p, count(*) AS n FROM covered GROUP BY doc_id),
+kept AS (
+    SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, text,
+           array_to_string(list_filter(l, lambda x, i: NOT list_contains(coalesce(p, []), i)), E'\\n') AS after
+    FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, n_removed, sha256(coalesce(after, '')) AS kept_sha256 FROM kept
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, linear_text, metric_tree, secret_scan, warc_archive
+from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, secret_scan, warc_archive
 from quillstream.llm.oracles import ORACLES as ORACLES
 from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
@@ -34,6 +34,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +47,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_windows.dedupe(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     learn_if = remainder(F.col("doc_id"), 4) != 2
@@ -58,7 +69,9 @@ QUERIES = {
     "op1_warc_archive": op1_warc_archive,
     "op2_metric_tree": op2_metric_tree,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_phrase_index": op5_phrase_index,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_windows": op8_line_windows,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_secret_scan": op10_secret_scan,
 }
