@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, secret_scan, warc_archive
+from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prob_minhash, secret_scan, warc_archive
 from quillstream.llm.oracles import ORACLES as ORACLES
 from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
@@ -40,6 +40,10 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_metric_tree": op2_metric_tree,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_phrase_index": op5_phrase_index,
+    "op6_prob_minhash": op6_prob_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_line_windows": op8_line_windows,
     "op9_toxicity_grammar": op9_toxicity_grammar,
