@@ -163,25 +163,39 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return np.frombuffer(rows[0]["model"], np.float32) if rows else fit([], np.zeros(0))
 
 
+def _probabilities(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    b, slope, intercept = (float(x) for x in weights[SIZE:])
+    doc, f = indicators(*flat(column))
+    total = np.bincount(doc, weights[f], len(column))
+    number = np.maximum(np.bincount(doc, minlength=len(column)), 1)
+    return 1 / (1 + np.exp(-np.clip(slope * (total / np.sqrt(number) + b) + intercept, -500, 500)))
+
+
 def score(df: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``df`` as (id, score)."""
     sent = df.sparkSession.sparkContext.broadcast(np.asarray(model, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
-        b, slope, intercept = (float(x) for x in weights[SIZE:])
         for batch in batches:
             for part in slices(batch, text_col):
-                doc, f = indicators(*flat(part.column(1)))
-                total = np.bincount(doc, weights[f], part.num_rows)
-                number = np.maximum(np.bincount(doc, minlength=part.num_rows), 1)
-                z = slope * (total / np.sqrt(number) + b) + intercept
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_probabilities(part.column(1), sent.value))], names=[id_col, "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def accepted(df: DataFrame, model: np.ndarray, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose score is ``least`` or more."""
+    sent = df.sparkSession.sparkContext.broadcast(np.asarray(model, np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(_probabilities(part.column(part.schema.get_field_index(text_col)), sent.value) >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label_col: str, learn_if: Column, limit: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``limit`` labelled documents, those with the smallest hashed ids: (doc_id, text, label)."""
     ids = (

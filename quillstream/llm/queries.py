@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +22,15 @@ def op2_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) of every document; learnt from labelled rows that are not held out."""
+def quality_model(documents: DataFrame, labels: DataFrame) -> np.ndarray:
+    """The quality model of the labelled documents that are not held out."""
     learn_if = remainder(F.col("doc_id"), 3) != 1
-    model = linear_text.train(linear_text.labelled_sample(documents, labels, "quality", learn_if))
-    return linear_text.score(documents, model)
+    return linear_text.train(linear_text.labelled_sample(documents, labels, "quality", learn_if))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    documents = table(spark, sf_dir, "documents")
+    scored = linear_text.score(documents, quality_model(documents, table(spark, sf_dir, "labels")))
     held_out = remainder(F.col("doc_id"), 3) == 1
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
