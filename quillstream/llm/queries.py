@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prob_minhash, secret_scan, warc_archive
+from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prob_minhash, secret_scan, suffix_dedup, warc_archive
 from quillstream.llm.oracles import ORACLES as ORACLES
 from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
@@ -22,6 +22,10 @@ def op2_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def quality_model(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """The quality model of the labelled documents that are not held out."""
     learn_if = remainder(F.col("doc_id"), 3) != 1
@@ -73,6 +77,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_archive": op1_warc_archive,
     "op2_metric_tree": op2_metric_tree,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_phrase_index": op5_phrase_index,
     "op6_prob_minhash": op6_prob_minhash,
