@@ -201,32 +201,48 @@ def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60
     return t / scale
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Runs of rows of bounded size: their numbers, and the part of the column."""
+    start = 0
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
+        yield np.arange(start, start + part.num_rows), part.column(0)
+        start += part.num_rows
+
+
+def _beginnings(column: pa.Array, length: int) -> np.ndarray:
+    """Hashes of word beginnings of one length, each once a text."""
+    lower, starts, ends, text, _ = read_words(column)
+    fits = np.flatnonzero(ends - starts >= max(length, 3))
+    h, owner = beginning_hashes(lower, starts[fits], ends[fits], length), text[fits]
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    return h[np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])] if len(h) else h
+
+
 def learn_lexicon(column: pa.Array, labels: np.ndarray, least: int = 4, odds: float = 2.0) -> Lexicon:
     """The known stems, and beginnings of words that toxic texts have far more often than others.
 
-    Of texts that share their smallest word hash (copies, mostly) one is counted.
+    Of texts with one label that share their smallest word hash (copies, mostly) one is counted.
     """
-    lower, starts, ends, text, _ = read_words(column)
-    whole = beginning_hashes(lower, starts, ends, 0)
     smallest = np.full(len(column), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(smallest, text, whole)
-    order = np.lexsort((np.arange(len(column)), smallest))
-    one = np.ones(len(column), bool)
-    one[order[1:]] = (smallest[order][1:] != smallest[order][:-1]) | (labels[order][1:] != labels[order][:-1])
-    toxic, clean = float((one & (labels == 1)).sum()) + 2, float((one & (labels == 0)).sum()) + 2
+    for at, part in _pieces(column):
+        lower, starts, ends, text, _ = read_words(part)
+        np.minimum.at(smallest, at[text], beginning_hashes(lower, starts, ends, 0))
+    _, first = np.unique(np.stack([smallest, labels.astype(np.uint64)]), axis=1, return_index=True)
+    toxic, clean = (np.sort(first[labels[first] == x]) for x in (1, 0))
     found: dict[int, tuple[int, float]] = {}
     for length in LENGTHS:
-        fits = np.flatnonzero(one[text] & (ends - starts >= max(length, 3)))
-        h, owner = beginning_hashes(lower, starts[fits], ends[fits], length), text[fits]
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        once = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
-        h, owner = h[once], owner[once]
-        keys, number = np.unique(h, return_inverse=True)
-        in_toxic = np.bincount(number, labels[owner] == 1, len(keys))
-        in_clean = np.bincount(number, labels[owner] == 0, len(keys))
-        weight = np.log((in_toxic + 0.5) / toxic) - np.log((in_clean + 0.5) / clean) - np.sqrt(1 / (in_toxic + 0.5))
-        for k in np.flatnonzero((in_toxic >= least) & (weight >= odds)):
+        keys, in_toxic = np.unique(np.concatenate([_beginnings(part, length) for _, part in _pieces(column.take(pa.array(toxic)))]), return_counts=True)
+        keys, in_toxic = keys[in_toxic >= least], in_toxic[in_toxic >= least]
+        if not len(keys):
+            continue
+        in_clean = np.zeros(len(keys))
+        for _, part in _pieces(column.take(pa.array(clean))):
+            h = _beginnings(part, length)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            in_clean += np.bincount(at[keys[at] == h], minlength=len(keys))
+        weight = np.log((in_toxic + 0.5) / (len(toxic) + 2)) - np.log((in_clean + 0.5) / (len(clean) + 2)) - np.sqrt(1 / (in_toxic + 0.5))
+        for k in np.flatnonzero(weight >= odds):
             found[int(keys[k])] = (INSULT, float(weight[k]))
     best = sorted(found, key=lambda k: (-found[k][1], k))[:STEMS]
     known = Lexicon.known()
@@ -258,8 +274,9 @@ def fit(column: pa.Array, labels: np.ndarray) -> ToxicityModel:
     design = np.zeros((len(labels), _design(np.zeros((1, N_FEATURES))).shape[1]))
     for held in range(3):
         lexicon = learn_lexicon(column.filter(pa.array(part != held)), labels[part != held])
-        at = np.flatnonzero(part == held)
-        design[at] = _design(text_features(column.take(pa.array(at)), lexicon, grammar))
+        rows = np.flatnonzero(part == held)
+        for at, texts in _pieces(column.take(pa.array(rows))):
+            design[rows[at]] = _design(text_features(texts, lexicon, grammar))
     return ToxicityModel(learn_lexicon(column, labels), _logistic(design, labels.astype(float)))
 
 
