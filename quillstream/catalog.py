@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quillstream.plans import text_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (text_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
