@@ -421,8 +421,8 @@ def pages_until_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "basis_reasons",
     """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS reason FROM lineitem),
-    f AS (SELECT l_orderkey, reason, min(l_linenumber) AS line FROM r GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS k FROM f)
-    SELECT l_orderkey, string_agg(reason, ',' ORDER BY line) FILTER (k <= 2) AS reasons, greatest(count(*) - 2, 0)::BIGINT AS n_omitted FROM o GROUP BY l_orderkey""",
+    f AS (SELECT l_orderkey, reason, min(l_linenumber) AS line FROM r GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line, reason) AS k FROM f)
+    SELECT l_orderkey, string_agg(reason, ',' ORDER BY line, reason) FILTER (k <= 2) AS reasons, greatest(count(*) - 2, 0)::BIGINT AS n_omitted FROM o GROUP BY l_orderkey""",
 )
 def basis_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct reasons in first-seen order, two at most, and how many more there were."""
