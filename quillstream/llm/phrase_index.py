@@ -82,11 +82,11 @@ def alignments(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     postings = tokens(documents, id_col, text_col)
     beside = F.lower(F.get("w", F.col("pos") + F.col("shift")))
     met = postings.join(_maybe_broadcast(wanted, bound), "term").where(F.col("other").isNull() | (beside == F.col("other")))
-    steps = F.sequence(F.lit(1), F.lit(window - 1))
 
     def run(sign: int) -> Column:
-        same = lambda k: F.coalesce(plain(F.get("w", F.col("pos") + sign * k)) == F.get("iw", F.col("j") + sign * k), F.lit(False))
-        first_other = F.array_position(F.transform(steps, same), False)
+        """Equal words in a row beside the posting, written out so that no row ever carries the words of its text."""
+        same = [F.coalesce(plain(F.get("w", F.col("pos") + sign * k)) == F.get("iw", F.col("j") + sign * k), F.lit(False)) for k in range(1, window)]
+        first_other = F.array_position(F.array(*same), False)
         return F.when(first_other == 0, window - 1).otherwise(first_other - 1).cast("int")
 
     here = plain(F.get("w", F.col("pos"))) == F.get("iw", F.col("j"))

@@ -6,10 +6,12 @@ last register's first one are never made. Two texts agree in a register with the
 probability Jaccard similarity. Registers are banded; texts that share a band are candidates.
 
 Equal texts, as multisets of shingles, are one node from the start. In a band each node is verified
-with the band's smallest node; then pairs of one band that are still in different components are
-verified too, but for those that the triangle inequality (one minus this similarity is a metric)
-already rules out. So no group emits all its pairs, and no link between texts of a band is lost.
-Classes are the connected components of the links that reach the threshold.
+with the band's head; then pairs of one band that are still in different components are verified too,
+but for those that a bound already rules out: the triangle inequality (one minus this similarity is a
+metric), and, in bands of more than ``CROWD`` nodes, the shingles that a node shares with no other node
+of such a band. The head of such a band is the node with the smallest share of them, the most central
+one. So no group emits all its pairs, and no link between texts of a band is lost. Classes are the
+connected components of the links that reach the threshold.
 
 Defined results: the class id is the smallest document id of the class; texts without words (null,
 empty) and texts like no other are their own class; texts of fewer than five words are one shingle;
@@ -34,6 +36,8 @@ WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 64, 16
 #: Members that are verified with one copy of a band's smallest text.
 SHARE = 256
+#: Nodes from which on a band's pairs are bounded by their lone shingles.
+CROWD = 64
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,32 +201,114 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "head binary, member binary, sim double")
 
 
+def _lone_weights(texts: DataFrame, n_nodes: int) -> DataFrame:
+    """(node, total, lone, unit) of the given nodes: weight of all shingles, of those no other of the nodes has, and whether all count 1."""
+    n_buckets = max(1, n_nodes // 2000)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                nodes = part.column(0).to_pylist()
+                owner, s, weight = shingles(*flat(pa.array([tool.decompress(z) for z in part.column(1).to_pylist()], pa.large_binary())))
+                bucket = ((s >> np.uint64(8)) % np.uint64(n_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+                rows = []
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[k] : cuts[k + 1]]
+                    who, place = np.unique(owner[at], return_inverse=True)
+                    rows.append((k, b"".join(nodes[i] for i in who), place.astype(np.uint16).tobytes(), s[at].tobytes(), weight[at].astype(np.float32).tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "nodes", "places", "hashes", "weights"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if held:
+                names = np.concatenate([h[0] for h in held])
+                shift = np.concatenate([[0], np.cumsum([len(h[0]) for h in held])])[:-1]
+                place = np.concatenate([h[1].astype(np.int64) + k for h, k in zip(held, shift, strict=True)])
+                hashes, weights = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]).astype(float)
+                _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                lone = np.bincount(place, weights * (times[inverse] == 1), len(names))
+                total, most = np.bincount(place, weights, len(names)), np.zeros(len(names))
+                np.maximum.at(most, place, weights)
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in names], pa.binary()), pa.array(total), pa.array(lone), pa.array(most)], names=["node", "total", "lone", "most"])
+                held.clear()
+
+        for batch in batches:
+            for bucket, nodes, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from settle()
+                    now = bucket
+                held.append((np.frombuffer(nodes, np.dtype("V16")), *(np.frombuffer(x, t) for x, t in zip(raw, (np.uint16, np.uint64, np.float32), strict=True))))
+        yield from settle()
+
+    dealt = texts.select("node", "z").mapInArrow(deal, "bucket int, nodes binary, places binary, hashes binary, weights binary")
+    parts = dealt.repartition(min(n_buckets, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "node binary, total double, lone double, most double")
+    return parts.groupBy("node").agg(F.sum("total").alias("total"), F.sum("lone").alias("lone"), (F.max("most") <= 1).alias("unit"))
+
+
+def _may_link(threshold: float, a: str = "", b: str = "2"):
+    """Whether two nodes with known lone weights can reach the threshold at all; unknown ones can.
+
+    Of sets, at most the smaller shared part is common and the larger one with both lone parts is the union.
+    Of weighted ones, each term of the similarity is bounded with the lone shares of both, and the bound of the
+    sum follows as that function is concave and homogeneous.
+    """
+    col = lambda n, k: F.col(n + k)
+    s, t = col("total", a) - col("lone", a), col("total", b) - col("lone", b)
+    sets = F.least(s, t) >= threshold * (F.greatest(s, t) + col("lone", a) + col("lone", b)) - 1e-6
+    u, v = col("lone", a) / col("total", a), col("lone", b) / col("total", b)
+    top = (1 - u) * (1 - v)
+    weighted = F.least(top / ((1 - v) + v * (1 - u)), top / ((1 - u) + u * (1 - v))) >= threshold - 1e-9
+    both = col("total", a).isNotNull() & col("total", b).isNotNull()
+    return ~both | F.when(col("unit", a) & col("unit", b), sets).otherwise(F.coalesce(weighted, F.lit(False)))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) of every row."""
     sketches = written(sketch(df, id_col, text_col), "sketches")
     nodes = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    placed = written(banded.join(heads, "band"), "bands")
-    stars = placed.where("node <> head").select("head", F.col("node").alias("member")).distinct()
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    placed = written(banded.join(sizes, "band"), "bands")
     # The text of a node is that of its smallest document; of rows of one id, the one with that fingerprint.
     needed = placed.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("key"))
     packed = needed.join(_packed(df, id_col, text_col), "key").select("node", "z")
     texts = written(_right_text(packed), "texts")
+    crowd = written(placed.where(F.col("n") > CROWD).select("node").distinct(), "crowd")
+    n_crowd = crowd.count()
+    lone = written(_lone_weights(texts.join(crowd, "node", "left_semi"), n_crowd), "lone")
+    weighed = placed.join(lone, "node", "left").select("band", "node", *[F.when(F.col("n") > CROWD, F.col(c)).alias(c) for c in ("total", "lone", "unit")])
+    weighed = written(weighed, "weighed") if n_crowd else weighed
+    central = F.coalesce(F.col("lone") / F.col("total"), F.lit(0.0))
+    low = weighed.groupBy("band").agg(F.min(central).alias("low"))
+    heads = weighed.join(low, "band").where(central == F.col("low")).groupBy("band").agg(F.min("node").alias("head"))
+    heads = heads.join(weighed.select("band", F.col("node").alias("head"), *[F.col(c).alias(f"{c}2") for c in ("total", "lone", "unit")]), ["band", "head"])
+    headed = written(weighed.join(heads, "band"), "headed")
+    stars = headed.where((F.col("node") != F.col("head")) & _may_link(threshold)).select("head", F.col("node").alias("member")).distinct()
     first = written(_verify(stars, texts), "stars")
     links = first.where(F.col("sim") >= threshold).select(F.col("head").alias("u"), F.col("member").alias("v"))
     roots = components(links)
 
-    # Pairs of a band whose ends are still apart, less those that the triangle inequality rules out.
-    known = placed.join(first.select("head", F.col("member").alias("node"), "sim"), ["head", "node"], "left")
-    known = known.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), F.when(F.col("node") == F.col("head"), 1.0).otherwise(F.col("sim")).alias("sim"), (F.col("node") == F.col("head")).alias("is_head"))
+    # Pairs of a band whose ends are still apart, less those that a bound rules out.
+    known = headed.join(first.select("head", F.col("member").alias("node"), "sim"), ["head", "node"], "left")
+    weights = ("total", "lone", "unit")
+    known = known.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "sim", (F.col("node") == F.col("head")).alias("is_head"), *weights)
     split = known.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    open_ = known.join(split, "band").where(~F.col("is_head")).select("band", "node", "root", "sim")
-    other = open_.select("band", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sim").alias("sim2"))
-    apart = open_.join(other, "band").where((F.col("root") < F.col("root2")) & (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9))
+    open_ = known.join(split, "band").where(~F.col("is_head") & (F.col("total").isNull() | (F.col("lone") <= (1 - threshold) * F.col("total") + 1e-6))).drop("is_head")
+    open_ = written(open_, "open")
+    other = open_.select("band", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "sim", *weights)])
+    near = F.coalesce(F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9, F.lit(True))
+    apart = open_.join(other, "band").where((F.col("root") < F.col("root2")) & near & _may_link(threshold))
     pairs = written(apart.select(F.col("node").alias("head"), F.col("node2").alias("member")).distinct(), "pairs")
-    second = _verify(pairs, texts).where(F.col("sim") >= threshold).select(F.col("head").alias("u"), F.col("member").alias("v"))
-    second = written(second, "pairs")
+    second = written(_verify(pairs, texts).where(F.col("sim") >= threshold).select(F.col("head").alias("u"), F.col("member").alias("v")), "more")
     if not second.isEmpty():
         roots = components(links.unionByName(second))
 

@@ -123,23 +123,19 @@ def _key_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.
 
 
 _KEY_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("ids", "ths", "places", "keys", "flags"))])
-_DOC_SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("keys", pa.binary())])
 
 
 def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _by_document(ids: np.ndarray, ths: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((keys, ths, ids))
-    ids, ths, keys = ids[order], ths[order], keys[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])]))
-    ends = [*cuts[1:], len(ids)]
-    return _record([(int(ids[i]), int(ths[i]), keys[i:j].tobytes()) for i, j in zip(cuts, ends, strict=True)], _DOC_SCHEMA)
+def _key_batch(ids: np.ndarray, ths: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """A row for each document and key."""
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(keys.view(np.int64))], names=["id", "th", "key"])
 
 
 def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket: the documents (id, th, keys) of the keys that occur again."""
+    """From rows sorted by bucket: (id, th, key) of the documents of keys that occur again."""
     now, held = None, []
 
     def settle() -> Iterator[pa.RecordBatch]:
@@ -152,7 +148,7 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             # Entries flagged as repeating within their slice have told their documents there.
             at = np.repeat(again, np.diff(np.concatenate([begins, [len(keys)]]))) & (flags == 0)
             if at.any():
-                yield _by_document(ids[at], ths[at], keys[at])
+                yield _key_batch(ids[at], ths[at], keys[at])
             held.clear()
 
     for batch in batches:
@@ -160,7 +156,7 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ids, ths, places, keys = (np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.uint32, np.uint64), strict=False))
             ids, ths = ids[places], ths[places]
             if kind == 1:
-                yield _by_document(ids, ths, keys)
+                yield _key_batch(ids, ths, keys)
                 continue
             if bucket != now:
                 yield from settle()
@@ -220,7 +216,7 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator
         for start in range(0, batch.num_rows, 128):
             part = batch.slice(start, 128)
             texts = [unpack.decompress(z) for z in part.column(2).to_pylist()]
-            keys = np.unique(np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint64))
+            keys = np.unique(part.column(3).flatten().to_numpy().view(np.uint64))
             ids, ths = part.column(0).to_pylist(), part.column(1).to_pylist()
             data, off = flat(pa.array(texts, pa.large_binary()))
             first, end, key, text, _ = stretches(data, off)
@@ -270,8 +266,9 @@ def suffix_array(words8: np.ndarray, mark: int = 64) -> tuple[np.ndarray, np.nda
         if h == mark:
             deep[order[open_]] = True
         at, group = order[open_], slot[open_]
-        behind = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
-        by = np.argsort((group << 31) + behind + 1)
+        # Of suffixes that end within h bytes the shorter comes first; zeros beyond the end decide nothing.
+        behind = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1 - at)
+        by = np.argsort(group * (2 * n) + behind + n)
         at, behind = at[by], behind[by]
         order[open_] = at
         fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])])
@@ -296,7 +293,7 @@ def _equal_bytes(words8: np.ndarray, p: np.ndarray, q: np.ndarray, done: np.ndar
         step[x >= np.uint64(1 << 56)] = 0
         out[at] += step
         at = at[step == 8]
-    return np.minimum(out, cap)
+    return np.minimum(np.minimum(out, cap), n - np.maximum(p, q))
 
 
 def common_prefixes(words8: np.ndarray, p: np.ndarray, before: np.ndarray, cap: int = LENGTH, lane: int = 64) -> np.ndarray:
@@ -507,10 +504,10 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
 
     keyed = rows.select("id", "th", "text").mapInArrow(lambda b: _key_rows(b, n_keys), _KEYS)
     dealt = keyed.repartition(slots(n_keys), "bucket").sortWithinPartitions("bucket")
-    again = dealt.mapInArrow(_repeated_keys, "id long, th long, keys binary")
+    again = dealt.mapInArrow(_repeated_keys, "id long, th long, key long")
     # A document's keys come from many buckets; only the first of equal texts goes on.
     heads = base.join(first, (base["sha"] == first["sha"]) & (base["id"] == first["first_id"])).select("id", "th").distinct()
-    keys_of = again.groupBy("id", "th").agg(F.array_join(F.transform(F.collect_list("keys"), lambda k: F.hex(k)), "").alias("h")).select("id", "th", F.unhex("h").alias("keys"))
+    keys_of = again.groupBy("id", "th").agg(F.collect_list("key").alias("keys"))
     packed = rows.select("id", "th", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_packed, "id long, th long, z binary")
     candidates = written(packed.join(keys_of.join(heads, ["id", "th"], "left_semi"), ["id", "th"]).dropDuplicates(["id", "th"]), "candidates")
 
