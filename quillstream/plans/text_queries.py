@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.functions import web
-from quillstream.operators import admission
+from quillstream.operators import admission, titles
 from quillstream.operators.admission import Corridor, Holding, RuleConfig
 from quillstream.session import table
 
@@ -293,7 +293,10 @@ def evidence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE shared / least(len(ga), len(gb)) >= 0.65 AND shared / (len(ga) + len(gb) - shared) >= 0.45 END""",
 )
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of one language that begin alike; equal titles are compared once, by their distinct cores."""
+    """Titles of one language that begin alike and whose cores have 8 to 60 characters, as the SQL has it; equal titles are compared once.
+
+    ``near_duplicate_titles_whole`` has no such bounds.
+    """
     cores = items(spark, sf_dir).select("doc_id", "lang", T.title_core(F.col("title")).alias("core")).where(F.length("core").between(8, 60))
     kinds = cores.select("lang", "core", F.substring("core", 1, 4).alias("block")).distinct()
     a, b = kinds.select("lang", "block", F.col("core").alias("x")), kinds.select("lang", "block", F.col("core").alias("y"))
@@ -302,3 +305,17 @@ def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = cores.select("lang", F.col("core").alias("y"), F.col("doc_id").alias("d2"))
     pairs = alike.join(one, ["lang", "x"]).join(two, ["lang", "y"]).where((F.col("x") != F.col("y")) | (F.col("d1") < F.col("d2")))
     return pairs.select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b"))
+
+
+@query(
+    "near_duplicate_titles_whole",
+    r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(upper(replace(string_split(coalesce(text, ''), E'\n')[1], 'ß', 'SS')), '\d+(?:\.\d+)?%?', '', 'g'), '[^\p{L}\p{N}]+', '', 'g') AS core FROM documents),
+    c AS (SELECT core, min(doc_id) AS head, CASE WHEN length(core) < 2 THEN [core] ELSE list_distinct(list_transform(range(1, length(core)), lambda k: substr(core, k, 2))) END AS grams FROM t WHERE core <> '' GROUP BY core),
+    p AS (SELECT a.head AS h, b.head AS i, a.core AS x, b.core AS y, a.grams AS ga, b.grams AS gb, len(list_intersect(a.grams, b.grams)) AS shared FROM c a JOIN c b ON a.core < b.core)
+    SELECT least(h, i) AS doc_a, greatest(h, i) AS doc_b, 'similar' AS relation FROM p WHERE CASE WHEN contains(x, y) OR contains(y, x) THEN least(length(x), length(y)) >= 8
+        ELSE shared / least(len(ga), len(gb)) >= 0.65 AND shared / (len(ga) + len(gb) - shared) >= 0.45 END
+    UNION ALL SELECT head, doc_id, CASE WHEN length(core) < 8 THEN 'short' ELSE 'equal' END FROM t JOIN c USING (core) WHERE doc_id <> head""",
+)
+def near_duplicate_titles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All titles against all, of any length, beginning and language; see titles.near_duplicates."""
+    return titles.near_duplicates(items(spark, sf_dir), "doc_id", "title")
