@@ -8,6 +8,8 @@ bounded size. Each shard gets a suffix array by Larsson-Sadakane refinement (ran
 sorting only the groups that are still open) and common prefixes by Kasai's inequality; windows whose
 neighbours share ``LENGTH`` bytes are one class. Shards of a bucket are merged by binary search of the
 windows of one in the sorted windows of the other. A window is removed if its class starts earlier.
+Buckets of over ``HOT`` bytes are counted first and go no such way: each of their windows is a row with
+a digest of its bytes, and the first place of each digest is an aggregate, so no task holds a bucket.
 
 Texts that equal an earlier one are settled by their digest, and equal stretches of a task by a table,
 before anything is sent, so a text or passage that fills a third of the table costs its task little.
@@ -34,6 +36,8 @@ from quillstream.llm.shared import written
 LENGTH, KMER = 100, 24
 #: Bytes of text for each bucket of keys and each bucket of stretches, and of a shard's stretches at most.
 KEY_BUCKET, STRETCH_BUCKET, SHARD = 32 << 20, 4 << 20, 4 << 20
+#: Bytes of stretches, copies included, from which a bucket is dealt by single windows.
+HOT = 4 * SHARD
 _LAST = 2**63 - 1
 
 
@@ -184,11 +188,66 @@ def _collapse(strings: list[bytes], ids: list[int], ths: list[int], starts: list
     return list(first.values()), later
 
 
-def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """From (id, th, z, keys): the stretches of repeating keys by bucket; of equal ones of a task all but the first are settled (kind 1)."""
+def _found(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[tuple]:
+    """From (id, th, z, keys), 128 documents at a time: ids, hashes, bytes and offsets, and (begin, end, text, bucket) of the stretches of repeating keys."""
     import zstandard
 
-    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 128):
+            part = batch.slice(start, 128)
+            texts = [unpack.decompress(z) for z in part.column(2).to_pylist()]
+            keys = np.unique(part.column(3).flatten().to_numpy().view(np.uint64))
+            data, off = flat(pa.array(texts, pa.large_binary()))
+            first, end, key, text, _ = stretches(data, off)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key) if len(keys) else np.zeros(0, np.int64)
+            bucket = ((key[at] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist(), data, off, first[at], end[at], text[at], bucket
+
+
+def _bucket_sizes(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of a task: the bytes of its stretches."""
+    total = np.zeros(n_buckets, np.int64)
+    for *_, first, end, _, bucket in _found(batches, n_buckets):
+        np.add.at(total, bucket, end - first + LENGTH - 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "size"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: list[int]) -> Iterator[pa.RecordBatch]:
+    """(digest, id, th, begin) of each window of the buckets ``hot``."""
+    names = ["digest", "id", "th", "begin"]
+    for ids, ths, data, off, first, end, text, bucket in _found(batches, n_buckets):
+        raw = data.tobytes()
+        at = np.flatnonzero(np.isin(bucket, hot))
+        # Runs of stretches with about 64 K windows, or one stretch.
+        count = np.cumsum(end[at] - first[at]) >> 16
+        for run in np.split(at, np.flatnonzero(np.diff(count)) + 1) if len(at) else ():
+            place = np.concatenate([np.arange(a, b) for a, b in zip(first[run], end[run], strict=True)])
+            of = np.repeat(text[run], end[run] - first[run])
+            digest = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in place.tolist()]
+            columns = (pa.array(digest, pa.binary()), pa.array(np.array(ids, np.int64)[of]), pa.array(np.array(ths, np.int64)[of]), pa.array(place - off[of], pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=names)
+
+
+def _hot_buckets(candidates: DataFrame, n_buckets: int) -> list[int]:
+    sizes = candidates.mapInArrow(lambda b: _bucket_sizes(b, n_buckets), "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+    return [r.bucket for r in sizes.where(F.col("size") > HOT).collect()]
+
+
+def _hot_spans(candidates: DataFrame, n_buckets: int, hot: list[int]) -> DataFrame:
+    """Removed ranges (id, th, begin, end) of the buckets ``hot``, one for each window that is found earlier."""
+    windows = written(candidates.mapInArrow(lambda b: _window_rows(b, n_buckets, hot), "digest binary, id long, th long, begin long"), "windows")
+    heads = windows.groupBy("digest").agg(F.min(F.struct("id", "begin")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(heads, "digest").where(F.struct("id", "begin") > F.col("head"))
+    return later.select("id", "th", "begin", (F.col("begin") + LENGTH).alias("end"))
+
+
+def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: list[int]) -> Iterator[pa.RecordBatch]:
+    """From (id, th, z, keys): the stretches of repeating keys by bucket, but for the buckets ``hot``; of equal ones of a task all but the first are settled (kind 1)."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
     held: list[tuple[bytes, int, int, int, int]] = []
     size = 0
 
@@ -212,23 +271,15 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator
         yield _record(rows, _STRETCH_SCHEMA)
         held.clear()
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, 128):
-            part = batch.slice(start, 128)
-            texts = [unpack.decompress(z) for z in part.column(2).to_pylist()]
-            keys = np.unique(part.column(3).flatten().to_numpy().view(np.uint64))
-            ids, ths = part.column(0).to_pylist(), part.column(1).to_pylist()
-            data, off = flat(pa.array(texts, pa.large_binary()))
-            first, end, key, text, _ = stretches(data, off)
-            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key) if len(keys) else []
-            bucket = ((key >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
-            raw = data.tobytes()
-            for a, b, t, k in zip(first[at].tolist(), end[at].tolist(), text[at].tolist(), bucket[at].tolist(), strict=True):
-                held.append((raw[a : b + LENGTH - 1], ids[t], ths[t], a - int(off[t]), k))
-                size += b - a + LENGTH - 1
-            if size > 8 * SHARD:
-                yield from settle()
-                size = 0
+    for ids, ths, data, off, first, end, text, bucket in _found(batches, n_buckets):
+        raw = data.tobytes()
+        at = np.flatnonzero(~np.isin(bucket, hot))
+        for a, b, t, k in zip(first[at].tolist(), end[at].tolist(), text[at].tolist(), bucket[at].tolist(), strict=True):
+            held.append((raw[a : b + LENGTH - 1], ids[t], ths[t], a - int(off[t]), k))
+            size += b - a + LENGTH - 1
+        if size > 8 * SHARD:
+            yield from settle()
+            size = 0
     yield from settle()
 
 
@@ -511,8 +562,11 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     packed = rows.select("id", "th", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_packed, "id long, th long, z binary")
     candidates = written(packed.join(keys_of.join(heads, ["id", "th"], "left_semi"), ["id", "th"]).dropDuplicates(["id", "th"]), "candidates")
 
-    made = candidates.select("id", "th", "z", "keys").mapInArrow(lambda b: _stretch_rows(b, n_stretches), "bucket int, kind int, ids binary, ths binary, starts binary, sizes binary, z binary")
+    found = candidates.select("id", "th", "z", "keys")
+    hot = _hot_buckets(found, n_stretches)
+    made = found.mapInArrow(lambda b: _stretch_rows(b, n_stretches, hot), "bucket int, kind int, ids binary, ths binary, starts binary, sizes binary, z binary")
     spans = made.repartition(slots(n_stretches), "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_spans, "id long, th long, begin long, end long")
+    spans = spans.union(_hot_spans(found, n_stretches, hot)) if hot else spans
     ranges = spans.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = candidates.select("id", "th", "z").join(ranges, ["id", "th"]).mapInArrow(_cut, "id long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = cut if with_text else cut.drop("kept").withColumn("kept", F.lit(None).cast("binary"))
