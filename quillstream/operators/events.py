@@ -1,15 +1,41 @@
 """Ordered event operators: look-back suppression, fact sets, failure streaks and alerts, feedback folds.
 
-A fold needs the events of one key in order. Keys here are one user, source or item with its own
-bounded history; each fold is an aggregate over the sorted array of its key's events, inside the JVM.
+A fold needs the events of one key in order. Rows are dealt by key and sorted in their partitions, which
+Spark does with spilling, and pass through the fold one by one: it holds the state of one key, and every
+event is its own row, however long a key's history is. Events of one key still pass through one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], used: Sequence[str], start: Callable, step: Callable, made: dict[str, str]) -> DataFrame:
+    """``rows`` with the columns ``made``: ``step(state, *used) -> (state, values)`` over each key's rows in order, from ``start()``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    # The window deals and sorts; the sort after it costs nothing where that order holds.
+    marked = rows.withColumn("_first", F.row_number().over(w) == 1).sortWithinPartitions(*keys, *order)
+    read = ["_first", *used]
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            out = []
+            for first, *values in zip(*(batch.column(c).to_pylist() for c in read), strict=True):
+                state, told = step(start() if first else state, *values)
+                out.append(told)
+            columns = zip(*out, strict=True) if out else [()] * len(made)
+            arrays = [pa.array(c, kinds[k]) for c, k in zip(columns, made.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *made])
+
+    schema = StructType([*marked.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in made.items())).fields])
+    return marked.mapInArrow(fold, schema)
 
 
 def look_back(events: DataFrame, keys: Sequence[str], at: str, event_id: str, minutes: int | Column) -> DataFrame:
@@ -20,21 +46,15 @@ def look_back(events: DataFrame, keys: Sequence[str], at: str, event_id: str, mi
     """
     span = (F.lit(minutes) if isinstance(minutes, int) else minutes).cast("long") * 60_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    entry = F.struct(micros.alias("t"), F.col(event_id).alias("id"), span.alias("span"), F.col(at).alias("at"))
-    listed = events.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    state = "struct<anchor:bigint,out:array<struct<id:bigint,duplicate:boolean,anchor:bigint>>>"
-    start = F.expr("cast(null as bigint)")
-    empty = F.struct(start.alias("anchor"), F.array().alias("out")).cast(state)
+    rows = events.where(F.col(at).isNotNull()).select(*keys, event_id, at, micros.alias("_t"), span.alias("_span"))
 
-    def step(s: Column, e: Column) -> Column:
-        covered = F.coalesce(e["t"] - s["anchor"] <= e["span"], F.lit(False))
-        anchor = F.when(covered, s["anchor"]).otherwise(e["t"])
-        mark = F.struct(e["id"].cast("bigint").alias("id"), covered.alias("duplicate"), anchor.alias("anchor"))
-        return F.struct(anchor.alias("anchor"), F.array_append(s["out"], mark).alias("out")).cast(state)
+    def step(anchor: int | None, t: int, span: int | None) -> tuple:
+        covered = anchor is not None and span is not None and t - anchor <= span
+        anchor = anchor if covered else t
+        return anchor, (covered, anchor)
 
-    folded = listed.select(*keys, "_e", F.aggregate("_e", empty, step, lambda s: s["out"]).alias("_o"))
-    rows = folded.select(*keys, F.explode(F.arrays_zip("_e", "_o")).alias("r"))
-    return rows.select(*keys, F.col("r._e.id").alias(event_id), F.col("r._e.at").alias(at), F.col("r._o.duplicate").alias("duplicate"), F.timestamp_micros("r._o.anchor").alias("anchor"))
+    done = _folded(rows, keys, ["_t", event_id, "_span"], ["_t", "_span"], lambda: None, step, {"duplicate": "boolean", "_anchor": "bigint"})
+    return done.select(*keys, event_id, at, "duplicate", F.timestamp_micros("_anchor").alias("anchor"))
 
 
 def fact_set_duplicates(facts: DataFrame, item: str, key: str, at: str, minutes: int) -> DataFrame:
@@ -64,23 +84,19 @@ def alerts(log: DataFrame, keys: Sequence[str], at: str, event_id: str, failed:
     A recovery is told if the streak that ended had reached the threshold, an alert was sent before, and
     the cooldown has passed since.
     """
-    entry = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(event_id).cast("bigint").alias("id"), failed.alias("f"), F.col(at).alias("at"))
-    listed = log.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    state = "struct<n:int,last:bigint,out:array<string>>"
-    empty = F.struct(F.lit(0).alias("n"), F.expr("cast(null as bigint)").alias("last"), F.array().alias("out")).cast(state)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = log.select(*keys, F.col(event_id).cast("bigint").alias(event_id), at, micros.alias("_t"), failed.alias("_f"))
     wait = cooldown_minutes * 60_000_000
 
-    def step(s: Column, e: Column) -> Column:
-        n = F.when(e["f"], s["n"] + 1).otherwise(0)
-        cool = F.coalesce(e["t"] - s["last"] >= wait, F.lit(True))
-        alert = e["f"] & (n >= threshold) & cool
-        recovery = ~e["f"] & (s["n"] >= threshold) & s["last"].isNotNull() & cool
-        kind = F.when(alert, "failure").when(recovery, "recovery").otherwise("")
-        return F.struct(n.alias("n"), F.when(alert, e["t"]).otherwise(s["last"]).alias("last"), F.array_append(s["out"], kind).alias("out")).cast(state)
+    def step(state: tuple, t: int | None, bad: bool | None) -> tuple:
+        n, last = state
+        cool = last is None or t is None or t - last >= wait
+        alert = bool(bad) and n + 1 >= threshold and cool
+        recovery = bad is False and n >= threshold and last is not None and cool
+        return (n + 1 if bad else 0, t if alert else last), ("failure" if alert else "recovery" if recovery else "",)
 
-    folded = listed.select(*keys, "_e", F.aggregate("_e", empty, step, lambda s: s["out"]).alias("_k"))
-    rows = folded.select(*keys, F.explode(F.arrays_zip("_e", "_k")).alias("r")).where("r._k <> ''")
-    return rows.select(*keys, F.col("r._e.id").alias(event_id), F.col("r._e.at").alias(at), F.col("r._k").alias("kind"))
+    done = _folded(rows, keys, ["_t", event_id, "_f"], ["_t", "_f"], lambda: (0, None), step, {"kind": "string"})
+    return done.where("kind <> ''").select(*keys, event_id, at, "kind")
 
 
 LABELS = ("high_value", "duplicate", "invalid")
@@ -94,23 +110,21 @@ def feedback_state(clicks: DataFrame, keys: Sequence[str], order: Sequence[str],
     one count for nothing, which the order of events expresses already.
     """
     once = clicks.dropDuplicates([event_id])
-    entry = F.struct(*[F.col(c) for c in order], F.col(event_id).alias("_id"), F.col(label).alias("_l"), F.coalesce(F.col(reasons), F.array().cast("array<string>")).alias("_r"))
-    listed = once.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_e"), F.max_by(event_id, F.struct(*order, event_id)).alias("last_id"))
-    state = "struct<active:array<string>,tags:array<string>>"
-    empty = F.struct(F.array().alias("active"), F.array().alias("tags")).cast(state)
-
-    def step(s: Column, e: Column) -> Column:
-        tags = F.array_distinct(F.filter(F.transform(e["_r"], F.trim), lambda x: x != ""))
-        has = F.array_contains(s["active"], e["_l"])
-        only_set = (e["_l"] == "invalid") & (F.size(tags) > 0)
-        active = F.when(has & ~only_set, F.array_remove(s["active"], e["_l"])).when(has, s["active"]).otherwise(F.array_append(s["active"], e["_l"]))
-        still = F.array_contains(active, "invalid")
-        kept = F.when(~still, F.array().cast("array<string>")).when(e["_l"] == "invalid", tags).otherwise(s["tags"])
-        return F.struct(active.alias("active"), kept.alias("tags")).cast(state)
-
-    done = listed.select(*keys, "last_id", F.aggregate("_e", empty, step).alias("s"))
-    ordered = F.filter(F.array(*[F.lit(x) for x in LABELS]), lambda x: F.array_contains(F.col("s.active"), x))
-    return done.select(*keys, ordered.alias("active_labels"), F.col("s.tags").alias("reason_tags"), "last_id")
+    tags = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(reasons), F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    rows = once.withColumn("_tags", tags).withColumn("_set", F.coalesce((F.col(label) == "invalid") & (F.size("_tags") > 0), F.lit(False)))
+    place = F.struct(*order, event_id)
+    w = Window.partitionBy(*keys, label).orderBy(*order, event_id).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_n", F.sum((~F.col("_set")).cast("long")).over(w))
+    # Active is what the last setting click left, turned by each toggle after it.
+    by = counted.groupBy(*keys, F.col(label).alias("_l")).agg(
+        F.max("_n").alias("n"), F.max_by("_n", F.when(F.col("_set"), place)).alias("at_set"), F.max_by("_tags", place).alias("tags"), F.max(place).alias("last")
+    )
+    active = F.when(F.col("at_set").isNull(), F.col("n") % 2 == 1).otherwise((F.col("n") - F.col("at_set")) % 2 == 0)
+    is_on = lambda x: F.coalesce(F.bool_or(active & (F.col("_l") == x)), F.lit(False))
+    done = by.groupBy(*keys).agg(*[is_on(x).alias(f"_on{k}") for k, x in enumerate(LABELS)], F.max_by("tags", F.when(F.col("_l") == "invalid", F.col("last"))).alias("_tags"), F.max("last").alias("_last"))
+    labels = F.array_compact(F.array(*[F.when(F.col(f"_on{k}"), F.lit(x)) for k, x in enumerate(LABELS)]))
+    kept = F.when(F.col(f"_on{LABELS.index('invalid')}"), F.col("_tags")).otherwise(F.array().cast("array<string>"))
+    return done.select(*keys, labels.alias("active_labels"), kept.alias("reason_tags"), F.col("_last")[event_id].alias("last_id"))
 
 
 def quality(delivered: DataFrame, group: Column, labels: str, low_sample: int = 5) -> DataFrame:
