@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -181,19 +182,53 @@ def near_brute(rows, threshold=0.8):
             if bags[i] and bags[j] and sim(bags[i], bags[j]) >= threshold:
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
-    return {(i, t): min((rows[k][0] for k in range(len(rows)) if group[k] == group[n] and rows[k][0] is not None), default=None) for n, (i, t) in enumerate(rows)}
+    heads = [min((rows[k][0] for k in range(len(rows)) if group[k] == group[n] and rows[k][0] is not None), default=None) for n in range(len(rows))]
+    return group, heads
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_classes_equal_brute_force(spark, crowd, monkeypatch):
-    monkeypatch.setattr(prob_minhash, "CROWD", crowd)
-    df = documents(spark).where("coalesce(doc_id, 0) <> 64")
-    want = near_brute(plain(df))
-    got = prob_minhash.classes(df).join(df.select("doc_id", "text").distinct(), "doc_id").collect()
-    assert all(r.class_id == want[r.doc_id, r.text] for r in got)
+@pytest.mark.parametrize("block", [128, 3])
+def test_classes_equal_brute_force(spark, block, monkeypatch):
+    """Null and repeated ids, long texts and texts without words included; blocks of any size give the same."""
+    monkeypatch.setattr(prob_minhash, "BLOCK", block)
+    df = documents(spark)
+    rows = plain(df)
+    _, heads = near_brute(rows)
+    got = prob_minhash.classes(df).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, class_id={h})" for (i, _), h in zip(rows, heads, strict=True))
     assert prob_minhash.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_null_ids_are_members(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(5, text), (None, text + " more"), (None, text + " more"), (None, "quite another text of some words"), (6, None), (None, ""), (6, None)]
+    got = prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, class_id={c})" for i, c in [(5, 5), (None, 5), (None, 5), (None, None), (6, 6), (None, None), (6, 6)])
+
+
+def test_first_of_classes(spark):
+    """One row of each class: repeated rows of one id and text are one, an id's other text is judged by itself, wordless rows stay."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(6, text, 2), (6, text, 1), (7, text, 0), (7, "a text of its own here", 0), (8, text + " more", 0), (None, text, 0), (None, "only here, without an id", 0), (9, None, 1), (9, None, 2)]
+    got = prob_minhash.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string, copy int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(6, text, 1), (7, "a text of its own here", 0), (None, "only here, without an id", 0), (9, None, 1), (9, None, 2)], key=str)
+
+
+def test_crowd_of_near_copies(spark, monkeypatch):
+    """A hundred copies of one text with changed words, most farther than 0.8 from each other."""
+    monkeypatch.setattr(prob_minhash, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"word{k}" for k in range(45)]
+    rows = []
+    for i in range(100):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    _, heads = near_brute(rows)
+    got = dict(prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got[i] == h for (i, _), h in zip(rows, heads, strict=True)) >= 0.98 * len(rows)
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(4)
     s = rng.integers(0, 2**63, 300).astype(np.uint64)
