@@ -6,8 +6,8 @@ last register's first one are never made. Two texts agree in a register with the
 probability Jaccard similarity. Registers are banded; texts that share a band are candidates.
 
 Equal texts, as multisets of shingles, are one node from the start. In a band each node is verified
-with the band's smallest node, which joins most copies. Nodes of a band that are still in different
-components get ``FINE`` registers, whose agreement estimates the similarity, and meet in blocks of about
+with the band's smallest node; where that does not join all, with the node of the band that most such heads
+are linked to, a central one, which joins most copies. Nodes of a band that are still in different components get ``FINE`` registers, whose agreement estimates the similarity, and meet in blocks of about
 ``BLOCK`` nodes; only pairs whose estimate is within three standard deviations of the threshold, or above,
 are made at all and verified, each in the first band that it shares. So a group of near copies gives a
 row for each block pair and for each likely link between components, never one for each pair. Classes
@@ -260,6 +260,18 @@ def _likely(open_: DataFrame, threshold: float) -> DataFrame:
     return met.mapInArrow(run, "head binary, member binary")
 
 
+def _central(placed: DataFrame, links: DataFrame, stars: DataFrame) -> DataFrame:
+    """(head, member), less those of ``stars``: the nodes of each band that its head is not linked to all of, with its most linked node."""
+    degree = links.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("degree"))
+    linked = links.select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("linked"))
+    marked = placed.join(linked, ["head", "node"], "left").join(degree, "node", "left")
+    best = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node"))
+    bands = marked.groupBy("band").agg(best.alias("centre"), F.bool_and(F.coalesce("linked", F.col("node") == F.col("head"))).alias("whole"), F.count("*").alias("n"))
+    around = placed.join(bands.where("NOT whole AND n > 2").select("band", "centre"), "band").where("node <> centre")
+    pairs = around.select(F.least("centre", "node").alias("head"), F.greatest("centre", "node").alias("member")).distinct()
+    return pairs.join(stars, ["head", "member"], "left_anti")
+
+
 def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, copy, class_id, class_copy, class_node) of every row; ``copy`` is xxhash64 of the text.
 
@@ -279,6 +291,9 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     stars = placed.where("node <> head").select("head", F.col("node").alias("member")).distinct()
     links = written(_verify(stars, texts, threshold), "stars")
+    central = written(_central(placed, links, stars), "central")
+    links = links.unionByName(written(_verify(central, texts, threshold), "central-links"))
+    stars = stars.unionByName(central)
     roots = components(links)
 
     # Nodes of bands whose nodes are not all in one component.
