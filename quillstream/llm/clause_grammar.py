@@ -2,12 +2,12 @@
 
 Five small transducers are composed into one. The lexicon transducer reads a word and writes one of
 the symbols insult, threat, target, negation, report or other with a weight; it is a set of stems,
-known ones and ones learnt from labelled texts by their log-odds. The negation, report and target
-transducers read those symbols left to right in a clause and change the weight of what they match:
-a negated or reported insult counts less, one next to a target more. The threat transducer wants a
-threat and a target in one clause. A text's score is a logistic function of its clause scores.
+known ones and ones learnt from labelled texts by their log-odds. The negation and report transducers, composed, read those symbols left to right in a clause: a negated or
+reported insult counts less. The target and threat transducers, composed, read it in both directions, and
+the larger weight holds: an insult next to a target counts more, and a threat counts in full only with a
+target in its clause, before it or after it. A text's score is a logistic function of its clause scores.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hashed id; scoring reads
+The fit uses at most ``SAMPLE_ROWS`` labelled rows (see linear_text.labelled_sample); scoring reads
 every whole text. The grammar that is sent to the tasks has at most ``STEMS`` learnt stems.
 
 Defined results: a null or empty text has no clauses and gets the score of no match; rows without a
@@ -38,7 +38,7 @@ KNOWN = {
     INSULT: "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk imbecile abruti crétin débile ordure idiota estúpido imbécil basura trottel dummkopf abschaum",
     THREAT: "kill hurt destroy beat stab shoot burn tuer frapper détruire matar golpear destruir töten schlagen zerstören",
     TARGET: "you your yourself they them he she him her vous toi tu ils elle usted ustedes ellos ella du dich ihr euch sie",
-    NEGATION: "not no never nor don't isn't aren't wasn't ne pas jamais ni nunca jamás nicht kein keine nie",
+    NEGATION: "not no never nor cannot ne pas jamais ni nunca jamás nicht kein keine nie",
     REPORT: "said says told wrote called quoted reported according claimed dit écrit selon dijo según escribió sagte schrieb laut",
 }
 WEIGHTS = {INSULT: 3.0, THREAT: 2.5, TARGET: 0.0, NEGATION: 0.0, REPORT: 0.0, OTHER: 0.0}
@@ -81,20 +81,38 @@ def reported_speech(factor: float = 0.4) -> Transducer:
 
 
 def aimed_insult(reach: int = 4, factor: float = 1.5) -> Transducer:
-    """An insult up to ``reach`` words after a target weighs more."""
+    """An insult up to ``reach`` words from a target, in the direction of reading, weighs more."""
     return _loop(reach + 1, lambda s, x: (reach, x, 1.0) if x == TARGET else (max(s - 1, 0), x, factor if s and x == INSULT else 1.0))
 
 
 def threat_pattern() -> Transducer:
-    """A threat counts in full with a target before it in the clause, else by a third."""
+    """A threat counts in full once a target was read in the clause, else by a third."""
     return _loop(2, lambda s, x: (1, x, 1.0) if x == TARGET else (s, x, 1.0 if s or x != THREAT else 1 / 3))
 
 
-def clause_grammar() -> Transducer:
-    grammar = negation_scope()
-    for part in (reported_speech(), aimed_insult(), threat_pattern()):
-        grammar = grammar.compose(part)
-    return grammar
+@dataclass(frozen=True)
+class Grammar:
+    """What is read left to right (``attitude``), and what is read in both directions (``aim``)."""
+
+    attitude: Transducer
+    aim: Transducer
+
+    def factors(self, clause: list[int]) -> list[float]:
+        """The factor of each symbol of a clause."""
+
+        def run(machine: Transducer, symbols: list[int]) -> list[float]:
+            state, out = 0, []
+            for symbol in symbols:
+                state, _, factor = machine.step[state][symbol]
+                out.append(factor)
+            return out
+
+        back = run(self.aim, clause[::-1])[::-1]
+        return [a * max(x, y) for a, x, y in zip(run(self.attitude, clause), run(self.aim, clause), back, strict=True)]
+
+
+def clause_grammar() -> Grammar:
+    return Grammar(negation_scope().compose(reported_speech()), aimed_insult().compose(threat_pattern()))
 
 
 @dataclass
@@ -146,35 +164,50 @@ _STOPS[list(b".!?;\n|")] = True
 
 
 def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case bytes, starts, ends, text and clause number of each word."""
+    """Lower-case bytes, starts, ends, text and clause number of each word; A-Z and the Latin-1 capitals are lowered."""
     data, off = flat(column)
     _, text, starts, ends = words(data, off)
     stops = np.concatenate([[0], np.cumsum(_STOPS[data])])
-    return LOWER[data], starts, ends, text, stops[starts]
+    lower = LOWER[data]
+    # UTF-8 of U+00C0 to U+00DE is C3 80 to C3 9E, and 97 there is the multiplication sign.
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    lower[capital] += 32
+    return lower, starts, ends, text, stops[starts]
+
+
+def contracted(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words are the end of a contracted negation: t after an apostrophe (don't), n before one (n'est), or a word ending in ’t."""
+    padded = np.concatenate([[0, 0, 0, 0], lower, [0]]).astype(np.uint8)  # lower[k] is padded[k + 4]
+    one = ends - starts == 1
+    cut = one & (lower[starts] == ord("t")) & (padded[starts + 3] == 39) | one & (lower[starts] == ord("n")) & (padded[ends + 4] == 39)
+    curly = ends - starts > 4
+    for k, byte in enumerate((0xE2, 0x80, 0x99, ord("t"))):
+        curly &= padded[ends + k] == byte
+    return cut | curly
 
 
 #: Features of a text: total and greatest clause score, total less what its length would bring by chance, and log length.
 N_FEATURES = 4
 
 
-def text_features(column: pa.Array, lexicon: Lexicon, grammar: Transducer) -> np.ndarray:
+def text_features(column: pa.Array, lexicon: Lexicon, grammar: Grammar) -> np.ndarray:
     lower, starts, ends, text, clause = read_words(column)
     out = np.zeros((len(column), N_FEATURES))
     n_words = np.bincount(text, minlength=len(column)).astype(float)
     symbols, weights = lexicon.read(lower, starts, ends)
+    symbols[contracted(lower, starts, ends)] = NEGATION
     place = np.stack([text, clause]) if len(text) else np.zeros((2, 0), np.int64)
     fresh = np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(0)]) if len(text) else np.zeros(0, bool)
     number = np.cumsum(fresh) - 1
     heavy = np.zeros(number[-1] + 1 if len(number) else 0, bool)
     heavy[number[(symbols == INSULT) | (symbols == THREAT)]] = True
     kept = np.flatnonzero(heavy[number]) if len(number) else np.zeros(0, np.int64)
-    state, step = 0, grammar.step
     scores: dict[int, float] = {}
-    for i, first, symbol, weight in zip(kept.tolist(), fresh[kept].tolist(), symbols[kept].tolist(), weights[kept].tolist(), strict=True):
-        state, written, factor = step[0 if first else state][symbol]
-        if written in (INSULT, THREAT):
-            c = int(number[i])
-            scores[c] = scores.get(c, 0.0) + weight * factor
+    cuts = np.flatnonzero(np.concatenate([[True], number[kept][1:] != number[kept][:-1], [True]])).tolist() if len(kept) else []
+    read, weighed = symbols[kept].tolist(), weights[kept].tolist()
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        clause = read[i:j]
+        scores[int(number[kept[i]])] = sum(w * f for x, w, f in zip(clause, weighed[i:j], grammar.factors(clause), strict=True) if x in (INSULT, THREAT))
     if scores:
         which = text[np.flatnonzero(fresh)[list(scores)]]
         values = np.array(list(scores.values()))
@@ -222,13 +255,15 @@ def _beginnings(column: pa.Array, length: int) -> np.ndarray:
 def learn_lexicon(column: pa.Array, labels: np.ndarray, least: int = 4, odds: float = 2.0) -> Lexicon:
     """The known stems, and beginnings of words that toxic texts have far more often than others.
 
-    Of texts with one label that share their smallest word hash (copies, mostly) one is counted.
+    Of texts with one label and one set of words one is counted.
     """
-    smallest = np.full(len(column), np.iinfo(np.uint64).max, np.uint64)
+    sets = np.zeros(len(column), np.uint64)
     for at, part in _pieces(column):
         lower, starts, ends, text, _ = read_words(part)
-        np.minimum.at(smallest, at[text], beginning_hashes(lower, starts, ends, 0))
-    _, first = np.unique(np.stack([smallest, labels.astype(np.uint64)]), axis=1, return_index=True)
+        pairs = np.unique(np.stack([text.astype(np.uint64), beginning_hashes(lower, starts, ends, 0)]), axis=1)
+        with np.errstate(over="ignore"):
+            np.add.at(sets, at[pairs[0].astype(np.int64)], mix(pairs[1] + np.uint64(7)))
+    _, first = np.unique(np.stack([sets, labels.astype(np.uint64)]), axis=1, return_index=True)
     toxic, clean = (np.sort(first[labels[first] == x]) for x in (1, 0))
     found: dict[int, tuple[int, float]] = {}
     for length in LENGTHS:

@@ -27,6 +27,8 @@ from quillstream.llm.arrow_text import CLASSES, LOWER, flat, mix, runs, slices,
 
 #: Labelled rows that a fit reads at most.
 SAMPLE_ROWS = 6000
+#: Characters of a text that is learnt from, at most; every text is scored.
+SAMPLE_CHARS = 200_000
 WORD_BITS, SHAPE_BITS = 18, 12
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 
@@ -196,11 +198,15 @@ def accepted(df: DataFrame, model: np.ndarray, least: float = 0.5, text_col: str
     return df.mapInArrow(run, df.schema)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label_col: str, learn_if: Column, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``limit`` labelled documents, those with the smallest hashed ids: (doc_id, text, label)."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, label_col: str, learn_if: Column, limit: int = SAMPLE_ROWS, longest: int = SAMPLE_CHARS) -> DataFrame:
+    """At most ``limit`` labelled documents of at most ``longest`` characters, those with the smallest hashed ids: (doc_id, text, label).
+
+    Repeated rows of one id and text count once, so that neither rows nor bytes of the sample can outgrow the bounds.
+    """
     ids = (
         labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & learn_if)
         .groupBy("doc_id").agg(F.max(label_col).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= longest)
+    return rows.dropDuplicates(["doc_id", "text"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(limit)
