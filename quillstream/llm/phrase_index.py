@@ -7,7 +7,10 @@ anything is stored, so lists of frequent terms are never written. For what is le
 is measured to both sides of the posting, and the stored rows are alignments of an item with a text.
 
 Both passes look test terms up in a broadcast table if there are at most ``BROADCAST_TERMS`` of them
-(which is counted), and in a shuffled join beyond.
+(which is counted), and in a shuffled join beyond. An anchor carries the words of its item beside it, at
+most ``2 * window - 1``; where postings are shuffled they carry as many of their text, never all words.
+Postings of the test terms are thus met as they stream by and not stored; ``postings`` and ``proximity``
+are the stored form, for searches that come back to one index.
 
 Defined results: null texts and texts without words have no words and no hits; an item of fewer than
 ten words is one window, one without words is none; rows of one id and text get equal results; an
@@ -38,6 +41,11 @@ def plain(word: Column) -> Column:
     return F.translate(word, _UPPER, _LOWER)
 
 
+def _beside(words_col: str, place: str, window: int) -> Column:
+    """The words around a place, which is then at ``window - 1``; null where the text has none."""
+    return F.transform(F.sequence(F.lit(1 - window), F.lit(window - 1)), lambda k: F.get(words_col, F.col(place) + k))
+
+
 def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_TERMS else df
 
@@ -55,24 +63,25 @@ def anchors(documents: DataFrame, items: DataFrame, id_col: str, text_col: str,
     rarest term of one such window and its offset from ``j``. Windows with a term that the corpus lacks are left out.
     """
     listed = items.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("version"), F.transform(words(F.col(item_text_col)), plain).alias("iw")).where(F.size("iw") > 0).distinct()
-    placed = listed.select("item", "version", "iw", F.posexplode("iw").alias("j", "word")).withColumn("term", F.lower("word"))
+    placed = listed.select("item", "version", "iw", F.size("iw").alias("n_iw"), F.posexplode("iw").alias("j", "word"))
+    placed = placed.select("item", "version", _beside("iw", "j", window).alias("iw"), "n_iw", "j", F.lower("word").alias("term"))
     placed = written(placed, "test-terms")
     vocabulary = placed.select("term").distinct()
     n_terms = placed.count()
     counts = tokens(documents, id_col, text_col).select("term").join(_maybe_broadcast(vocabulary, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     counts = written(counts, "test-term-counts")
     known = placed.join(_maybe_broadcast(counts, n_terms), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    size = F.least(F.size("iw"), F.lit(window))
-    begins = F.explode(F.sequence(F.greatest(F.col("j") - size + 1, F.lit(0)), F.least(F.col("j"), F.size("iw") - size))).alias("s")
-    spread = known.select("item", "version", "iw", "j", "term", "n", begins)
+    size = F.least(F.col("n_iw"), F.lit(window))
+    begins = F.explode(F.sequence(F.greatest(F.col("j") - size + 1, F.lit(0)), F.least(F.col("j"), F.col("n_iw") - size))).alias("s")
+    spread = known.select("item", "version", "iw", "n_iw", "j", "term", "n", begins)
     order = Window.partitionBy("item", "version", "s").orderBy("n", "j")
     ranked = spread.withColumn("r", F.row_number().over(order)).where("r <= 2")
     each = ranked.groupBy("item", "version", "s").agg(
-        F.min("n").alias("least"), F.first("iw").alias("iw"),
+        F.min("n").alias("least"), F.first("n_iw").alias("n_iw"), F.max(F.when(F.col("r") == 1, F.col("iw"))).alias("iw"),
         F.max(F.when(F.col("r") == 1, F.col("j"))).alias("j"), F.max(F.when(F.col("r") == 1, F.col("term"))).alias("term"),
         F.max(F.when(F.col("r") == 2, F.col("j"))).alias("j2"), F.max(F.when(F.col("r") == 2, F.col("term"))).alias("other"),
     ).where("least > 0")
-    wanted = each.select("term", "item", "iw", "j", F.least(F.size("iw"), F.lit(window)).alias("size"), "other", (F.col("j2") - F.col("j")).alias("shift")).distinct()
+    wanted = each.select("term", "item", "iw", "j", F.least(F.col("n_iw"), F.lit(window)).alias("size"), "other", (F.col("j2") - F.col("j")).alias("shift")).distinct()
     return written(wanted, "anchors"), n_terms * window
 
 
@@ -80,16 +89,20 @@ def alignments(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """Stored rows (key, copy, item, begin, end): word ranges of texts, each made of whole windows of the item."""
     wanted, bound = anchors(documents, items, id_col, text_col, item_col, item_text_col, window)
     postings = tokens(documents, id_col, text_col)
-    beside = F.lower(F.get("w", F.col("pos") + F.col("shift")))
+    if bound > BROADCAST_TERMS:  # these rows are shuffled
+        postings = postings.withColumn("w", _beside("w", "pos", window)).withColumn("at", F.lit(window - 1))
+    else:
+        postings = postings.withColumn("at", F.col("pos"))
+    beside = F.lower(F.get("w", F.col("at") + F.col("shift")))
     met = postings.join(_maybe_broadcast(wanted, bound), "term").where(F.col("other").isNull() | (beside == F.col("other")))
 
     def run(sign: int) -> Column:
         """Equal words in a row beside the posting, written out so that no row ever carries the words of its text."""
-        same = [F.coalesce(plain(F.get("w", F.col("pos") + sign * k)) == F.get("iw", F.col("j") + sign * k), F.lit(False)) for k in range(1, window)]
+        same = [F.coalesce(plain(F.get("w", F.col("at") + sign * k)) == F.get("iw", F.lit(window - 1 + sign * k)), F.lit(False)) for k in range(1, window)]
         first_other = F.array_position(F.array(*same), False)
         return F.when(first_other == 0, window - 1).otherwise(first_other - 1).cast("int")
 
-    here = plain(F.get("w", F.col("pos"))) == F.get("iw", F.col("j"))
+    here = plain(F.get("w", F.col("at"))) == F.get("iw", F.lit(window - 1))
     measured = met.where(here).select("key", "copy", "item", "pos", "size", run(-1).alias("left"), run(1).alias("right"))
     exact = measured.where(F.col("left") + F.col("right") + 1 >= F.col("size"))
     return written(exact.select("key", "copy", "item", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("right") + 1).alias("end")), "alignments")
