@@ -129,7 +129,10 @@ def _doc_spans(raw: bytes, keys: list[tuple[int, int]]) -> list[tuple[int, int,
     for s, e in sorted(keys):
         while at < len(ends) and ends[at][1] <= s:
             at += 1
-        if not any(a < e and s < b for a, b in ends[at:]):
+        k, free = at, True
+        while free and k < len(ends) and ends[k][0] < e:
+            free, k = ends[k][1] <= s, k + 1
+        if free:
             last.append((s, 3, e))
     return sorted(spans + last)
 

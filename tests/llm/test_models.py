@@ -116,3 +116,30 @@ def test_composition_is_sequential():
             states[k], symbol, x = part.step[states[k]][symbol]
             want *= x
         assert written == symbol and factor == pytest.approx(want)
+
+
+def _clause_score(text):
+    return float(G.text_features(column(text), G.Lexicon.known(), G.clause_grammar())[0, 0])
+
+
+def test_threats_and_targets_in_both_orders():
+    bare = _clause_score("kill")
+    assert _clause_score("i will kill you") == _clause_score("you i will kill") == 3 * bare
+    assert _clause_score("kill. you") == bare
+    assert _clause_score("you are an idiot") == _clause_score("what an idiot you are") > _clause_score("what an idiot")
+
+
+def test_negations_and_reports():
+    plain_score = _clause_score("be an idiot")
+    for text in ("don't be an idiot", "don\u2019t be an idiot", "n'est idiot", "not an idiot"):
+        assert 0 < _clause_score(text) < plain_score
+    assert 0 < _clause_score("the critic called it idiot") < plain_score
+    assert _clause_score("DÉBILE") == _clause_score("débile") > 0
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 50 + [(1, f"other {k}") for k in range(50)] + [(2, "x" * 300), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert L.labelled_sample(docs, labels, "quality", F.lit(True), 7).count() <= 7
+    rows = L.labelled_sample(docs, labels, "quality", F.lit(True), 1000, 200).collect()
+    assert len(rows) == 52 and {r.doc_id for r in rows} == {1, 3}
