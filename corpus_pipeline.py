@@ -2,8 +2,8 @@
 
 Quality classifier, line de-duplication, near-duplicate removal, benchmark decontamination, byte-level
 BPE. Every stage but the last returns the columns of ``documents``; each is written as Parquet and read
-again. Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns have the
-results that the operators define.
+again. Nulls, empty and very long texts, ties, empty tables and extra columns have the results that the
+operators define; of repeated rows of one id and text the third stage keeps one, but for those without words.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("benchmark_decontamination", decontaminate), ("byte_bpe", tokens)]
 
-#: The classifier and the hashes of the sketches are beyond SQL; tests/llm holds run() against a brute-force version.
+#: The classifier and the hashes of the sketches are beyond SQL; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
