@@ -41,7 +41,7 @@ REGISTERS, BANDS = 64, 16
 #: Members that are verified with one copy of a head's text.
 SHARE = 256
 #: Nodes of a band that are compared at once, and the registers that they are compared by.
-BLOCK, FINE = 128, 512
+BLOCK, FINE = 128, 1024
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
