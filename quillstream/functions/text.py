@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Sentence ends that close a sentence wherever they stand.
 SENTENCE_END = "[。！？!?；;]"
 QUOTE_CHARS = 300
+#: Characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def text_of(column: Column) -> Column:
@@ -19,7 +21,7 @@ def text_of(column: Column) -> Column:
 
 def strip(column: Column) -> Column:
     """Trim any Unicode white space, not only blanks."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    return F.btrim(column, F.lit(WHITE_SPACE))
 
 
 def collapse(column: Column) -> Column:
@@ -71,8 +73,9 @@ def dedupe_key(source: Column, item_id: Column, url: Column, content_type: Colum
 
 def sentences(column: Column) -> Column:
     """Sentences by closing marks and line ends, trimmed, none empty."""
-    cut = F.split(text_of(column), f"(?<={SENTENCE_END})|\\n+")
-    return F.filter(F.transform(cut, strip), lambda x: x != "")
+    # White space beside a cut goes with it, so only the ends of the whole text are left to trim.
+    cut = F.split(strip(text_of(column)), rf"(?U)\s*\n\s*|(?<={SENTENCE_END})\s*")
+    return F.filter(cut, lambda x: x != "")
 
 
 def evidence_units(column: Column) -> Column:
@@ -88,15 +91,52 @@ def evidence_segments(column: Column, prefix: str, most: int = QUOTE_CHARS) -> C
     return F.transform(chunks, lambda x, i: F.struct(F.concat(F.lit(prefix), (i + 1).cast("string")).alias("id"), x.alias("text")))
 
 
+_ASCII_TERM = r"[a-z0-9_.+-]+"
+
+
+def lowered(column: Column) -> Column:
+    return F.lower(text_of(column))
+
+
+def term_in(low: Column, term: str) -> Column:
+    """contains_term on a text that is in lower case already."""
+    return any_in(low, [term])
+
+
+def any_in(low: Column, terms: Sequence[str]) -> Column:
+    """Whether a text in lower case has any of the terms: one pattern for all that need boundaries, plain searches for the others."""
+    wanted = list(dict.fromkeys(t.casefold().strip() for t in terms))
+    bounded = [t for t in wanted if re.fullmatch(_ASCII_TERM, t)]
+    out, near = F.lit(False), F.lit(False)
+    for term in wanted:
+        if term in bounded:
+            near = near | low.contains(term)
+        elif term:
+            out = out | low.contains(term)
+    if bounded:  # a plain search is far cheaper, and most texts lack most terms
+        out = out | (near & low.rlike(rf"(?<![a-z0-9])(?:{'|'.join(rf'\Q{t}\E' for t in bounded)})(?![a-z0-9])"))
+    return out
+
+
 def contains_term(text: Column, term: str) -> Column:
     """Case-insensitive match; a term of ASCII letters, digits and _.+- needs a boundary of other ASCII on both sides."""
+    return term_in(lowered(text), term)
+
+
+def contains_short_bounded(text: Column, term: str, most: int = 4) -> Column:
+    """Like contains_term, but only terms of at most ``most`` letters, digits, dots and blanks need boundaries."""
     wanted = term.casefold().strip()
-    if not wanted:
-        return F.lit(False)
-    lowered = F.lower(text_of(text))
-    if re.fullmatch(r"[a-z0-9_.+-]+", wanted):
-        return lowered.rlike(rf"(?<![a-z0-9])\Q{wanted}\E(?![a-z0-9])")
-    return lowered.contains(wanted)
+    if not re.fullmatch(rf"[a-z0-9. ]{{1,{most}}}", wanted):
+        return lowered(text).contains(wanted) if wanted else F.lit(False)
+    return lowered(text).rlike(rf"(?<![a-z0-9])\Q{wanted}\E(?![a-z0-9])")
+
+
+def contains_word_bounded(text: Column, term: str) -> Column:
+    """Like contains_term, but only terms of letters and digits alone need boundaries."""
+    wanted = term.casefold().strip()
+    if not re.fullmatch(r"[a-z0-9]+", wanted):
+        return lowered(text).contains(wanted) if wanted else F.lit(False)
+    return lowered(text).rlike(rf"(?<![a-z0-9])\Q{wanted}\E(?![a-z0-9])")
 
 
 def contains_alias(text: Column, alias: str) -> Column:
@@ -121,16 +161,18 @@ def matched_terms(text: Column, terms: Sequence[str]) -> Column:
 
 
 def matches_any(text: Column, terms: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for term in terms:
-        out = out | contains_term(text, term)
-    return out
+    return any_in(lowered(text), terms)
+
+
+def quote_of(parts: Column, low_parts: Column, text: Column, holds, most: int = QUOTE_CHARS) -> Column:
+    """The first of ``parts`` whose lower-case form ``holds`` is true of, or else the text, at most ``most`` characters."""
+    at = F.array_position(F.transform(low_parts, lambda s: F.coalesce(holds(s), F.lit(False))), True).cast("int")
+    return F.substring(F.coalesce(F.get(parts, at - 1), text_of(text)), 1, most)
 
 
 def quote(text: Column, terms: Sequence[str], most: int = QUOTE_CHARS) -> Column:
     """The first sentence with any term, or else the text, at most ``most`` characters."""
-    found = F.get(F.filter(sentences(text), lambda s: matches_any(s, terms)), 0)
-    return F.substring(F.coalesce(found, text_of(text)), 1, most)
+    return quote_of(sentences(text), sentences(lowered(text)), text, lambda s: any_in(s, terms), most)
 
 
 def term_id(term: str) -> Column:

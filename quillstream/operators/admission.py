@@ -1,13 +1,14 @@
 """Deterministic range admission: which rule families a text belongs to, with the evidence for each.
 
 Term lists are small configuration and become literals of the plan, so an item is judged in one narrow
-pass: no join, no explode, no shuffle.
+pass: no join, no explode, no shuffle. The lower-case text and the sentences are made once an item, one
+pattern tests a whole list of terms, and quotes are sought only for families that hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,24 @@ class Corridor:
     def terms(self) -> tuple[str, ...]:
         return (*self.joint, *self.one_side, *self.other_side)
 
-    def holds(self, text: Column) -> Column:
-        return T.matches_any(text, self.joint) | (T.matches_any(text, self.one_side) & T.matches_any(text, self.other_side))
+    def holds(self, low: Column) -> Column:
+        """Whether a text in lower case names both sides."""
+        return T.any_in(low, self.joint) | (T.any_in(low, self.one_side) & T.any_in(low, self.other_side))
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Columns of an item's rule text: as it is, in lower case, its sentences and those in lower case."""
+
+    text: Column
+    low: Column
+    parts: Column
+    low_parts: Column
+    trade: Column | None = None  # the lower-case sentences with a corridor and a trade action, one a line
+
+    @staticmethod
+    def of(text: Column) -> "Prepared":
+        return Prepared(text, T.lowered(text), T.sentences(text), F.transform(T.sentences(text), F.lower))
 
 
 @dataclass(frozen=True)
@@ -69,57 +86,97 @@ class RuleConfig:
             raise ValueError(f"title topics that are no topics: {stray}")
 
 
-def evidence(family: str, reason: str, text: Column, terms: Sequence[str], subjects: Sequence[str] = (), relation: str = "", within: Column | None = None) -> Column:
-    """Evidence struct: the first sentence with a matched term, and ids of the terms that match (``within`` or the text)."""
-    found = F.array_compact(F.array(*[F.when(T.contains_term(text if within is None else within, t), T.term_id(t)) for t in dict.fromkeys(terms)]))
+def evidence(family: str, reason: str, text: Prepared | Column, terms: Sequence[str], subjects: Sequence[str] = (), relation: str = "", within: Column | None = None, holds=None) -> Column:
+    """Evidence struct: a quote, and ids of the terms that match.
+
+    The quote is the first sentence with a term, or that ``holds`` is true of; terms are sought in ``within``
+    (in lower case) or in the text.
+    """
+    seen = text if isinstance(text, Prepared) else Prepared.of(text)
+    place = seen.low if within is None else within
+    found = F.array_compact(F.array(*[F.when(T.term_in(place, t), T.term_id(t)) for t in dict.fromkeys(terms)]))
     subject_list = F.array(*[F.lit(s) for s in subjects]) if subjects else F.array()
+    quote = T.quote_of(seen.parts, seen.low_parts, seen.text, holds or (lambda s: T.any_in(s, terms)))
     return F.struct(
-        F.lit(family).alias("rule_family"), F.lit(reason).alias("reason_code"), T.quote(text, terms).alias("evidence_quote"),
+        F.lit(family).alias("rule_family"), F.lit(reason).alias("reason_code"), quote.alias("evidence_quote"),
         found.alias("matched_term_ids"), subject_list.cast("array<string>").alias("matched_subjects"), F.lit(relation).alias("relation"),
     )
 
 
-def holding_evidence(text: Column, holding: Holding) -> list[tuple[Column, Column]]:
-    """(condition, evidence) of a direct mention, and of related terms unless an excluding one is there."""
-    direct = (*holding.names, holding.symbol)
-    out = [(T.matches_any(text, direct), evidence("holding", "holding_direct_identity", text, direct, holding.names[:1], "direct"))]
+def holding_evidence(seen: Prepared, holding: Holding) -> list[tuple[Column, Column]]:
+    """(condition, evidence) of a direct mention, and of related terms unless an excluding one is there.
+
+    The evidence of a direct mention has the names; only where no name occurs it has the symbol.
+    """
+    subjects = holding.names[:1]
+    named, by_symbol = T.any_in(seen.low, holding.names), T.term_in(seen.low, holding.symbol)
+    direct = lambda terms: evidence("holding", "holding_direct_identity", seen, terms, subjects, "direct")
+    out = [(named, direct(holding.names)), (~named & by_symbol, direct((holding.symbol,)))]
     if holding.related:
-        related = T.matches_any(text, holding.related) & ~T.matches_any(text, holding.excluded)
-        out.append((related, evidence("holding", "holding_related_keyword", text, holding.related, holding.names[:1], "configured_related")))
+        related = T.any_in(seen.low, holding.related) & ~T.any_in(seen.low, holding.excluded)
+        out.append((related, evidence("holding", "holding_related_keyword", seen, holding.related, subjects, "configured_related")))
     return out
 
 
-def trade_in_sentence(text: Column, config: RuleConfig) -> Column:
-    """A corridor and a trade action in one sentence."""
+def trade_sentence(config: RuleConfig):
+    """Tells of a sentence in lower case whether it has a corridor and a trade action."""
 
     def local(sentence: Column) -> Column:
         corridor = F.lit(False)
         for c in config.corridors:
             corridor = corridor | c.holds(sentence)
-        return corridor & T.matches_any(sentence, config.trade_actions)
+        return corridor & T.any_in(sentence, config.trade_actions)
+
+    return local
+
 
-    return F.exists(T.sentences(text), local)
+def trade_sentences(seen: Prepared, config: RuleConfig) -> Column:
+    """The trade sentences, one a line. The whole text must hold what a sentence holds, and is searched faster."""
+    local = trade_sentence(config)
+    return F.when(local(seen.low), F.array_join(F.filter(seen.low_parts, local), "\n")).otherwise("")
 
 
-def family_conditions(title: Column, text: Column, source: Column, config: RuleConfig) -> list[tuple[Column, Column]]:
+def trade_evidence(seen: Prepared, config: RuleConfig, official: Column) -> list[tuple[Column, Column]]:
+    """Trade evidence of official sources, and of texts with a corridor and an action in one sentence.
+
+    The former has the trade actions of the text, without any the corridors' terms, without those a fixed
+    one; the latter has the terms of its trade sentences and quotes the first of them.
+    """
+    local = trade_sentence(config)
+    corridor_terms = tuple(dict.fromkeys(t for c in config.corridors for t in c.terms()))
+    acted = T.any_in(seen.low, config.trade_actions)
+    corridor = F.lit(False)
+    for c in config.corridors:
+        corridor = corridor | c.holds(seen.low)
+    direct = lambda terms: evidence("trade_policy", "trade_policy_direct_scope", seen, terms)
+    surface = evidence("trade_policy", "trade_policy_direct_scope", seen, ("direct_trade_surface",), within=F.lit("direct_trade_surface"))
+    sentences = trade_sentences(seen, config) if seen.trade is None else seen.trade
+    scoped = evidence("trade_policy", "trade_policy_scope", seen, (*corridor_terms, *config.trade_actions), within=sentences, holds=local)
+    return [
+        (official & acted, direct(config.trade_actions)),
+        (official & ~acted & corridor, direct(corridor_terms)),
+        (official & ~acted & ~corridor, surface),
+        (~official & (sentences != ""), scoped),
+    ]
+
+
+def family_conditions(low_title: Column, seen: Prepared, source: Column, config: RuleConfig) -> list[tuple[Column, Column]]:
     title_only = {t.casefold() for t in config.title_topics}
     whole = [t for t in config.topics if t.casefold() not in title_only]
-    topic = T.matches_any(title, config.title_topics) | T.matches_any(text, whole)
-    trade_terms = tuple(dict.fromkeys([*[t for c in config.corridors for t in c.terms()], *config.trade_actions]))
+    topic = T.any_in(low_title, config.title_topics) | T.any_in(seen.low, whole)
     official = source.isin(*config.official_sources) if config.official_sources else F.lit(False)
     out: list[tuple[Column, Column]] = []
     for holding in config.holdings:
-        out += holding_evidence(text, holding)
+        out += holding_evidence(seen, holding)
     if config.indicators and config.contexts:
-        both = T.matches_any(text, config.indicators) & T.matches_any(text, config.contexts)
-        out.append((both, evidence("macro_data", "macro_data_scope", text, (*config.indicators, *config.contexts))))
+        both = T.any_in(seen.low, config.indicators) & T.any_in(seen.low, config.contexts)
+        out.append((both, evidence("macro_data", "macro_data_scope", seen, (*config.indicators, *config.contexts))))
     if config.policy_terms:
-        out.append((T.matches_any(text, config.policy_terms), evidence("fed_policy", "fed_policy_scope", text, config.policy_terms)))
+        out.append((T.any_in(seen.low, config.policy_terms), evidence("fed_policy", "fed_policy_scope", seen, config.policy_terms)))
     if config.topics:
-        out.append((topic, evidence("semiconductor_ai", "semiconductor_ai_scope", text, config.topics)))
+        out.append((topic, evidence("semiconductor_ai", "semiconductor_ai_scope", seen, config.topics)))
     if config.corridors:
-        out.append((official, evidence("trade_policy", "trade_policy_direct_scope", text, trade_terms)))
-        out.append((~official & trade_in_sentence(text, config), evidence("trade_policy", "trade_policy_scope", text, trade_terms)))
+        out += trade_evidence(seen, config, official)
     return out
 
 
@@ -129,13 +186,18 @@ def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str
     A null or empty text is excluded as ``empty_rule_text``; a global exclusion word excludes all but direct
     holdings; holding-only sources keep holding evidence alone.
     """
-    body, heading, origin = T.text_of(F.col(text)), T.text_of(F.col(title)), T.text_of(F.col(source))
-    found = [F.when(condition, value) for condition, value in family_conditions(heading, body, origin, config)]
+    body, origin = T.text_of(F.col(text)), T.text_of(F.col(source))
+    made = {"_low": T.lowered(F.col(text)), "_low_title": T.lowered(F.col(title)), "_parts": T.sentences(body)}
+    prepared = items.withColumns(made).withColumn("_low_parts", F.transform("_parts", F.lower))
+    seen = Prepared(body, *[F.col(c) for c in ("_low", "_parts", "_low_parts")])
+    if config.corridors:
+        prepared, seen = prepared.withColumn("_trade", trade_sentences(seen, config)), replace(seen, trade=F.col("_trade"))
+    found = [F.when(condition, value) for condition, value in family_conditions(F.col("_low_title"), seen, origin, config)]
     listed = F.array_compact(F.array(*found)).cast(f"array<{EVIDENCE}>") if found else F.array().cast(f"array<{EVIDENCE}>")
-    rows = items.withColumn("_evidence", listed)
+    rows = prepared.withColumn("_evidence", listed)
     boundary = origin.isin(*config.holding_only_sources) if config.holding_only_sources else F.lit(False)
     direct = F.exists("_evidence", lambda e: e["reason_code"] == "holding_direct_identity")
-    excluded = T.matches_any(body, config.excluded) & ~direct
+    excluded = T.any_in(seen.low, config.excluded) & ~direct
     kept = F.when(boundary, F.filter("_evidence", lambda e: e["rule_family"] == "holding")).otherwise(F.col("_evidence"))
     status = (
         F.when(body == "", "empty_rule_text").when(excluded, "global_exclude").when(F.size("_evidence") == 0, "out_of_scope")
@@ -145,7 +207,7 @@ def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str
     named = F.transform(kept, lambda e: e["rule_family"])
     families = F.array_compact(F.array(*[F.when(F.array_contains(named, f), F.lit(f)) for f in FAMILIES]))
     nothing = F.array().cast(f"array<{EVIDENCE}>")
-    why = F.when(status == "global_exclude", F.array(evidence("global", "global_exclude", body, config.excluded)).cast(f"array<{EVIDENCE}>")) if config.excluded else F.when(F.lit(False), nothing)
+    why = F.when(status == "global_exclude", F.array(evidence("global", "global_exclude", seen, config.excluded)).cast(f"array<{EVIDENCE}>")) if config.excluded else F.when(F.lit(False), nothing)
     return rows.withColumn(
         "admission",
         F.struct(
@@ -153,7 +215,7 @@ def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str
             F.when(admitted, families).otherwise(F.array().cast("array<string>")).alias("matched_families"),
             F.when(admitted, kept).otherwise(F.coalesce(why, nothing)).alias("evidence"), F.lit(config.version).alias("config_version"),
         ),
-    ).drop("_evidence")
+    ).drop("_evidence", "_low_parts", "_trade", *made)
 
 
 def sentence_window(items: DataFrame, key: str, text: str, anchors: Sequence[str], stops: Sequence[str], signals: Sequence[Sequence[str]], ahead: int = 6, least: int = 2) -> DataFrame:
