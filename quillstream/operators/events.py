@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], used: Sequence[str], start: Callable, step: Callable, made: dict[str, str]) -> DataFrame:
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], used: Sequence[str], start: Callable, step: Callable, made: dict[str, str]) -> DataFrame:
     """``rows`` with the columns ``made``: ``step(state, *used) -> (state, values)`` over each key's rows in order, from ``start()``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     # The window deals and sorts; the sort after it costs nothing where that order holds.
@@ -53,7 +53,7 @@ def look_back(events: DataFrame, keys: Sequence[str], at: str, event_id: str, mi
         anchor = anchor if covered else t
         return anchor, (covered, anchor)
 
-    done = _folded(rows, keys, ["_t", event_id, "_span"], ["_t", "_span"], lambda: None, step, {"duplicate": "boolean", "_anchor": "bigint"})
+    done = folded(rows, keys, ["_t", event_id, "_span"], ["_t", "_span"], lambda: None, step, {"duplicate": "boolean", "_anchor": "bigint"})
     return done.select(*keys, event_id, at, "duplicate", F.timestamp_micros("_anchor").alias("anchor"))
 
 
@@ -95,7 +95,7 @@ def alerts(log: DataFrame, keys: Sequence[str], at: str, event_id: str, failed:
         recovery = bad is False and n >= threshold and last is not None and cool
         return (n + 1 if bad else 0, t if alert else last), ("failure" if alert else "recovery" if recovery else "",)
 
-    done = _folded(rows, keys, ["_t", event_id, "_f"], ["_t", "_f"], lambda: (0, None), step, {"kind": "string"})
+    done = folded(rows, keys, ["_t", event_id, "_f"], ["_t", "_f"], lambda: (0, None), step, {"kind": "string"})
     return done.where("kind <> ''").select(*keys, event_id, at, "kind")
 
 
