@@ -198,9 +198,18 @@ def bigrams(column: Column) -> Column:
     return F.when(F.length(column) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
 
 
-def title_core(column: Column, noise: Sequence[str] = ()) -> Column:
-    """A title for near-duplicate comparison: no numbers, no capital abbreviations, no noise words, letters and digits only."""
+#: Words that titles of one event differ by.
+TITLE_NOISE = ("相关", "产品", "销售", "已经", "已有", "距高位", "提示", "公司", "股价", "上涨", "下跌", "两天", "三天", "连续", "明显", "趋势", "存在", "风险")
+
+
+def title_core(column: Column, noise: Sequence[str] = (), abbreviations: bool = True) -> Column:
+    """A title in capitals for near-duplicate comparison: no numbers, no noise words, letters and digits only.
+
+    Without ``abbreviations`` runs of two or more Latin letters go as well.
+    """
     value = F.regexp_replace(F.upper(text_of(column)), r"\d+(?:\.\d+)?%?", "")
+    if not abbreviations:
+        value = F.regexp_replace(value, r"[A-Z]{2,}", "")
     for word in noise:
         value = F.replace(value, F.lit(word.upper()), F.lit(""))
     return F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")

@@ -36,6 +36,62 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "grams", "own", "spans"])
 
 
+def _prefixes(ranked: DataFrame, unit: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The bigrams (g, unit, i, a) that the smaller set of a similar pair is found by, and those (g, unit2, j, b) of the larger one."""
+    whole = Window.partitionBy(*unit)
+    placed = ranked.select(*unit, "g", F.row_number().over(whole.orderBy("df", "g")).alias("at"), F.count("*").over(whole).cast("int").alias("n"))
+    small = placed.where(F.col("at") <= _first(F.col("n"), SMALLER)).select("g", *unit, F.col("at").alias("i"), F.col("n").alias("a"))
+    large = placed.where(F.col("at") <= _first(F.col("n"), LARGER)).select("g", *[F.col(c).alias(f"{c}2") for c in unit], F.col("at").alias("j"), F.col("n").alias("b"))
+    return small, large
+
+
+def _may_meet() -> Column:
+    """Whether a pair whose first common bigram this is can share enough of them."""
+    most = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) + 1
+    return (F.col("a") <= F.col("b")) & (most >= F.col("a") * SMALLER - 1e-9) & (most >= F.col("b") * LARGER - 1e-9)
+
+
+def _alike(x: str, y: str, grams_x: str, grams_y: str) -> Column:
+    """The rule of similar titles on cores with their bigrams; ``shared`` is the number of common ones."""
+    a, b, shared = F.size(grams_x), F.size(grams_y), F.col("shared")
+    close = (shared / F.least(a, b) >= SMALLER) & (shared / (a + b - shared) >= LARGER)
+    # Bigrams of a part are all in the whole, so texts are searched only then.
+    inside = (shared == F.least(a, b)) & (F.col(x).contains(F.col(y)) | F.col(y).contains(F.col(x)))
+    return F.when(inside, F.least(F.length(x), F.length(y)) >= CONTAINED).otherwise(close)
+
+
+def near_duplicates_within(rows: DataFrame, doc_id: str, core: str, at: str, span: int) -> DataFrame:
+    """(doc_a, doc_b, relation): rows with similar cores at most ``span`` apart in ``at`` (a whole number of some unit).
+
+    A row with the core of an earlier one in reach is ``equal`` to the last such row, so copies make a chain
+    and not all pairs; rows of different cores are compared by the rule of ``near_duplicates``, each with those
+    in its own block of time and the blocks beside it. Empty cores and null times take no part.
+    """
+    base = rows.select(F.col(doc_id).alias("doc_id"), F.col(core).alias("core"), F.col(at).cast("long").alias("t")).where("core <> '' AND t IS NOT NULL AND doc_id IS NOT NULL")
+    order = Window.partitionBy("core").orderBy("t", "doc_id")
+    before = base.select("doc_id", "t", F.lag(F.struct("doc_id", "t")).over(order).alias("p")).where(F.col("t") - F.col("p.t") <= span)
+    equal = before.select(F.least("doc_id", "p.doc_id").alias("doc_a"), F.greatest("doc_id", "p.doc_id").alias("doc_b"), F.lit("equal").alias("relation"))
+
+    shape = base.select("core", F.struct("doc_id", "t").alias("head"), F.lit(b"").alias("c"))
+    kinds = shape.mapInArrow(_grams, T_KINDS.format(shape.schema["head"].dataType.simpleString()))
+    units = kinds.select(F.col("head.doc_id").alias("doc_id"), F.col("head.t").alias("t"), "core", "grams", "own", "spans")
+    grams = units.select("doc_id", "t", F.explode("grams").alias("g"))
+    rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
+    small, large = _prefixes(grams.join(rarity, "g"), ["doc_id", "t"])
+    block = lambda c: F.floor(F.col(c) / span)
+    around = F.explode(F.array(block("t") - 1, block("t"), block("t") + 1)).alias("block")
+    near = (F.col("doc_id") != F.col("doc_id2")) & (F.abs(F.col("t") - F.col("t2")) <= span)
+    met = small.select("*", around).join(large.withColumn("block", block("t2")), ["g", "block"]).where(near & _may_meet())
+    held = units.where("own IS NOT NULL").select(F.col("own").alias("g"), "doc_id", "t", around)
+    outer = units.select(F.explode("spans").alias("g"), F.col("doc_id").alias("doc_id2"), F.col("t").alias("t2"), block("t").alias("block"))
+    inner = held.join(outer, ["g", "block"]).where(near)
+    pair = lambda df: df.select(F.least("doc_id", "doc_id2").alias("doc_a"), F.greatest("doc_id", "doc_id2").alias("doc_b"))
+    candidates = pair(met).union(pair(inner)).distinct()
+    left, right = (units.select(F.col("doc_id").alias(f"doc_{k}"), F.col("core").alias(f"core_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "ab")
+    both = candidates.join(left, "doc_a").join(right, "doc_b").where("core_a <> core_b").withColumn("shared", F.size(F.array_intersect("grams_a", "grams_b")))
+    return both.where(_alike("core_a", "core_b", "grams_a", "grams_b")).select("doc_a", "doc_b", F.lit("similar").alias("relation")).union(equal)
+
+
 def near_duplicates(rows: DataFrame, doc_id: str, title: str) -> DataFrame:
     """(doc_a, doc_b, relation): similar pairs of distinct cores, each told by its smallest id, and who has which core.
 
@@ -52,12 +108,8 @@ def near_duplicates(rows: DataFrame, doc_id: str, title: str) -> DataFrame:
     grams = kinds.select("c", F.explode("grams").alias("g"))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
     ranked = grams.join(rarity, "g")
-    whole = Window.partitionBy("c")
-    placed = ranked.select("c", "g", F.row_number().over(whole.orderBy("df", "g")).alias("at"), F.count("*").over(whole).cast("int").alias("n"))
-    small = placed.where(F.col("at") <= _first(F.col("n"), SMALLER)).select("g", F.col("c").alias("x"), F.col("at").alias("i"), F.col("n").alias("a"))
-    large = placed.where(F.col("at") <= _first(F.col("n"), LARGER)).select("g", F.col("c").alias("y"), F.col("at").alias("j"), F.col("n").alias("b"))
-    most = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) + 1  # in common, if this bigram is the first that is
-    met = small.join(large, "g").where((F.col("x") != F.col("y")) & (F.col("a") <= F.col("b")) & (most >= F.col("a") * SMALLER - 1e-9) & (most >= F.col("b") * LARGER - 1e-9))
+    small, large = _prefixes(ranked, ["c"])
+    met = small.join(large, "g").where((F.col("c") != F.col("c2")) & _may_meet()).select(F.col("c").alias("x"), F.col("c2").alias("y"))
 
     outer = kinds.select(F.explode("spans").alias("k"), F.col("c").alias("y"))
     held = kinds.where("own is not null").select(F.col("own").alias("k"), F.col("c").alias("x")).join(outer, "k").where(F.col("x") != F.col("y"))
@@ -66,11 +118,7 @@ def near_duplicates(rows: DataFrame, doc_id: str, title: str) -> DataFrame:
     candidates = pair(met).union(pair(held)).distinct()
     left, right = (kinds.select(F.col("c").alias(k), F.col("core").alias(f"core_{k}"), F.col("head").alias(f"head_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "xy")
     both = candidates.join(left, "x").join(right, "y").withColumn("shared", F.size(F.array_intersect("grams_x", "grams_y")))
-    a, b = F.size("grams_x"), F.size("grams_y")
-    close = (F.col("shared") / F.least(a, b) >= SMALLER) & (F.col("shared") / (a + b - F.col("shared")) >= LARGER)
-    # Bigrams of a part are all in the whole, so texts are searched only then.
-    inside = (F.col("shared") == F.least(a, b)) & (F.col("core_x").contains(F.col("core_y")) | F.col("core_y").contains(F.col("core_x")))
-    alike = both.where(F.when(inside, F.least(F.length("core_x"), F.length("core_y")) >= CONTAINED).otherwise(close))
+    alike = both.where(_alike("core_x", "core_y", "grams_x", "grams_y"))
     similar = alike.select(F.least("head_x", "head_y").alias("doc_a"), F.greatest("head_x", "head_y").alias("doc_b"), F.lit("similar").alias("relation"))
     relation = F.when(F.length("core") < CONTAINED, "short").otherwise("equal").alias("relation")
     members = cores.join(heads, "core").where(F.col("doc_id") != F.col("head")).select("head", "doc_id", relation)
