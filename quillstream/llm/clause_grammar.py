@@ -242,14 +242,29 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
         start += part.num_rows
 
 
-def _beginnings(column: pa.Array, length: int) -> np.ndarray:
+def _distinct(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of the first of equal pairs of hash and owner."""
+    order = np.lexsort((h, owner))
+    a, b = h[order], owner[order]
+    return order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(h) else order
+
+
+def _text_words(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case bytes, and starts, ends, text numbers and hashes of the words of each text, each word once a text."""
+    lower, starts, ends, text, _ = read_words(part)
+    h = beginning_hashes(lower, starts, ends, 0)
+    new = _distinct(h, text)
+    return lower, starts[new], ends[new], text[new], h[new]
+
+
+def _beginnings(words_of: tuple, length: int) -> np.ndarray:
     """Hashes of word beginnings of one length, each once a text."""
-    lower, starts, ends, text, _ = read_words(column)
+    lower, starts, ends, text, whole = words_of
     fits = np.flatnonzero(ends - starts >= max(length, 3))
-    h, owner = beginning_hashes(lower, starts[fits], ends[fits], length), text[fits]
-    order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
-    return h[np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])] if len(h) else h
+    if not length:
+        return whole[fits]
+    h = beginning_hashes(lower, starts[fits], ends[fits], length)
+    return h[_distinct(h, text[fits])]
 
 
 def learn_lexicon(column: pa.Array, labels: np.ndarray, least: int = 4, odds: float = 2.0) -> Lexicon:
@@ -259,23 +274,29 @@ def learn_lexicon(column: pa.Array, labels: np.ndarray, least: int = 4, odds: fl
     """
     sets = np.zeros(len(column), np.uint64)
     for at, part in _pieces(column):
-        lower, starts, ends, text, _ = read_words(part)
-        pairs = np.unique(np.stack([text.astype(np.uint64), beginning_hashes(lower, starts, ends, 0)]), axis=1)
+        *_, text, h = _text_words(part)
         with np.errstate(over="ignore"):
-            np.add.at(sets, at[pairs[0].astype(np.int64)], mix(pairs[1] + np.uint64(7)))
+            np.add.at(sets, at[text], mix(h + np.uint64(7)))
     _, first = np.unique(np.stack([sets, labels.astype(np.uint64)]), axis=1, return_index=True)
     toxic, clean = (np.sort(first[labels[first] == x]) for x in (1, 0))
+    lists: dict[int, list[np.ndarray]] = {length: [] for length in LENGTHS}
+    for _, part in _pieces(column.take(pa.array(toxic))):
+        words_of = _text_words(part)
+        for length in LENGTHS:
+            lists[length].append(_beginnings(words_of, length))
+    counts = {}
+    for length, hashes in lists.items():
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
+        counts[length] = keys[n >= least], n[n >= least], np.zeros(int((n >= least).sum()))
+    for _, part in _pieces(column.take(pa.array(clean))):
+        words_of = _text_words(part)
+        for length, (keys, _, in_clean) in counts.items():
+            if len(keys):
+                h = _beginnings(words_of, length)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                in_clean += np.bincount(at[keys[at] == h], minlength=len(keys))
     found: dict[int, tuple[int, float]] = {}
-    for length in LENGTHS:
-        keys, in_toxic = np.unique(np.concatenate([_beginnings(part, length) for _, part in _pieces(column.take(pa.array(toxic)))]), return_counts=True)
-        keys, in_toxic = keys[in_toxic >= least], in_toxic[in_toxic >= least]
-        if not len(keys):
-            continue
-        in_clean = np.zeros(len(keys))
-        for _, part in _pieces(column.take(pa.array(clean))):
-            h = _beginnings(part, length)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            in_clean += np.bincount(at[keys[at] == h], minlength=len(keys))
+    for keys, in_toxic, in_clean in counts.values():
         weight = np.log((in_toxic + 0.5) / (len(toxic) + 2)) - np.log((in_clean + 0.5) / (len(clean) + 2)) - np.sqrt(1 / (in_toxic + 0.5))
         for k in np.flatnonzero(weight >= odds):
             found[int(keys[k])] = (INSULT, float(weight[k]))
