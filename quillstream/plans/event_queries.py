@@ -422,10 +422,10 @@ def pages_until_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     "basis_reasons",
     """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS reason FROM lineitem),
     f AS (SELECT l_orderkey, reason, min(l_linenumber) AS line FROM r GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line, reason) AS k FROM f)
-    SELECT l_orderkey, string_agg(reason, ',' ORDER BY line, reason) FILTER (k <= 2) AS reasons, greatest(count(*) - 2, 0)::BIGINT AS n_omitted FROM o GROUP BY l_orderkey""",
+    SELECT l_orderkey, string_agg(reason, ',' ORDER BY line, reason) FILTER (k <= 4) AS reasons, greatest(count(*) - 4, 0)::BIGINT AS n_omitted FROM o GROUP BY l_orderkey""",
 )
 def basis_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct reasons in first-seen order, two at most, and how many more there were."""
+    """Distinct reasons in first-seen order, four at most, and how many more there were."""
     entry = F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("reason"))
     listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["reason"])).alias("r"))
-    return listed.select("l_orderkey", F.array_join(F.slice("r", 1, 2), ",").alias("reasons"), F.greatest(F.size("r") - 2, F.lit(0)).cast("long").alias("n_omitted"))
+    return listed.select("l_orderkey", F.array_join(F.slice("r", 1, 4), ",").alias("reasons"), F.greatest(F.size("r") - 4, F.lit(0)).cast("long").alias("n_omitted"))
