@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,24 +90,37 @@ def number_in_path(url: Column) -> Column:
     return F.regexp_extract(_part(text_of(url), 3), r"(\d{4,})(?:\D*)$", 1)
 
 
-# Entities that the tables hold, most frequent first; & comes last so that nothing is decoded twice.
-ENTITIES = (("&nbsp;", " "), ("&#39;", "'"), ("&#x27;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+def unescape(column: Column) -> Column:
+    """Character references decoded once: the named ones of HTML 4 and decimal or hexadecimal numbers; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+    character = lambda number: F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
+    def piece(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).cast("bigint")
+        exists = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        found = F.when(name == "", F.lit(None)).when(exists, character(number)).when(~exists, F.lit(None)).otherwise(F.try_element_at(names, name))
+        rest = F.substr(part, F.length(name) + 2)
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), part)))
+
+    return F.when(column.contains("&"), F.array_join(F.transform(F.split(column, "&"), piece), "")).otherwise(column)
 
-def unescape(column: Column) -> Column:
-    out = column
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+
+#: Elements whose content is no text, and what the tags that break lines become.
+UNSEEN, BREAKS = ("script", "style"), {"br": "\n", "/p": "\n\n"}
+BLOCK_UNSEEN = (*UNSEEN, "noscript")
+BLOCK_BREAKS = {"br": "\n", **{f"/{tag}": "\n" for tag in ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")}}
 
 
 def strip_tags(html: Column, blocks: bool = False) -> Column:
-    """Text of a fragment: scripts and styles go, <br> and </p> (or all block ends) break lines."""
-    dropped = r"(?is)<script.*?</script>|<style.*?</style>" + (r"|<noscript.*?</noscript>" if blocks else "")
-    out = F.regexp_replace(text_of(html), dropped, "")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n") if blocks else F.regexp_replace(out, r"(?i)</p>", "\n\n")
-    out = unescape(F.regexp_replace(out, r"(?s)<[^>]+>", ""))
+    """Text of a fragment: unseen elements go, then every tag that breaks no line, then those that do become line ends."""
+    unseen, breaks = (BLOCK_UNSEEN, BLOCK_BREAKS) if blocks else (UNSEEN, BREAKS)
+    out = F.regexp_replace(text_of(html), "(?is)" + "|".join(f"<{tag}.*?</{tag}>" for tag in unseen), "")
+    out = F.regexp_replace(out, rf"(?is)<(?!(?:{'|'.join(breaks)})\s*/?>)[^>]+>", "")
+    for mark in sorted(set(breaks.values())):
+        tags = "|".join(tag for tag, m in breaks.items() if m == mark)
+        out = F.regexp_replace(out, rf"(?i)<(?:{tags})\s*/?>", mark)
+    out = unescape(out)
     return strip(F.regexp_replace(out, r"[ \t\f]+", " ") if blocks else out)
 
 
@@ -116,25 +130,43 @@ def clean_lines(column: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, collapse), lambda x: x != ""), "\n")
 
 
+def meta(html: Column, names: Sequence[str]) -> Column:
+    """The first content of a meta tag with one of the names, in the order of ``names``; attributes in any order."""
+    tags = F.regexp_extract_all(text_of(html), F.lit(r"(?is)<meta\b[^>]*>"), 0)
+    key = lambda t: F.lower(F.regexp_extract(t, r"""(?is)\b(?:name|property)\s*=\s*["']([^"']*)["']""", 1))
+    value = lambda t: F.concat(*[F.regexp_extract(t, rf"(?is)\bcontent\s*=\s*{q}([^{q}]*){q}", 1) for q in ('"', "'")])
+    known = F.filter(F.transform(tags, lambda t: F.struct(key(t).alias("key"), value(t).alias("value"))), lambda m: strip(m["value"]) != "")
+    first = lambda n: F.get(F.filter(known, lambda m: m["key"] == n), 0)["value"]
+    return F.coalesce(*[first(n) for n in names], F.lit(""))
+
+
 def title(html: Column) -> Column:
-    """og:title, else <title>, else the first <h1>."""
+    """og:title, else twitter:title, else <title>, else the first <h1>."""
     h = text_of(html)
-    og = F.regexp_extract(h, r"""(?is)<meta[^>]+property=["']og:title["'][^>]+content=["'](.*?)["']""", 1)
-    head, h1 = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1), F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    found = [F.nullif(collapse(strip_tags(x)), F.lit("")) for x in (og, head, h1)]
+    inside = lambda tag: F.regexp_extract(h, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    found = [F.nullif(collapse(strip_tags(x)), F.lit("")) for x in (meta(h, ("og:title", "twitter:title")), inside("title"), inside("h1"))]
     return F.coalesce(*found, F.lit(""))
 
 
 def description(html: Column) -> Column:
-    return unescape(strip(F.regexp_extract(text_of(html), r"""(?is)<meta\s+name=["']description["']\s+content=["'](.*?)["']""", 1)))
+    return strip(unescape(meta(html, ("description", "og:description", "twitter:description"))))
+
+
+#: Fixed value: what of a page counts as a paragraph; other readings of unclosed tags would give other bodies.
+PARAGRAPH = r"(?is)<p[^>]*>(.*?)</p>"
 
 
 def paragraphs(html: Column, least: int = 40) -> Column:
     """Texts of <p> elements longer than ``least`` characters that are not boilerplate."""
-    found = F.transform(F.regexp_extract_all(text_of(html), F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1), lambda p: strip_tags(p))
-    low = lambda p: F.lower(p)
-    kept = lambda p: (F.length(p) > least) & ~low(p).rlike("^(?:" + "|".join(BOILERPLATE_STARTS) + ")") & ~low(p).contains(BOILERPLATE_WORD)
-    return F.filter(found, kept)
+
+    def kept(p: Column) -> Column:
+        low = F.lower(p)
+        begins = F.lit(False)
+        for start in BOILERPLATE_STARTS:
+            begins = begins | low.startswith(start)
+        return (F.length(p) > least) & ~begins & ~low.contains(BOILERPLATE_WORD)
+
+    return F.filter(F.transform(F.regexp_extract_all(text_of(html), F.lit(PARAGRAPH), 1), lambda p: strip_tags(p)), kept)
 
 
 def body(html: Column) -> Column:

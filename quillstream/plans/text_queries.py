@@ -121,7 +121,7 @@ def url_item_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.path_id(u).alias("path_id"), web.last_segment(u).alias("last_segment"), web.number_in_path(u).alias("page_number"), web.host(u).alias("host"))
 
 
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&#39;', ''''), '&#x27;', ''''), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&#39;', ''''), '&#x27;', ''''), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
 
 def _strip_sql(x: str) -> str:
@@ -131,15 +131,21 @@ def _strip_sql(x: str) -> str:
     return f"regexp_replace({_UNESCAPE.format(x)}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 
+def _collapsed_sql(x: str) -> str:
+    return f"trim(regexp_replace({_strip_sql(x)}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+def _meta_sql(name: str) -> str:
+    tag = f"regexp_extract(coalesce(html, ''), '(?is)<meta\\b[^>]*\\b(?:name|property)\\s*=\\s*[\"'']{name}[\"''][^>]*>')"
+    return f"regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*[\"'']([^\"'']*)', 1)"
+
+
 @query(
     "html_title",
-    f"""SELECT page_id, trim(regexp_replace({_strip_sql("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS title FROM pages
-        WHERE NOT regexp_matches(coalesce(html, ''), 'og:title') AND regexp_matches(coalesce(html, ''), '(?is)<title[^>]*>.*?[^ ].*?</title>')""",
+    f"""SELECT page_id, coalesce({', '.join(f"nullif({_collapsed_sql(x)}, '')" for x in (_meta_sql('og:title'), _meta_sql('twitter:title'), "regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)", "regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)"))}, '') AS title FROM pages""",
 )
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = T.text_of(F.col("html"))
-    plain = table(spark, sf_dir, "pages").where(~html.contains("og:title") & html.rlike(r"(?is)<title[^>]*>.*?[^ ].*?</title>"))
-    return plain.select("page_id", web.title(F.col("html")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("title"))
 
 
 @query("html_strip", f"SELECT page_id, sha256({_strip_sql("coalesce(html, '')")}) AS text_sha256 FROM pages")

@@ -98,3 +98,14 @@ def test_days(spark):
 def test_similar_titles(spark):
     df = spark.createDataFrame([("ABCDEFGHIJ", "ABCDEFGHIJKL"), ("ABC", "ABCD"), ("ABCDEFGHIJ", "ABCDEFGHXY"), ("ABCDEFGH", "STUVWXYZ"), ("", "A")], "a string, b string")
     assert [r[0] for r in df.select(T.similar_titles(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, False]
+
+
+def test_titles_and_references_of_pages(spark):
+    pages = [
+        "<meta content='From og' property=\"og:title\"><title>t</title>", '<meta name="twitter:title" content="Tw &amp; it"><h1>h</h1>', "<title> T&#233;l&#x00e9; &nbsp;x </title>",
+        "<h1 class=a>Only <b>h1</b></h1>", "<p>nothing</p>", None,
+    ]
+    assert values(spark, pages, web.title(F.col("x"))) == ["From og", "Tw & it", "Télé x", "Only h1", "", ""]
+    texts = ["&amp;lt; &copy;&eacute; &bogus; a & b &#128512;", "&#55296; &#x110000;", "no reference"]
+    assert values(spark, texts, web.unescape(F.col("x"))) == ["&lt; \u00a9\u00e9 &bogus; a & b \U0001f600", "&#55296; &#x110000;", "no reference"]
+    assert values(spark, ["a<br/>b<p>c</p>d<script>x</script><!-- y -->"], web.strip_tags(F.col("x"))) == ["a\nbc\n\nd"]
