@@ -72,19 +72,20 @@ def near_duplicates_within(rows: DataFrame, doc_id: str, core: str, at: str, spa
     before = base.select("doc_id", "t", F.lag(F.struct("doc_id", "t")).over(order).alias("p")).where(F.col("t") - F.col("p.t") <= span)
     equal = before.select(F.least("doc_id", "p.doc_id").alias("doc_a"), F.greatest("doc_id", "p.doc_id").alias("doc_b"), F.lit("equal").alias("relation"))
 
-    shape = base.select("core", F.struct("doc_id", "t").alias("head"), F.lit(b"").alias("c"))
-    kinds = shape.mapInArrow(_grams, T_KINDS.format(shape.schema["head"].dataType.simpleString()))
-    units = kinds.select(F.col("head.doc_id").alias("doc_id"), F.col("head.t").alias("t"), "core", "grams", "own", "spans")
-    grams = units.select("doc_id", "t", F.explode("grams").alias("g"))
+    pairs_of = F.array_distinct(F.regexp_extract_all("core", F.lit("(?s)(?=(..))"), F.lit(1)))
+    units = base.withColumn("grams", F.when(F.length("core") < 2, F.array("core")).otherwise(pairs_of))
+    grams = units.select("doc_id", "t", F.length("core").alias("long"), F.explode("grams").alias("g"))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    small, large = _prefixes(grams.join(rarity, "g"), ["doc_id", "t"])
+    ranked = grams.join(rarity, "g")
+    small, large = _prefixes(ranked, ["doc_id", "t"])
     block = lambda c: F.floor(F.col(c) / span)
     around = F.explode(F.array(block("t") - 1, block("t"), block("t") + 1)).alias("block")
     near = (F.col("doc_id") != F.col("doc_id2")) & (F.abs(F.col("t") - F.col("t2")) <= span)
     met = small.select("*", around).join(large.withColumn("block", block("t2")), ["g", "block"]).where(near & _may_meet())
-    held = units.where("own IS NOT NULL").select(F.col("own").alias("g"), "doc_id", "t", around)
-    outer = units.select(F.explode("spans").alias("g"), F.col("doc_id").alias("doc_id2"), F.col("t").alias("t2"), block("t").alias("block"))
-    inner = held.join(outer, ["g", "block"]).where(near)
+    # What contains a core has its rarest bigram, wherever that stands among its own.
+    rarest = ranked.where(F.col("long") >= CONTAINED).groupBy("doc_id", "t", "long").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    whole = grams.select("g", F.col("doc_id").alias("doc_id2"), F.col("t").alias("t2"), F.col("long").alias("long2"), block("t").alias("block"))
+    inner = rarest.select("*", around).join(whole, ["g", "block"]).where(near & (F.col("long") <= F.col("long2")))
     pair = lambda df: df.select(F.least("doc_id", "doc_id2").alias("doc_a"), F.greatest("doc_id", "doc_id2").alias("doc_b"))
     candidates = pair(met).union(pair(inner)).distinct()
     left, right = (units.select(F.col("doc_id").alias(f"doc_{k}"), F.col("core").alias(f"core_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "ab")

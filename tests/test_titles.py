@@ -30,3 +30,24 @@ def test_any_length_and_beginning(spark):
     want |= {(head[x], i, "short" if len(x) < 8 else "equal") for i, x in enumerate(cores) if x and head[x] != i}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert (0, 1, "similar") not in want and (6, 7, "similar") in want
+
+
+def test_within_a_span(spark):
+    """Every pair of rows in reach, by brute force; equal titles make a chain."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ABCDEFGH") for _ in range(n))
+    rows, cores = [], []
+    for i in range(80):
+        x = rng.choice(cores) if cores and i % 3 else word(rng.choice((1, 4, 9, 30, 90)))
+        x = (x, word(3) + x, x[: len(x) // 2] + word(2), x[2:])[rng.randrange(4)]
+        cores.append(x)
+        rows.append((i, x, rng.randrange(120)))
+    rows += [(80, None, 3), (81, "ABCDEFGHAB", None)]
+    got = titles.near_duplicates_within(spark.createDataFrame(rows, "doc_id long, core string, t long"), "doc_id", "core", "t", 24).collect()
+    usable = [r for r in rows if r[1] and r[2] is not None]
+    want = {(a[0], b[0], "similar") for a in usable for b in usable if a[0] < b[0] and a[1] != b[1] and abs(a[2] - b[2]) <= 24 and alike(a[1], b[1])}
+    for i, x, t in usable:
+        before = max(((u, j) for j, y, u in usable if y == x and (u, j) < (t, i)), default=None)
+        if before and t - before[0] <= 24:
+            want.add((min(i, before[1]), max(i, before[1]), "equal"))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
