@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Results are compared in UTC; AQE splits skewed joins and sizes shuffles.
@@ -20,7 +22,11 @@ def local_session(name: str = "quillstream", cores: str | int = "*", **conf: str
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if not session.conf.get("spark.checkpoint.dir", None):  # one machine, so a folder of its own is a shared one
+        session.stop()
+        session = builder.config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='quillstream-')}").getOrCreate()
+    return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
