@@ -7,19 +7,20 @@ vector, each page with a covering radius. A search goes best first through the p
 whose stored parent distance and the triangle inequality already rule it out is never computed.
 
 Equal vectors are first merged, in each partition and then over all, keeping the smallest ids that
-any query could return, so a vector that fills a third of the table is one entry. Blocks are bounded,
+any query could return (of distinct ids, as a query leaves its own out), so a vector that fills a third of the table is one entry. Blocks are bounded,
 as are the query blocks they meet; the stated query set meets every block, in blocks. A bounded
 sample of rows gives each query a score that its k-th best surely reaches, with which it starts.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do rows with a null id; of repeated ids every row but those with the query's own id is a
-candidate; vectors meet only vectors of their own length; ties go to the smaller id; an empty table
+candidate, and the rows of one query id share one ranking; vectors meet only vectors of their own length; ties go to the smaller id; an empty table
 gives an empty table; other columns are ignored. Scores are exact while they fit 64 bits.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,10 @@ def scaled(df: DataFrame, id_col: str, vector_col: str, factor: int = 256) -> Da
 
 
 def merged(vectors: DataFrame, keep: int) -> DataFrame:
-    """(v, ids): distinct vectors with their ``keep`` smallest ids."""
+    """(v, ids): distinct vectors with the rows of their ``keep`` smallest distinct ids, of each id ``keep`` rows at most.
+
+    Whichever id a query takes out as its own, ``keep - 1`` of the smallest other rows are left.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[int]] = {}
@@ -49,8 +53,8 @@ def merged(vectors: DataFrame, keep: int) -> DataFrame:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = held.setdefault(tuple(v), [])
                 ids.append(i)
-                if len(ids) > 4 * keep:
-                    ids[:] = sorted(ids)[:keep]
+                if len(ids) > 2 * keep * keep:
+                    ids[:] = _smallest(ids, keep)
             if len(held) >= BLOCK_ROWS:
                 yield _merged_batch(held, keep)
                 held = {}
@@ -58,12 +62,19 @@ def merged(vectors: DataFrame, keep: int) -> DataFrame:
             yield _merged_batch(held, keep)
 
     once = vectors.select("id", "v").mapInArrow(local, "v array<bigint>, ids array<bigint>")
-    return once.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
+    rows = once.groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("rows"))
+    smallest = F.slice(F.array_sort(F.array_distinct("rows")), 1, keep)
+    return rows.select("v", F.flatten(F.transform(smallest, lambda i: F.slice(F.filter("rows", lambda x: x == i), 1, keep))).alias("ids"))
+
+
+def _smallest(ids: list[int], keep: int) -> list[int]:
+    """The rows of the ``keep`` smallest distinct ids in order, of each id ``keep`` rows at most."""
+    return [i for i, n in sorted(Counter(ids).items())[:keep] for _ in range(min(n, keep))]
 
 
 def _merged_batch(held: dict[tuple, list[int]], keep: int) -> pa.RecordBatch:
     kind = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([sorted(x)[:keep] for x in held.values()], kind)], names=["v", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([_smallest(x, keep) for x in held.values()], kind)], names=["v", "ids"])
 
 
 class MTree:

@@ -32,6 +32,17 @@ def test_equals_brute_force(spark, block, monkeypatch):
     assert run(spark, rows) == brute(rows, 5, 10)
 
 
+def test_repeated_ids_of_one_vector(spark):
+    same = [1.0, -2.0, 0.5]
+    rows = [(50, same)] * 14 + [(i, same) for i in range(51, 56)] + [(60, same)] * 8 + [(61, [0.5, 0.5, 0.5])] * 3
+    # The rows of one query id share a ranking, as in the SQL, so with 14 of them the best candidate fills it.
+    assert [(q, n, j) for q, n, j, _ in run(spark, rows, every=50)] == [(50, n, 51) for n in range(1, 6)]
+    assert [(n, j) for _, n, j, _ in run(spark, [(50, same), *rows[14:]], every=50)] == [(n, 50 + n) for n in range(1, 6)]
+    # Of one repeated id alone each row is a candidate for the others.
+    got = run(spark, [(10, same)] + [(12, same)] * 9, every=10)
+    assert [(n, j) for _, n, j, _ in got] == [(n, 12) for n in range(1, 6)]
+
+
 def test_few_and_none(spark):
     rows = [(0, [0.5, -0.5]), (1, [1.0, 1.0])]
     assert run(spark, rows) == [(0, 1, 1, 0)]
