@@ -307,7 +307,8 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     roots = components(links.unionByName(more))
 
     named = sketches.join(roots, "node", "left").select("key", "copy", F.coalesce("root", "node").alias("class_node"))
-    heading = named.where("class_node IS NOT NULL").groupBy("class_node").agg(first.alias("first"))
+    # As a table of its own, so that the join after it is not tied to the aggregation: Spark may split a class of very many rows.
+    heading = written(named.where("class_node IS NOT NULL").groupBy("class_node").agg(first.alias("first")), "heads")
     classed = named.join(heading, "class_node", "left")
     own = lambda name: F.when(F.col("class_node").isNull(), F.col(name)).otherwise(F.col(f"first.{name}"))
     return classed.select("key", "copy", own("key").alias("class_id"), own("copy").alias("class_copy"), "class_node")
