@@ -168,3 +168,25 @@ def link_summary(links: Column, per_link: int = 2200, total: int = 9000) -> Colu
         )
 
     return _cut(F.array_join(F.transform(links, section), "\n\n"), total)
+
+
+def shortened(value: Column, most: int) -> Column:
+    """A text for a card: white space collapsed, at most ``most`` characters."""
+    return _cut(T.collapse(value), most)
+
+
+def card_escape(value: Column) -> Column:
+    """A text for a card's markup: backslashes, asterisks and underscores are escaped."""
+    return F.regexp_replace(T.text_of(value), r"([\\*_])", r"\\$1")
+
+
+def post_item(url: Column, post_id: Column, text: Column, user: Column, name: Column, quoted: Column, most: int = 280) -> Column:
+    """(id, author, summary, full_text) of a post, null without id, address or text; texts that it quotes follow its own, each once."""
+    address, own = T.strip(T.text_of(url)), T.collapse(text)
+    number = F.coalesce(F.nullif(T.strip(T.text_of(post_id)), F.lit("")), F.regexp_extract(address, r"/status/(\d+)", 1))
+    others = F.array_distinct(F.filter(F.transform(F.coalesce(quoted, F.array().cast("array<string>")), T.collapse), lambda x: x != ""))
+    full = F.when(F.size(others) > 0, F.concat(own, F.lit("\n\n引用推文："), F.array_join(others, "；"))).otherwise(own)
+    handle = F.regexp_replace(T.collapse(user), "^@+", "")
+    author = F.when(handle != "", F.concat(F.lit("@"), handle)).otherwise(F.coalesce(F.nullif(T.collapse(name), F.lit("")), F.lit("X")))
+    whole = F.struct(number.alias("id"), author.alias("author"), F.substring(full, 1, most).alias("summary"), full.alias("full_text"))
+    return F.when((number != "") & (address != "") & (own != ""), whole)

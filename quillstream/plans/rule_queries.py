@@ -224,3 +224,56 @@ def config_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select("s_suppkey", F.struct("s_name", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("s_nationkey")).alias("config"))
     state = F.when(F.col("config").isNull(), "only_table").when(F.col("stored").isNull(), "only_config").when(F.col("stored").eqNullSafe(F.col("config")), "equal").otherwise("differs")
     return stored.join(config, "s_suppkey", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+_RAW = "p_name || CASE p_partkey % 3 WHEN 0 THEN ' *_x ' WHEN 1 THEN '   ' ELSE '' END || p_type"
+
+
+@query(
+    "card_text",
+    f"""WITH t AS (SELECT p_partkey, trim(regexp_replace({_RAW}, ' +', ' ', 'g')) AS x FROM part) SELECT p_partkey, replace(replace(CASE WHEN length(x) > 40 THEN left(x, 37) || '...' ELSE x END, '*', '\\*'), '_', '\\_') AS card FROM t""",
+)
+def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut for a card, then escaped."""
+    return table(spark, sf_dir, "part").select("p_partkey", U.card_escape(U.shortened(F.expr(_RAW), 40)).alias("card"))
+
+
+@query(
+    "post_normalize",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE event_id END::VARCHAR AS id, CASE event_id % 3 WHEN 0 THEN '@u' || user_id WHEN 1 THEN 'N ' || event_type ELSE 'X' END AS author,
+        left(props || CASE WHEN event_id % 4 = 0 THEN E'\n\n引用推文：' || event_type || '；other' ELSE '' END, 20) AS summary FROM events WHERE event_id % 5 > 0 AND trim(coalesce(props, '')) <> ''""",
+)
+def post_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as items; those without address or text give none."""
+    e, k = F.col("event_id"), F.col("event_id") % 3
+    url = F.when(e % 5 > 0, F.concat(F.lit("https://x.com/a/status/"), e.cast("string")))
+    user, name = F.when(k == 0, F.concat(F.lit(" @u"), F.col("user_id").cast("string"))), F.when(k == 1, F.concat(F.lit("N  "), F.col("event_type")))
+    quoted = F.when(e % 4 == 0, F.array(F.col("event_type"), F.lit(" other "), F.col("event_type"), F.lit("")))
+    found = U.post_item(url, F.when(e % 2 == 0, F.col("user_id").cast("string")), F.col("props"), user, name, quoted, 20)
+    return _events(spark, sf_dir).select("event_id", found.alias("p")).where("p IS NOT NULL").select("event_id", "p.id", "p.author", "p.summary")
+
+
+@query(
+    "feedback_examples",
+    """WITH l AS (SELECT user_id, event_type, max(ts) AS newest FROM events WHERE value > 30 GROUP BY ALL)
+    SELECT user_id, string_agg(CASE WHEN event_type = 'error' THEN 'invalid (late)' ELSE event_type END, ', ' ORDER BY event_type) AS labels, strftime(max(newest), '%Y-%m-%d %H:%M:%S') AS feedback_at FROM l GROUP BY user_id ORDER BY max(newest) DESC, user_id LIMIT 100""",
+)
+def feedback_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred items with the newest feedback and their labels, one of them with its reason."""
+    label = F.when(F.col("event_type") == "error", "invalid (late)").otherwise(F.col("event_type"))
+    last = _events(spark, sf_dir).where("value > 30").groupBy("user_id", "event_type").agg(F.max("ts").alias("at"))
+    shown = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", label.alias("label")))).alias("l"), F.max("at").alias("at"))
+    top = shown.orderBy(F.col("at").desc(), "user_id").limit(100)
+    return top.select("user_id", F.array_join(F.transform("l", lambda x: x["label"]), ", ").alias("labels"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("feedback_at"))
+
+
+@query(
+    "profile_counts",
+    """WITH p AS (SELECT c_mktsegment AS category, count(*)::BIGINT AS n, count(*) FILTER (c_custkey % 4 = 0)::BIGINT AS n_disabled, count(*) FILTER (c_acctbal < 0)::BIGINT AS n_failing FROM customer GROUP BY 1)
+    SELECT k AS place, c AS category, coalesce(n, 0) AS n, coalesce(n_disabled, 0) AS n_disabled, coalesce(n_failing, 0) AS n_failing FROM (VALUES (0, 'MACHINERY'), (1, 'BUILDING'), (2, 'NONE')) o(k, c) LEFT JOIN p ON c = category""",
+)
+def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles, disabled and failing ones by category, in a fixed order of categories, also those without profiles."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey") % 4 == 0).alias("n_disabled"), F.count_if(F.col("c_acctbal") < 0).alias("n_failing"))
+    order = spark.createDataFrame([(0, "MACHINERY"), (1, "BUILDING"), (2, "NONE")], "place int, category string")
+    return order.join(counts, "category", "left").na.fill(0, ["n", "n_disabled", "n_failing"])
