@@ -72,3 +72,34 @@ kept AS (
 )
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, n_removed, sha256(coalesce(after, '')) AS kept_sha256 FROM kept
 """
+
+#: crc32 of the decimal text of ``conv_id``, bit by bit: 0 and more folds a byte in, -1 shifts by one bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH placed AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM placed)),
+rebuilt AS (
+    SELECT c.conv_id, place, role, text FROM convs c JOIN placed p ON p.conv_id = c.base WHERE place < h
+    UNION ALL SELECT c.conv_id, place, role, text FROM convs c JOIN placed p ON p.conv_id = c.conv_id WHERE place >= h
+), whole AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY place) AS turns FROM rebuilt GROUP BY conv_id),
+filled AS (SELECT c.conv_id, coalesce(turns, []) AS turns FROM convs c LEFT JOIN whole USING (conv_id)),
+prefixes AS (SELECT conv_id, d, list_slice(turns, 1, d) AS p, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM filled)),
+nodes AS (
+    SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends FROM prefixes GROUP BY d, p
+), children AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(n.p[-1].t) ELSE 0 END AS saved
+    FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.p = n.p
+), sums AS (
+    SELECT a AS d, list_slice(p, 1, a) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY ALL
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = list_slice(n.p, 1, n.d - 1)
+"""

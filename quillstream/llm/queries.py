@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prob_minhash, secret_scan, suffix_dedup, warc_archive
+from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prefix_trie, prob_minhash, secret_scan, suffix_dedup, warc_archive
 from quillstream.llm.oracles import ORACLES as ORACLES
 from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
@@ -74,6 +74,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): the first h turns of conversation c - c % 100, then those of c after its own first h.
+
+    h is crc32 of the decimal conv_id modulo 6, so at most five turns of a conversation are copied, to at most 199 others.
+    """
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    placed = turns.where("conv_id IS NOT NULL").select("conv_id", (F.row_number().over(order) - 1).alias("place"), "role", "text")
+    share = remainder(F.col("conv_id"), 6)
+    own = placed.where(F.col("place") >= share)
+    heirs = turns.where("conv_id IS NOT NULL").select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), share.alias("h"))
+    lent = placed.where("place < 5").withColumnRenamed("conv_id", "base")
+    taken = heirs.where("h > 0").join(lent, "base").where("place < h").select("conv_id", "place", "role", "text")
+    return own.unionByName(taken).withColumnRenamed("place", "turn")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.nodes(rebuilt_conversations(turns), turns).drop("digest")
+
+
 QUERIES = {
     "op1_warc_archive": op1_warc_archive,
     "op2_metric_tree": op2_metric_tree,
@@ -85,4 +105,5 @@ QUERIES = {
     "op8_line_windows": op8_line_windows,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_secret_scan": op10_secret_scan,
+    "op12_prefix_trie": op12_prefix_trie,
 }
