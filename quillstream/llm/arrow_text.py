@@ -101,3 +101,13 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     only = np.where(CLASSES == 1, 1, 0).astype(np.uint8)[data]
     starts, ends, text = runs(only, off)
     return span_hashes(LOWER[data], starts, ends), text, starts, ends
+
+
+#: Bytes that part words where only white space does: space, tab, line feed, vertical tab, form feed, carriage return.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def space_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the words that white space parts, as they are written."""
+    return runs((~SPACES[data]).astype(np.uint8), off)

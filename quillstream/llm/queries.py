@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prefix_trie, prob_minhash, secret_scan, suffix_dedup, warc_archive
+from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prefix_trie, prob_minhash, secret_scan, suffix_dedup, warc_archive, word_runs
 from quillstream.llm.oracles import ORACLES as ORACLES
 from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
@@ -74,6 +74,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): with h = crc32 of the decimal doc_id and g = h div 10, where h % 10 = 0 the n words from number g % n on repeat
+    the first p of them, p = 1 + (n - g % n) div (3 + g % 8). A null doc_id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = documents.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    placed = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.repeats(with_planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = found.withColumn("best", word_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def rebuilt_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the first h turns of conversation c - c % 100, then those of c after its own first h.
 
@@ -105,5 +126,6 @@ QUERIES = {
     "op8_line_windows": op8_line_windows,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_secret_scan": op10_secret_scan,
+    "op11_word_runs": op11_word_runs,
     "op12_prefix_trie": op12_prefix_trie,
 }
