@@ -103,3 +103,20 @@ SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs,
        saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM full_nodes n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = list_slice(n.p, 1, n.d - 1)
 """
+
+ORACLES["op13_automaton_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+marked AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(t)) < doc_id AS again FROM windows),
+covered AS (
+    SELECT w.doc_id, w.p, w.word, coalesce(max(CASE WHEN again THEN i END) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+    FROM words w LEFT JOIN marked m ON m.doc_id = w.doc_id AND m.i = w.p
+), told AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept,
+           count(*) FILTER (WHERE gone AND NOT before) AS n_spans
+    FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS before FROM covered) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN told USING (doc_id)
+"""

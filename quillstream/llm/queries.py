@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm import byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prefix_trie, prob_minhash, secret_scan, suffix_dedup, warc_archive, word_runs
+from quillstream.llm import automaton_dedup, byte_bpe, clause_grammar, line_windows, linear_text, metric_tree, phrase_index, prefix_trie, prob_minhash, secret_scan, suffix_dedup, warc_archive, word_runs
 from quillstream.llm.oracles import ORACLES as ORACLES
 from quillstream.llm.shared import fresh_path, remainder
 from quillstream.session import table
@@ -115,6 +115,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(rebuilt_conversations(turns), turns).drop("digest")
 
 
+def op13_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.dedupe(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES = {
     "op1_warc_archive": op1_warc_archive,
     "op2_metric_tree": op2_metric_tree,
@@ -128,4 +132,5 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_word_runs": op11_word_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_automaton_dedup": op13_automaton_dedup,
 }
