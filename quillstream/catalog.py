@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillstream.plans import event_queries, market_queries, record_queries, rule_queries, text_queries
+from quillstream.plans import classifier_queries, event_queries, market_queries, record_queries, rule_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (text_queries, event_queries, market_queries, record_queries, rule_queries):
+for _module in (classifier_queries, text_queries, event_queries, market_queries, record_queries, rule_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
