@@ -1,8 +1,8 @@
 """Ordered event operators: look-back suppression, fact sets, failure streaks and alerts, feedback folds.
 
-A fold needs the events of one key in order. Rows are dealt by key and sorted in their partitions, which
-Spark does with spilling, and pass through the fold one by one: it holds the state of one key, and every
-event is its own row, however long a key's history is. Events of one key still pass through one task.
+Look-backs and alerts fold each key's events in order by ``scan``, which splits a key of any length over
+many tasks. ``folded`` serves folds whose state is too large for that: rows are dealt by key and sorted in
+their partitions and pass through one by one, so the events of one key pass through one task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillstream.operators.scan import Alerts, LookBack, scanned
+
 
 def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], used: Sequence[str], start: Callable, step: Callable, made: dict[str, str]) -> DataFrame:
     """``rows`` with the columns ``made``: ``step(state, *used) -> (state, values)`` over each key's rows in order, from ``start()``."""
@@ -48,12 +50,7 @@ def look_back(events: DataFrame, keys: Sequence[str], at: str, event_id: str, mi
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     rows = events.where(F.col(at).isNotNull()).select(*keys, event_id, at, micros.alias("_t"), span.alias("_span"))
 
-    def step(anchor: int | None, t: int, span: int | None) -> tuple:
-        covered = anchor is not None and span is not None and t - anchor <= span
-        anchor = anchor if covered else t
-        return anchor, (covered, anchor)
-
-    done = folded(rows, keys, ["_t", event_id, "_span"], ["_t", "_span"], lambda: None, step, {"duplicate": "boolean", "_anchor": "bigint"})
+    done = scanned(rows, keys, ["_t", event_id, "_span"], ["_t", "_span"], LookBack(), {"duplicate": "boolean", "_anchor": "bigint"})
     return done.select(*keys, event_id, at, "duplicate", F.timestamp_micros("_anchor").alias("anchor"))
 
 
@@ -86,16 +83,8 @@ def alerts(log: DataFrame, keys: Sequence[str], at: str, event_id: str, failed:
     """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     rows = log.select(*keys, F.col(event_id).cast("bigint").alias(event_id), at, micros.alias("_t"), failed.alias("_f"))
-    wait = cooldown_minutes * 60_000_000
-
-    def step(state: tuple, t: int | None, bad: bool | None) -> tuple:
-        n, last = state
-        cool = last is None or t is None or t - last >= wait
-        alert = bool(bad) and n + 1 >= threshold and cool
-        recovery = bad is False and n >= threshold and last is not None and cool
-        return (n + 1 if bad else 0, t if alert else last), ("failure" if alert else "recovery" if recovery else "",)
-
-    done = folded(rows, keys, ["_t", event_id, "_f"], ["_t", "_f"], lambda: (0, None), step, {"kind": "string"})
+    fold = Alerts(threshold, cooldown_minutes * 60_000_000)
+    done = scanned(rows, keys, ["_t", event_id, "_f"], ["_t", "_f"], fold, {"kind": "string"})
     return done.where("kind <> ''").select(*keys, event_id, at, "kind")
 
 
