@@ -165,30 +165,54 @@ def decision_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.validate(told, expected, segments, "l_orderkey")
 
 
-_HITS = "h AS (SELECT event_id, user_id % 12 AS rule_id, epoch_us(ts) AS t, 'k' || (event_id % 40) AS k, CASE WHEN event_id % 3 = 0 THEN ['k' || ((event_id + 1) % 40), 'k' || ((event_id + 7) % 40)] ELSE []::VARCHAR[] END AS al, event_type = 'error' AS bad, (CASE WHEN event_id % 2 = 0 THEN 360 ELSE 90000 END)::BIGINT * 60000000 AS span FROM events)"
+#: Hits of twelve groups of keys: rules cross the groups, keys do not, so that the SQL may fold group by group.
+_HITS = """h AS (SELECT event_id, user_id % 12 AS g, epoch_us(ts) AS t, 'g' || (user_id % 12) || 'k' || (event_id % 40) AS k, CASE WHEN event_id % 3 = 0 THEN ['g' || (user_id % 12) || 'k' || ((event_id + 1) % 40), 'g' || (user_id % 12) || 'k' || ((event_id + 7) % 40)] ELSE []::VARCHAR[] END AS al,
+    event_type = 'error' AS bad, event_type <> 'view' AS sent, (CASE WHEN event_id % 2 = 0 THEN 360 ELSE 90000 END)::BIGINT * 60000000 AS span FROM events)"""
+_NEAR = "list_sort(list_filter(list_transform({al}, lambda a: {{t: w.held[a].t, a: a}}), lambda e: e.t IS NOT NULL AND e.t >= o.t - least(o.span, 2592000000000)))[1]"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lambda n: F.concat(F.lit("g"), (F.col("user_id") % 12).cast("string"), F.lit("k"), ((F.col("event_id") + n) % 40).cast("string"))
+    aliases = F.when(F.col("event_id") % 3 == 0, F.array(k(1), k(7))).otherwise(F.array().cast("array<string>"))
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") != "view", "sent")
+    minutes = F.when(F.col("event_id") % 2 == 0, 360).otherwise(90000)
+    return _events(spark, sf_dir).select("event_id", "ts", (F.col("event_id") % 5).alias("rule_id"), k(0).alias("key"), k(3).alias("second"), aliases.alias("aliases"), outcome.alias("outcome"), minutes.alias("minutes"))
 
 
 @query(
     "alias_lookback_dedup",
-    f"""WITH RECURSIVE {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY t, event_id) AS n FROM h),
-    w AS (SELECT rule_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, '' AS status, NULL::VARCHAR AS matched, MAP {{'': 0::BIGINT}} AS held FROM (SELECT DISTINCT rule_id FROM h)
+    f"""WITH RECURSIVE {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t, event_id) AS n FROM h),
+    w AS (SELECT g, 0::BIGINT AS n, NULL::BIGINT AS event_id, '' AS status, NULL::VARCHAR AS matched, NULL::BIGINT AS first_event, MAP {{'': {{'t': 0::BIGINT, 's': false, 'e': 0::BIGINT}}}} AS held FROM (SELECT DISTINCT g FROM h)
         UNION ALL
-        SELECT rule_id, n, event_id, CASE WHEN own OR near IS NOT NULL THEN 'duplicate' WHEN bad THEN 'failed' ELSE 'reserved' END, CASE WHEN own THEN k WHEN near IS NOT NULL THEN near.a WHEN bad THEN NULL ELSE k END,
-            CASE WHEN own THEN held WHEN near IS NOT NULL THEN CASE WHEN held[k] IS NULL THEN map_concat(held, MAP {{k: t}}) ELSE held END
-                 WHEN bad THEN map_concat(held, MAP {{k: NULL::BIGINT}}) ELSE map_concat(held, MAP {{k: t}}) END
-        FROM (SELECT o.*, w.held, coalesce(w.held[o.k] >= o.t - o.span, false) AS own,
-                list_sort(list_filter(list_transform(o.al, lambda a: {{t: w.held[a], a: a}}), lambda e: e.t IS NOT NULL AND e.t >= o.t - least(o.span, 2592000000000)))[1] AS near
-              FROM w JOIN o ON o.rule_id = w.rule_id AND o.n = w.n + 1))
-    SELECT event_id, status, matched FROM w WHERE n > 0""",
+        SELECT g, n, event_id, CASE WHEN own OR near IS NOT NULL THEN 'duplicate' WHEN bad THEN 'failed' ELSE 'reserved' END, CASE WHEN own THEN k WHEN near IS NOT NULL THEN near.a WHEN bad THEN NULL ELSE k END, CASE WHEN own THEN held[k].e WHEN near IS NOT NULL THEN held[near.a].e END,
+            CASE WHEN own THEN held WHEN near IS NOT NULL THEN CASE WHEN held[k] IS NULL AND held[near.a].s THEN map_concat(held, MAP {{k: {{'t': t, 's': true, 'e': held[near.a].e}}}}) ELSE held END
+                 WHEN bad THEN map_concat(held, MAP {{k: NULL::STRUCT(t BIGINT, s BOOLEAN, e BIGINT)}}) ELSE map_concat(held, MAP {{k: {{'t': t, 's': sent, 'e': event_id}}}}) END
+        FROM (SELECT o.*, w.held, coalesce(w.held[o.k].t >= o.t - o.span, false) AS own, {_NEAR.format(al='o.al')} AS near FROM w JOIN o ON o.g = w.g AND o.n = w.n + 1))
+    SELECT event_id, status, matched, first_event FROM w WHERE n > 0""",
 )
 def alias_lookback_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with two aliases and two look-backs; failed deliveries release what they reserved."""
-    k = lambda n: F.concat(F.lit("k"), ((F.col("event_id") + n) % 40).cast("string"))
-    aliases = F.when(F.col("event_id") % 3 == 0, F.array(k(1), k(7))).otherwise(F.array().cast("array<string>"))
-    rows = _events(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 12).alias("rule_id"), k(0).alias("key"), aliases.alias("aliases"), "event_type")
-    minutes = F.when(F.col("event_id") % 2 == 0, 360).otherwise(90000)
-    done = reservations.reserve(rows, "rule_id", "ts", "event_id", "key", "aliases", minutes, F.col("event_type") == "error")
-    return done.select("event_id", "status", "matched")
+    """Hits with two aliases and two look-backs, looked up whatever their rule; failed deliveries release, views are never confirmed."""
+    return reservations.reserve(_hits(spark, sf_dir), "rule_id", "ts", "event_id", "key", "aliases", F.col("minutes"), "outcome")
+
+
+@query(
+    "fact_set_reservations",
+    f"""WITH RECURSIVE {_HITS}, o AS (SELECT *, 'g' || g || 'k' || ((event_id + 3) % 40) AS k2, row_number() OVER (PARTITION BY g ORDER BY t, event_id) AS n FROM h),
+    w AS (SELECT g, 0::BIGINT AS n, NULL::BIGINT AS event_id, '' AS status, NULL::VARCHAR AS reserved, NULL::VARCHAR AS matched, MAP {{'': {{'t': 0::BIGINT, 's': false, 'e': 0::BIGINT}}}} AS held FROM (SELECT DISTINCT g FROM h)
+        UNION ALL
+        SELECT g, n, event_id, CASE WHEN m1 IS NOT NULL AND m2 IS NOT NULL THEN 'duplicate' WHEN bad THEN 'failed' ELSE 'reserved' END,
+            CASE WHEN m1 IS NULL AND m2 IS NULL THEN k || ',' || k2 WHEN m1 IS NULL THEN k WHEN m2 IS NULL THEN k2 ELSE '' END, coalesce(m1, m2),
+            map_concat(held, CASE WHEN m1 IS NOT NULL THEN MAP {{'': {{'t': 0::BIGINT, 's': false, 'e': 0::BIGINT}}}} WHEN bad THEN MAP {{k: NULL::STRUCT(t BIGINT, s BOOLEAN, e BIGINT)}} ELSE MAP {{k: {{'t': t, 's': sent, 'e': event_id}}}} END,
+                CASE WHEN m2 IS NULL AND bad THEN MAP {{k2: NULL::STRUCT(t BIGINT, s BOOLEAN, e BIGINT)}} WHEN m2 IS NULL THEN MAP {{k2: {{'t': t, 's': sent, 'e': event_id}}}} ELSE MAP {{'': {{'t': 0::BIGINT, 's': false, 'e': 0::BIGINT}}}} END)
+        FROM (SELECT o.*, w.held, CASE WHEN w.held[o.k].t >= o.t - o.span THEN o.k END AS m1, CASE WHEN w.held[o.k2].t >= o.t - o.span THEN o.k2 END AS m2 FROM w JOIN o ON o.g = w.g AND o.n = w.n + 1))
+    SELECT event_id, status, reserved, matched FROM w WHERE n > 0""",
+)
+def fact_set_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two facts, reserved together; an item is a duplicate only if both are covered."""
+    none = F.array().cast("array<string>")
+    sets = F.array(*[reservations.hit(F.col("rule_id"), F.col(k), none, F.col("minutes")) for k in ("key", "second")])
+    done = reservations.reserve_sets(_hits(spark, sf_dir).withColumn("hits", sets), "ts", "event_id", "hits", "outcome")
+    return done.select("event_id", "status", F.coalesce(F.array_join("reserved", ","), F.lit("")).alias("reserved"), "matched")
 
 
 @query(
