@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.operators import macro_events
+from quillstream.operators import company_events, macro_events, reservations
 from quillstream.session import table
 
 QUERIES: dict = {}
@@ -54,3 +54,52 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macro_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = macro_events.identities(notes(spark, sf_dir), MACRO, "o_orderkey", ("title",))
     return found.withColumn("aliases", F.array_join("aliases", ",")).drop("quote")
+
+
+COMPANY = company_events.CompanyConfig(
+    families={"price_change": ("price cut", "price hike"), "buyback": ("buyback",), "contract_order": ("contract",)}, metric_terms=("net profit",), forecast_terms=("guidance",), result_terms=("results",), correction_terms=("corrected",),
+    stages={"terminated": ("terminated",), "completed": ("completed",)}, proposed_terms=("plans to",), turns={"price_change": (("price cut",), "down", "up")}, action_terms=("announces",), object_terms=("GPU", "SSD"),
+    legal_forms=(" inc.", " corp"), no_names=("Firm7",), broad=("buyback",), short=("price_change",),
+)
+
+
+def company_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two claims an order: a firm with what the priority and the status say, and another firm's buyback."""
+    p, s, k = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey")
+    what = F.when(p == "1-URGENT", "net profit guidance for the first half").when(p == "2-HIGH", F.when(k % 2 == 0, "price cut on SSD and GPU").otherwise("price hike")).when(p == "3-MEDIUM", F.concat(F.lit("contract worth "), (k % 3).cast("string"), F.lit("元, 5% more")))
+    tail = F.when(s == "F", ", corrected").when(s == "P", ", completed").otherwise("")
+    firm = F.concat(F.lit("Firm"), (F.col("o_custkey") % 40).cast("string"), F.when(k % 4 == 0, " Inc.").otherwise(""))
+    title = F.concat(firm, F.lit(" announces "), F.coalesce(what, F.lit("nothing")), tail)
+    other = F.concat(F.lit("Firm"), (k % 30).cast("string"), F.lit(" corp announces buyback"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", title.alias("title"), other.alias("summary"), F.col("o_orderdate").alias("published_at"))
+
+
+@query(
+    "company_identities",
+    """WITH n AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, 'Firm' || o_custkey % 40 AS firm, 'Firm' || o_orderkey % 30 AS other, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y') || '-H1' AS half FROM orders),
+    a AS (SELECT k, firm AS company, CASE p WHEN '1-URGENT' THEN 'earnings' WHEN '2-HIGH' THEN 'price_change' ELSE 'contract_order' END AS family, CASE WHEN p = '1-URGENT' THEN half ELSE day END AS reference,
+        CASE WHEN p = '1-URGENT' THEN '' WHEN p = '2-HIGH' THEN 'gpu|ssd' ELSE (k % 3) || '元|5%' END AS scope, s, p, k % 2 AS odd FROM n WHERE p IN ('1-URGENT', '3-MEDIUM') OR (p = '2-HIGH' AND k % 2 = 0)),
+    b AS (SELECT *, CASE WHEN s = 'F' THEN 'revision-' || substr(sha256(CASE WHEN p = '3-MEDIUM' THEN scope ELSE lower(company) || CASE WHEN k % 4 = 0 THEN ' inc.' ELSE '' END || ' announces ' || CASE WHEN p = '1-URGENT' THEN 'net profit guidance for the first half' ELSE 'price cut on ssd and gpu' END || ', corrected' END), 1, 10)
+        WHEN s = 'P' THEN 'completed' WHEN p = '1-URGENT' THEN 'forecast' WHEN p = '2-HIGH' THEN 'down' ELSE 'announced' END AS stage FROM a),
+    u AS (SELECT k, company, family, reference, stage, scope FROM b UNION SELECT k, other, 'buyback', day, 'announced', '' FROM n)
+    SELECT k AS o_orderkey, company, family, reference, stage, scope, 'company_event:' || lower(company) || ':' || family || ':' || reference || ':' || CASE WHEN scope = '' THEN 'general' ELSE substr(sha256(scope), 1, 12) END || ':v:' || stage AS dedup_key,
+        (CASE WHEN family = 'price_change' THEN 43200 ELSE 129600 END)::BIGINT AS minutes FROM u WHERE company <> 'Firm7'""",
+)
+def company_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = company_events.identities(company_notes(spark, sf_dir), COMPANY, "o_orderkey", ("title", "summary"))
+    return found.select("o_orderkey", "company", "family", "reference", "stage", F.array_join("scope", "|").alias("scope"), "dedup_key", "minutes")
+
+
+@query(
+    "company_fact_sets",
+    """WITH RECURSIVE n AS (SELECT o_orderkey AS k, 'Firm' || o_orderkey % 30 AS other, epoch_us(o_orderdate) AS t, date_trunc('day', o_orderdate + INTERVAL 8 HOUR) AS day FROM orders WHERE o_orderkey % 30 <> 7),
+    f AS (SELECT k, other, day, row_number() OVER (PARTITION BY other, day ORDER BY t, k::VARCHAR) AS n FROM n)
+    SELECT k AS o_orderkey, CASE WHEN n = 1 THEN 'reserved' ELSE 'duplicate' END AS status, CASE WHEN n > 1 THEN first_value(k) OVER (PARTITION BY other, day ORDER BY n) END AS first_event FROM f""",
+)
+def company_fact_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's second claim alone: its identities go to the reservations as one set of facts."""
+    notes_ = company_notes(spark, sf_dir)
+    found = company_events.identities(notes_, COMPANY, "o_orderkey", ("summary",))
+    hits = found.groupBy("o_orderkey").agg(F.collect_list(reservations.hit(F.lit(company_events.RULE), F.col("dedup_key"), F.array().cast("array<string>"), F.col("minutes"))).alias("hits"))
+    items = hits.join(notes_.select("o_orderkey", "published_at"), "o_orderkey").withColumn("outcome", F.lit("sent"))
+    return reservations.reserve_sets(items, "published_at", "o_orderkey", "hits", "outcome").select("o_orderkey", "status", "first_event")
