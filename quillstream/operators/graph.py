@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.session import checkpointed
+
 
 def _ordered(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -29,9 +31,9 @@ def _small(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b); the root is the least node of the component. Nulls link nothing."""
-    state, links = None, _ordered(links.where("a IS NOT NULL AND b IS NOT NULL")).checkpoint()
+    state, links = None, checkpointed(_ordered(links.where("a IS NOT NULL AND b IS NOT NULL")))
     while True:
-        links = _small(_large(links)).checkpoint()
+        links = checkpointed(_small(_large(links)))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

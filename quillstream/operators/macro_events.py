@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
+from quillstream.session import checkpointed
 
 #: Characters that a month may stand before its indicator, days of the look-backs, and sessions before a reaction that it is also known by.
 MONTH_REACH, LOOK_BACK_DAYS, IMPULSE_DAYS, ALIAS_SESSIONS, QUOTE = 48, 90, 14, 3, 500
@@ -140,7 +141,7 @@ def identities(items: DataFrame, config: MacroConfig, key: str = "id", parts: Se
 
     ``exceptions`` names a boolean column of items that are kept apart whatever they say.
     """
-    cut = claims(items, key, parts, at).checkpoint()
+    cut = checkpointed(claims(items, key, parts, at))
     low = lambda c, terms: T.contains_any(c, terms)
     reacts = lambda c: low(c, config.market_terms) & low(c, config.direction_terms)
     impulse = F.coalesce(*[F.when(low(F.col("claim"), terms), F.lit(label)) for label, terms in config.impulses.items()], F.lit(None).cast("string"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstream.operators.events import folded
 from quillstream.operators.graph import components
+from quillstream.session import checkpointed
 
 #: Aliases of a hit at most, days that an alias looks back at most, and the bounds and default of a look-back.
 MOST_ALIASES, ALIAS_DAYS, MOST_DAYS, DEFAULT_DAYS = 16, 30, 90, 14
@@ -98,7 +99,7 @@ def reserve_sets(items: DataFrame, at: str, event_id: str, hits: str, outcome: s
     rows = items.where(F.col(at).isNotNull() & F.col(event_id).isNotNull()).select(
         F.col(event_id).cast("string").alias("_event"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.unix_micros(settled).alias("_s"), result.alias("_outcome"), _clean(F.col(hits).cast(f"array<{_HIT}>")).alias("_hits")
     ).where(F.size("_hits") > 0)
-    rows = rows.withColumn("_later", F.coalesce((F.col("_s") > F.col("_t")) & F.col("_outcome").isNotNull(), F.lit(False))).checkpoint()
+    rows = checkpointed(rows.withColumn("_later", F.coalesce((F.col("_s") > F.col("_t")) & F.col("_outcome").isNotNull(), F.lit(False))))
 
     # All keys of an item and all their aliases are one set.
     keys = F.flatten(F.transform("_hits", lambda h: F.concat(F.array(h["key"]), h["aliases"])))

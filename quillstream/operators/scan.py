@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillstream.session import checkpointed
+
 _KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 NEVER = float("-inf")
 
@@ -157,7 +159,7 @@ def scanned(rows: DataFrame, keys: Sequence[str], order: Sequence[str], used: Se
     and apply it; the result is the same as of steps one by one.
     """
     place, own = [*keys, *order], rows.columns
-    dealt = rows.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = checkpointed(rows.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_part", F.spark_partition_id()))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,35 @@ DEFAULTS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors are threads of the driver, gets a folder of its own; a cluster is asked to name one.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: its partitions are written to the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def local_session(name: str = "quillstream", cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings the session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    session = builder.getOrCreate()
-    if not session.conf.get("spark.checkpoint.dir", None):  # one machine, so a folder of its own is a shared one
-        session.stop()
-        session = builder.config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='quillstream-')}").getOrCreate()
+    folder = conf.get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
+    session = builder.config("spark.checkpoint.dir", folder).getOrCreate()
     return session
 
 

@@ -1,78 +1,9 @@
-"""Structured Streaming forms of the stateful operators; each gives what its batch form gives.
-
-State is one small record per key with an event-time timeout, so it ends with the look-back. Events are
-taken in order within a batch; the caller's watermark says how late one may come.
-"""
+"""Streaming forms that Spark's own state serves; see ``ordered`` for folds in event-time order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def look_back(events: DataFrame, key: str, at: str, event_id: str, minutes: int, lateness: str = "1 hour") -> DataFrame:
-    """(key, event_id, at, duplicate) of a stream: an event within ``minutes`` of its key's last kept one is a duplicate."""
-    span = pd.Timedelta(minutes=minutes)
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values([at, event_id])
-        anchor = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        marks = []
-        for t in rows[at]:
-            covered = anchor is not None and t - anchor <= span
-            anchor = anchor if covered else t
-            marks.append(covered)
-        state.update((int(anchor.value // 1000),))
-        over = int((anchor + span).timestamp() * 1000) + 1
-        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: keys[0], event_id: rows[event_id], at: rows[at], "duplicate": marks})
-
-    kinds = dict(events.dtypes)
-    out = f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {at} timestamp, duplicate boolean"
-    timed = events.withWatermark(at, lateness)
-    return timed.select(key, event_id, at).groupBy(key).applyInPandasWithState(step, out, "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def streaks(log: DataFrame, key: str, at: str, event_id: str, failed: str) -> DataFrame:
-    """(key, event_id, streak): failures in a row up to and with each event of a stream."""
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([at, event_id])
-        n, out = (state.get[0] if state.exists else 0), []
-        for bad in rows[failed]:
-            n = n + 1 if bad else 0
-            out.append(n)
-        state.update((n,))
-        yield pd.DataFrame({key: keys[0], event_id: rows[event_id], "streak": out})
-
-    kinds = dict(log.dtypes)
-    return log.select(key, event_id, at, failed).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, streak int", "n int", "append", GroupStateTimeout.NoTimeout)
-
-
-def toggles(clicks: DataFrame, key: str, at: str, event_id: str, label: str) -> DataFrame:
-    """(key, active_labels): labels that the clicks of a stream leave active, after each batch; a repeated event id counts once."""
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).drop_duplicates(event_id).sort_values([at, event_id])
-        active = [x for x in state.get[0].split(",") if x] if state.exists else []
-        last = state.get[1] if state.exists else -1
-        for t, x in zip(rows[at], rows[label], strict=True):
-            micros = int(pd.Timestamp(t).value // 1000)
-            if micros < last:
-                continue  # older than what is shown: kept by the caller, without effect
-            last = micros
-            active = [y for y in active if y != x] if x in active else [*active, x]
-        state.update((",".join(active), last))
-        yield pd.DataFrame({key: [keys[0]], "active_labels": [",".join(sorted(active))]})
-
-    kinds = dict(clicks.dtypes)
-    return clicks.select(key, event_id, at, label).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, active_labels string", "active string, last long", "update", GroupStateTimeout.NoTimeout)
+from pyspark.sql import functions as F
 
 
 def fresh_items(items: DataFrame, keys: list[str], at: str, lateness: str = "72 hours") -> DataFrame:
@@ -82,7 +13,5 @@ def fresh_items(items: DataFrame, keys: list[str], at: str, lateness: str = "72
 
 def hourly_counts(items: DataFrame, at: str, group: str, lateness: str = "1 hour") -> DataFrame:
     """Counts per hour and group, appended when the watermark has passed the hour."""
-    from pyspark.sql import functions as F
-
     windowed = items.withWatermark(at, lateness).groupBy(F.window(at, "1 hour").alias("w"), group).agg(F.count("*").alias("n"))
     return windowed.select(F.col("w.start").alias("hour"), group, "n")

@@ -1,9 +1,6 @@
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from quillstream.sources import feeds
-from quillstream.streaming import stateful
 
 RSS = """<rss><channel><item><title>A &amp;amp; b</title><link>http://x/1</link><guid isPermaLink="false">g1</guid><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description><![CDATA[<p>Body</p>]]></description></item>
 <item><title>No id</title></item><item><description>nothing</description></item></channel></rss>"""
@@ -33,28 +30,3 @@ def test_small_sources(spark):
     assert row.select(feeds.embedded_json(F.col("h"), "S", "$.a.b")).first()[0] == "7"
     assert row.select(feeds.page_state(F.lit("Access Denied"))).first()[0] == "waf"
     assert len(row.select(feeds.signed_query({"b": "2", "a": "1"})).first()[0]) == 32
-
-
-def stream(spark, tmp_path, batches, schema, build, mode):
-    folder, out = tmp_path / "in", []
-    folder.mkdir()
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / f"b{k}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
-    q = build(source).writeStream.outputMode(mode).foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return out
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [("k", t0 + dt.timedelta(minutes=m), i) for i, m in enumerate([0, 30, 50, 80, 100, 140])]
-    got = stream(spark, tmp_path, [rows[:3], rows[3:]], "k string, t timestamp, i long", lambda s: stateful.look_back(s, "k", "t", "i", 45, "2 hours"), "append")
-    assert [r.duplicate for r in sorted(got, key=lambda r: r.i)] == [False, True, False, True, False, True]
-
-
-def test_stream_toggles(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [("k", t0, 1, "a"), ("k", t0 + dt.timedelta(minutes=1), 2, "b"), ("k", t0 + dt.timedelta(minutes=2), 3, "a")]
-    got = stream(spark, tmp_path, [rows[:2], rows[2:]], "k string, t timestamp, i long, l string", lambda s: stateful.toggles(s, "k", "t", "i", "l"), "update")
-    assert [r.active_labels for r in got] == ["a,b", "b"]
