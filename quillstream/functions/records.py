@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ RESEARCH_ACTIONS = (
 TARGET_PRICE = r"(?i)(?:目标价|target price|PT|tp)[^0-9€$￥¥]{0,16}([€$￥¥]?\s*\d+(?:\.\d+)?)"
 
 
+_JSON_MARKS, _FENCED = re.compile(r'[{}"\\]'), re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
+
+
 def report_title(title: Column) -> Column:
     """(institution, report_date, pages, target_price, research_action) of a report's title; ``unknown`` where it does not say."""
     text = T.text_of(title)
@@ -41,13 +47,59 @@ def author_targets(value: Column) -> Column:
     return F.filter(kept, lambda p, i: F.array_position(codes, p["code"]) == i + 1)
 
 
+def balanced_object(text: str) -> str | None:
+    """From the first brace of a text to the one that closes it; braces within JSON strings do not count."""
+    start, depth, quoted, skip = text.find("{"), 0, False, -1
+    if start < 0:
+        return None
+    for m in _JSON_MARKS.finditer(text, start):
+        mark = m.group()
+        if m.start() == skip:
+            continue
+        if quoted:
+            if mark == "\\":
+                skip = m.end()  # what it escapes
+            elif mark == '"':
+                quoted = False
+        elif mark == '"':
+            quoted = True
+        elif mark == "{":
+            depth += 1
+        elif mark == "}":
+            depth -= 1
+            if depth == 0:
+                return text[start : m.end()]
+    return None
+
+
+def find_object(text: str | None) -> str | None:
+    """The first of these that is a JSON object: the text, a fenced block, the balanced object from the first brace, first to last brace."""
+    if not text:
+        return None
+    fenced = _FENCED.search(text)
+    end = text.rfind("}") + 1
+    for part in (text, fenced and fenced.group(1), balanced_object(text), text[text.find("{") : end] if "{" in text else None):
+        if not part:
+            continue
+        try:
+            if isinstance(json.loads(part), dict):
+                return part.strip()
+        except ValueError:
+            continue
+    return None
+
+
 def json_object(value: Column) -> Column:
-    """The JSON object in a noisy text: the text itself, a fenced block, or what lies between the first and last brace; null if none parses."""
-    text = T.strip(T.text_of(value))
-    fenced = T.strip(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1))
-    outer = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    good = lambda c: F.when(c.startswith("{") & F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(good(text), good(fenced), good(outer))
+    """The JSON object in a noisy text, as it is written there; null if none parses as a whole.
+
+    Texts that may hold an object go to Python in Arrow batches, as no built-in function counts braces outside strings.
+    """
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(find_object)
+
+    return F.when(value.contains("{"), found(value))
 
 
 def relevant_lines(text: Column, terms: Sequence[str], most: int = 6) -> Column:

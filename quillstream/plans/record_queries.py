@@ -54,12 +54,16 @@ def author_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "json_recovery",
-    """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE props END AS found FROM events""",
+    """SELECT event_id, CASE event_id % 9 WHEN 4 THEN NULL WHEN 6 THEN '{"s":"}{ \\"' || event_type || '", "p":' || props || '}' WHEN 7 THEN NULL WHEN 8 THEN '{"a":' || props || '}' ELSE props END AS found FROM events""",
 )
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects alone, in a fenced block, between other words, and cut off."""
-    p, k = F.col("props"), F.col("event_id") % 5
-    text = F.when(k == 0, p).when(k == 1, F.concat(F.lit("so:\n```json\n"), p, F.lit("\n```\nend"))).when(k == 2, F.concat(F.lit("```"), p, F.lit("``` }"))).when(k == 3, F.concat(F.lit("the answer is "), p, F.lit(" as said"))).otherwise(F.expr("left(props, length(props) - 1)"))
+    """Objects alone, in fenced blocks, between other words, cut off, followed by others, with braces in strings, after a false start, and nested."""
+    p, k, kind = F.col("props"), F.col("event_id") % 9, F.col("event_type")
+    text = (
+        F.when(k == 0, p).when(k == 1, F.concat(F.lit("so:\n```json\n"), p, F.lit("\n```\nend"))).when(k == 2, F.concat(F.lit("```"), p, F.lit("``` }")))
+        .when(k == 3, F.concat(F.lit("the answer is "), p, F.lit(" as said"))).when(k == 4, F.expr("left(props, length(props) - 1)")).when(k == 5, F.concat(F.lit("note "), p, F.lit(' then {"b":2} and more')))
+        .when(k == 6, F.concat(F.lit('see {"s":"}{ \\"'), kind, F.lit('", "p":'), p, F.lit("} {"))).when(k == 7, F.concat(F.lit("x {a} y "), p, F.lit(" z"))).otherwise(F.concat(F.lit('it is {"a":'), p, F.lit("}!")))
+    )
     return _events(spark, sf_dir).select("event_id", R.json_object(text).alias("found"))
 
 
