@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces kept in a worker's table before it is emptied.
-KEPT_PIECES = 400_000
+from quillstream.llm.arrow_text import slices
+
+#: Bytes of pieces and their ids, about, that a worker's table keeps before it is emptied.
+KEPT_BYTES = 96 << 20
 _codecs: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -57,6 +59,7 @@ class ByteBpe:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.findall = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
+        self.kept = 0
         size = max(ranks.values(), default=-1) + 1
         back = {c: b for b, c in enumerate(self.characters)}
         table = [b""] * size
@@ -74,14 +77,16 @@ class ByteBpe:
             cuts = (4 * np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             for k, piece in enumerate(part):
                 self.pieces[piece] = raw[cuts[k] : cuts[k + 1]]
+                self.kept += 160 + 2 * len(piece) + cuts[k + 1] - cuts[k]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.findall(text) for text in texts]
         new = set().union(*cut) - self.pieces.keys() if cut else ()
         if new:
-            if len(self.pieces) > KEPT_PIECES:
+            if self.kept > KEPT_BYTES:
                 self.pieces.clear()
+                self.kept = 0
                 new = set().union(*cut)
             self._learn(list(new))
         get = self.pieces.__getitem__
@@ -117,8 +122,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, text_col):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in tool.encode(texts)]
                 spans = [tool.offsets(x, t.encode()) for x, t in zip(ids, texts, strict=True)]
@@ -148,8 +152,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, text_col):
                 packed = tool.encode([t or "" for t in part.column(1).to_pylist()])
                 decoded = [hashlib.sha256(tool.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in packed]
                 yield pa.RecordBatch.from_arrays(

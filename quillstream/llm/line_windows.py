@@ -58,17 +58,17 @@ def removed_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with its text without later occurrences of windows, and ``n_lines`` and ``n_removed`` after its columns."""
-    kept_columns = [c for c in df.columns if c not in (text_col, "n_lines", "n_removed")]
-    ranges = removed_ranges(df, id_col, text_col).select(F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    here = df.withColumn("_here", F.xxhash64(text_col))
-    joined = here.join(ranges, here[id_col].eqNullSafe(ranges["_key"]) & (here["_here"] == ranges["_copy"]), "left")
-    lines = F.split(text_col, "\n")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    from_ = lambda k: F.coalesce(F.get("_ends", k - 1), F.lit(0))
-    to = lambda k: F.coalesce(F.get("_starts", k), F.size("_lines"))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_starts")), lambda k: F.slice(F.col("_lines"), from_(k) + 1, to(k) - from_(k))))
-    gone = F.aggregate(F.arrays_zip(F.col("_starts").alias("s"), F.col("_ends").alias("e")), F.lit(0).cast("long"), lambda t, r: t + r["e"] - r["s"])
-    marked = joined.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines))
-    text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col)
-    columns = [text if c == text_col else F.col(c) for c in df.columns if c in (*kept_columns, text_col)]
+    ranges = removed_ranges(df, id_col, text_col)
+    # The row goes as one value, so that no name of its columns meets one of these.
+    here = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_copy"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    joined = here.join(ranges, F.col("id").eqNullSafe(F.col("key")) & (F.col("text_copy") == F.col("copy")), "left")
+    lines = F.split("text", "\n")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    from_ = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
+    to = lambda k: F.coalesce(F.get("starts", k), F.size("lines"))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("starts")), lambda k: F.slice(F.col("lines"), from_(k) + 1, to(k) - from_(k))))
+    gone = F.aggregate(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")), F.lit(0).cast("long"), lambda t, r: t + r["e"] - r["s"])
+    marked = joined.withColumn("lines", F.when(F.col("starts").isNotNull(), lines))
+    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col)
+    columns = [text if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c == text_col or c not in ("n_lines", "n_removed")]
     return marked.select(*columns, n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))

@@ -5,13 +5,14 @@ shapes (case, repeated word, punctuation). Indicators are scaled by the log-coun
 classes and by the text's own norm, and a linear hinge-loss model is fitted by dual coordinate
 descent. A margin becomes a probability by a logistic fit on held-back rows of the same sample.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hashed id; scoring
-reads every whole text. The model that is sent to the tasks has ``SIZE`` floats, whatever the input.
+The fit uses at most ``SAMPLE_ROWS`` labelled ids, those with the smallest hash, one text each, and no
+text of more than ``SAMPLE_CHARS`` characters; scoring reads every whole text. The model that is sent to the tasks has ``SIZE`` floats, whatever the input.
 
 Defined results: a null or empty text has no indicators and gets the score of the bare intercept;
 rows without a label, or with one other than 0 and 1, are not learnt from; with no labelled rows or
 one class the score is that class's share (0.5 without rows); an empty table gives an empty table;
-other columns are ignored; repeated ids are each scored, and learnt from once per row.
+other columns are ignored; repeated ids are each scored, and learnt from once, by one of their
+texts; an id with both labels counts as 1.
 """
 
 from __future__ import annotations
@@ -201,12 +202,14 @@ def accepted(df: DataFrame, model: np.ndarray, least: float = 0.5, text_col: str
 def labelled_sample(documents: DataFrame, labels: DataFrame, label_col: str, learn_if: Column, limit: int = SAMPLE_ROWS, longest: int = SAMPLE_CHARS) -> DataFrame:
     """At most ``limit`` labelled documents of at most ``longest`` characters, those with the smallest hashed ids: (doc_id, text, label).
 
-    Repeated rows of one id and text count once, so that neither rows nor bytes of the sample can outgrow the bounds.
+    An id gives one text, that of the smallest hash, and a label, 1 where it has both; texts that are too long are
+    left out before the limit counts. So neither rows nor bytes of the sample can outgrow the bounds.
     """
+    told = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & learn_if).groupBy("doc_id").agg(F.max(label_col).alias("label"))
+    short = documents.where(F.length(F.coalesce("text", F.lit(""))) <= longest).select("doc_id", F.xxhash64("text").alias("copy"))
     ids = (
-        labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & learn_if)
-        .groupBy("doc_id").agg(F.max(label_col).alias("label"))
+        short.join(told, "doc_id").groupBy("doc_id").agg(F.min("copy").alias("copy"), F.first("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= longest)
-    return rows.dropDuplicates(["doc_id", "text"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(limit)
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("copy")).join(F.broadcast(ids), ["doc_id", "copy"])
+    return rows.select("doc_id", "text", "label").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)

@@ -327,11 +327,14 @@ def first_of_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = members(df, id_col, text_col, threshold)
     leading = found.where(F.col("key").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("class_copy")))
-    leading = leading.select(F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("class_node").isNotNull().alias("_words")).distinct()
-    here = df.withColumn("_here", F.xxhash64(text_col))
-    kept = here.join(leading, here[id_col].eqNullSafe(leading["_key"]) & (here["_here"] == leading["_copy"]))
+    leading = leading.select("key", "copy", F.col("class_node").isNotNull().alias("words")).distinct()
+    # The row goes as one value, so that no name of its columns meets one of these.
+    here = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_copy"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    kept = here.join(leading, F.col("id").eqNullSafe(F.col("key")) & (F.col("text_copy") == F.col("copy"))).select("id", "copy", "words", "row")
     # Rows without words are told apart by a number that no other row has.
-    alone = F.when(F.col("_words"), F.lit(0)).otherwise(F.monotonically_increasing_id())
-    order = [c for c in df.columns if c not in (id_col, text_col)] or [text_col]
-    turn = F.row_number().over(Window.partitionBy(id_col, "_here", "_alone").orderBy(*order))
-    return kept.withColumn("_alone", alone).withColumn("_turn", turn).where("_turn = 1").select(*df.columns)
+    alone = F.when(F.col("words"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    value = lambda c: F.col("row").getField(c)
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    order = [F.to_json(F.struct(value(c).alias("v"))) if "map<" in df.schema[c].dataType.simpleString() else value(c) for c in others] or [F.lit(0)]
+    turn = F.row_number().over(Window.partitionBy("id", "copy", "alone").orderBy(*order))
+    return kept.withColumn("alone", alone).withColumn("turn", turn).where("turn = 1").select(*[value(c).alias(c) for c in df.columns])

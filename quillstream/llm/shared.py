@@ -7,17 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
+from quillstream.session import shared_folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -87,3 +87,18 @@ def test_run_equals_a_plain_version(spark, folder):
     kept = [(i, t) for i, t in kept if not any(tuple(words_of(t)[k : k + len(w)]) == w for w in windows for k in range(len(words_of(t)) - len(w) + 1))]
     got = C.run(spark, folder).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.decoded_sha256) for r in got) == sorted((i if i is not None else -1, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in kept)
+
+
+CLASHES = ("_here", "_copy", "_key", "_words", "_alone", "_turn", "_starts", "_lines", "key", "copy", "row", "id", "words", "starts", "text_copy", "n_windows")
+
+
+@pytest.mark.parametrize("stage", [C.lines, C.near_duplicates, C.decontaminate, C.quality])
+def test_stages_keep_columns_of_any_name(spark, folder, stage):
+    """Extra columns, named as the stages' own or of map type, come back as they were."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES], F.create_map(F.lit("a"), F.col("doc_id")).alias("m"))
+    out = stage(spark, extra, folder)
+    assert out.columns == extra.columns
+    rows = out.where("doc_id IS NOT NULL").collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES) and all(r.m == {"a": r.doc_id} for r in rows)
+    assert sorted(map(str, plain(out))) == sorted(map(str, plain(stage(spark, docs, folder))))
