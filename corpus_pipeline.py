@@ -39,10 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = phrase_index.alignments(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("_id"), F.col("copy").alias("_copy")).distinct()
-    here = docs.withColumn("_here", F.xxhash64("text"))
-    clean = here.join(hit, here["doc_id"].eqNullSafe(hit["_id"]) & (here["_here"] == hit["_copy"]), "left_anti")
-    return clean.select(*docs.columns)
+    hit = phrase_index.alignments(docs, table(spark, sf_dir, "benchmark")).select("key", "copy").distinct()
+    here = docs.select("doc_id", F.xxhash64("text").alias("text_copy"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    clean = here.join(hit, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("text_copy") == F.col("copy")), "left_anti")
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
