@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.operators import friction, terms
+from quillstream.operators import acceptance, friction, terms
 from quillstream.plans.text_queries import ITEMS, items
 from quillstream.session import table
 
@@ -113,3 +113,50 @@ def trade_friction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = friction.signals(items(spark, sf_dir).withColumn("summary", F.lit("")), rules, "doc_id", "title", "summary", "body")
     lists = ("corridors", "policy_tools", "action_stages", "sectors", "strong_terms", "weak_terms", "routine_terms", "targets")
     return found.select("doc_id", "signal", F.array_join("evidence", "\n").alias("evidence"), *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+_PLAIN = r"lower(regexp_replace(replace(coalesce(title, ''), 'Ａ', 'A'), '[\s\p{Z}]+', '', 'g'))"
+
+
+@query(
+    "titles_accepted",
+    rf"""WITH RECURSIVE {ITEMS}, t AS (SELECT doc_id, source, {_PLAIN} AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id % 7, doc_id::VARCHAR) AS n FROM i),
+    w AS (SELECT source, 0::BIGINT AS n, NULL::BIGINT AS doc_id, true AS accepted, []::VARCHAR[] AS held FROM (SELECT DISTINCT source FROM t)
+        UNION ALL SELECT source, n, doc_id, NOT alike, CASE WHEN alike OR x = '' THEN held ELSE list_append(held, x) END
+        FROM (SELECT t.*, w.held, t.x <> '' AND len(list_filter(w.held, lambda h: contains(h, t.x) OR contains(t.x, h))) > 0 AS alike FROM w JOIN t ON t.source IS NOT DISTINCT FROM w.source AND t.n = w.n + 1))
+    SELECT doc_id, accepted FROM w WHERE n > 0""",
+)
+def titles_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of each source, in an order that is not that of the ids; one is dropped if it is like an accepted earlier one."""
+    rows = items(spark, sf_dir).select("doc_id", "source", "title", (F.col("doc_id") % 7).alias("turn"))
+    return acceptance.accepted_titles(rows, "source", "doc_id", "title", "turn").select("doc_id", "accepted")
+
+
+@query(
+    "run_decisions",
+    r"""WITH RECURSIVE p AS (SELECT page_id, 'src' || page_id % 5 AS source, CASE WHEN page_id % 3 = 0 THEN substr(url, 1, 12 + page_id % 9) ELSE url END AS title, CASE WHEN page_id % 11 = 0 THEN 'u' || page_id % 4 ELSE url END AS url FROM pages),
+    past AS (SELECT * FROM p WHERE page_id % 4 = 0 AND source <> 'src4'), run AS (SELECT * FROM p WHERE page_id % 4 <> 0 OR page_id % 8 = 0),
+    x AS (SELECT r.*, lower(regexp_replace(r.title, '\s+', '', 'g')) AS t, CASE WHEN q.page_id IS NOT NULL THEN CASE q.page_id % 20 WHEN 0 THEN 'retry' WHEN 4 THEN 'expired' ELSE 'known' END WHEN r.source = 'src4' THEN 'baseline'
+        WHEN r.source = 'src1' AND (EXISTS (SELECT 1 FROM past o WHERE o.source = 'src1' AND (o.url = r.url OR o.title = r.title)) OR EXISTS (SELECT 1 FROM (SELECT lower(regexp_replace(title, '\s+', '', 'g')) AS y FROM past WHERE source = 'src1' ORDER BY page_id DESC LIMIT 80) WHERE contains(y, lower(regexp_replace(r.title, '\s+', '', 'g'))) OR contains(lower(regexp_replace(r.title, '\s+', '', 'g')), y))) THEN 'duplicate' END AS told
+        FROM run r LEFT JOIN past q ON q.page_id = r.page_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS n FROM x WHERE told IS NULL),
+    w AS (SELECT source, 0::BIGINT AS n, NULL::BIGINT AS page_id, '' AS decision, []::VARCHAR[] AS held FROM (SELECT DISTINCT source FROM o)
+        UNION ALL SELECT source, n, page_id, CASE WHEN alike THEN 'similar' ELSE 'new' END, CASE WHEN alike THEN held ELSE list_append(held, t) END
+        FROM (SELECT o.*, w.held, len(list_filter(w.held, lambda h: contains(h, o.t) OR contains(o.t, h))) > 0 AS alike FROM w JOIN o ON o.source = w.source AND o.n = w.n + 1))
+    SELECT page_id, decision FROM w WHERE n > 0 UNION ALL SELECT page_id, told FROM x WHERE told IS NOT NULL""",
+)
+def run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a run of five sources against a ledger of every fourth page; one source has no ledger, one looks at its own titles there."""
+    k = F.col("page_id")
+    start = F.to_timestamp(F.lit("2024-01-02"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("src"), (k % 5).cast("string")).alias("source"), k.cast("string").alias("item_id"), F.when(k % 3 == 0, F.substring("url", F.lit(1), (k % 9 + 12).cast("int"))).otherwise(F.col("url")).alias("title"),
+        F.when(k % 11 == 0, F.concat(F.lit("u"), (k % 4).cast("string"))).otherwise(F.col("url")).alias("url"), F.timestamp_seconds(k).alias("published_at"), "page_id",
+    )
+    waiting = F.when(k % 20 == 0, "pending").when(k % 20 == 4, "failed_retryable").otherwise("ready")
+    seen_at = F.when(k % 20 == 4, F.timestamp_seconds(k)).otherwise(start + F.make_dt_interval(secs=k / 1e6))
+    ledger = pages.where("page_id % 4 = 0 AND source <> 'src4'").select(
+        "source", "item_id", "title", "url", seen_at.alias("first_seen_at"), F.lit("live").alias("collection_class"), waiting.alias("processability_status"), F.lit("admitted").alias("admission_status"), F.lit("done").alias("processing_status")
+    )
+    done = acceptance.run_decisions(pages.where("page_id % 4 <> 0 OR page_id % 8 = 0"), ledger, start, ("src1",))
+    return done.select(F.col("item_id").cast("long").alias("page_id"), "decision")
