@@ -116,6 +116,57 @@ def attributed_sentences(text: Column, aliases: Sequence[str], verbs: Sequence[s
     return F.filter(F.transform(holds, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
 
 
+def places(text: Column, pattern: str) -> Column:
+    """(value, at) of the matches of a pattern that do not overlap; ``at`` counts characters from 0."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    return F.transform(found, lambda m, k: F.struct(m.alias("value"), (size(gaps, k + 1) + size(found, k)).alias("at")))
+
+
+def quantified_spans(text: Column, patterns: Sequence[str], most: int = 8) -> Column:
+    """The first ``most`` matches of any pattern that no other match contains, by place; of equal ones one.
+
+    In the order of place, longest first, a match lies in an earlier one exactly if it ends no later than the furthest end so far.
+    """
+    held = T.text_of(text)
+    found = F.filter(F.flatten(F.array(*[places(held, p) for p in patterns])), lambda m: m["value"] != "")
+    ranked = F.array_sort(F.transform(found, lambda m: F.struct(m["at"].alias("at"), (-F.length(m["value"])).alias("size"), m["value"].alias("value"))))
+    start = F.struct(F.lit(0).alias("reach"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, m: Column) -> Column:
+        end = (m["at"] - m["size"]).cast("int")
+        new = end > state["reach"]
+        return F.struct(F.greatest(state["reach"], end).alias("reach"), F.when(new, F.array_append(state["kept"], m["value"])).otherwise(state["kept"]).alias("kept"))
+
+    return F.slice(F.aggregate(ranked, start, step)["kept"], 1, most)
+
+
+def holds_quote(text: Column, quote: Column) -> Column:
+    """Whether a text has a quote, white space folded in both; an empty quote is in none."""
+    wanted = T.collapse(quote)
+    return (wanted != "") & T.collapse(text).contains(wanted)
+
+
+def valid_claims(text: Column, claims: Column, topics: Sequence[str], events: Sequence[str], patterns: Sequence[str], most: int = 10) -> Column:
+    """Of an array of (topic, event_type, evidence_quote) the first ``most`` of an allowed topic and event whose quote the text has, with their quantified spans."""
+    told = lambda c, f: F.trim(T.text_of(c[f]))
+    kept = F.filter(F.coalesce(claims, F.array().cast("array<struct<topic:string,event_type:string,evidence_quote:string>>")), lambda c: told(c, "topic").isin(*topics) & told(c, "event_type").isin(*events) & holds_quote(text, c["evidence_quote"]))
+    return F.transform(
+        F.slice(kept, 1, most),
+        lambda c: F.struct(told(c, "topic").alias("topic"), told(c, "event_type").alias("event_type"), told(c, "evidence_quote").alias("evidence_quote"), quantified_spans(told(c, "evidence_quote"), patterns).alias("quantified_evidence")),
+    )
+
+
+def valid_attribution(text: Column, attribution: Column, quote: Column, aliases: Sequence[str], speaker: Column, speakers: Sequence[str], criticism: Sequence[str]) -> Column:
+    """Whether an extraction says explicitly who said it: its quote is in the text, without criticism, and names the institution or its known speaker."""
+    said = T.text_of(quote)
+    alias = F.lit(False)
+    for a in aliases:
+        alias = alias | T.contains_alias(said, a)
+    known = F.lower(F.trim(T.text_of(speaker))).isin(*[s.casefold() for s in speakers]) & holds_quote(said, speaker) if speakers else F.lit(False)
+    return (F.trim(T.text_of(attribution)) == "explicit") & holds_quote(text, quote) & ~T.contains_any(said, criticism) & (alias | known)
+
+
 def display_time(value: Column, zone_hours: int = 8) -> Column:
     """A timestamp of a session of UTC as ``2024-01-02 03:04 (UTC+8; 2024-01-01 19:04 UTC)``."""
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
+from quillstream.functions.records import places
 from quillstream.session import checkpointed
 
 #: Characters that a month may stand before its indicator, days of the look-backs, and sessions before a reaction that it is also known by.
@@ -63,13 +64,6 @@ def any_of(terms: Sequence[str]) -> str:
     return "(?:" + "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t))) + ")" if terms else r"(?:[^\s\S])"
 
 
-def places(text: Column, pattern: str) -> Column:
-    """(value, at) of the matches of a pattern that do not overlap; ``at`` counts characters from 0."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(found, lambda m, k: F.struct(m.alias("value"), (size(gaps, k + 1) + size(found, k)).alias("at")))
-
-
 def claims(items: DataFrame, key: str, parts: Sequence[str], at: str) -> DataFrame:
     """(key, at, text, place, claim): the claims of each item's texts, white space folded, with the whole text beside them."""
     text = F.array_join(F.transform(F.array(*[T.text_of(F.col(p)) for p in parts]), T.strip), " ")
