@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import market as M
-from quillstream.operators import decisions, lifecycle, reservations
+from quillstream.operators import decisions, lifecycle, readmodels, reservations
 from quillstream.plans.event_queries import _events
 from quillstream.plans.text_queries import CONFIG, ITEMS, any_sql, items, term_sql
 from quillstream.functions import text as T
@@ -288,7 +288,8 @@ def item_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def global_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item is new once, in whatever source it is seen first."""
-    return _events(spark, sf_dir).groupBy("props").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first_source"), F.min(F.unix_micros("ts")).alias("first_seen"), F.countDistinct("user_id").alias("n_sources"))
+    rows = _events(spark, sf_dir).select("props", "user_id", F.unix_micros("ts").alias("t"), "event_id")
+    return readmodels.first_seen(rows, "props", "user_id", "t", "event_id")
 
 
 @query(
@@ -368,12 +369,9 @@ def audit_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def digest_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 40 newest rows of each source and how many more there are; only those 40 are ever gathered."""
-    w = Window.partitionBy("source").orderBy(F.desc("ts"), F.desc("event_id"))
     rows = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view")).select((F.col("user_id") % 30).alias("source"), "event_id", "ts")
-    top = rows.withColumn("n", F.row_number().over(w)).where("n <= 40")
-    listed = top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id"))), lambda e: e["event_id"].cast("string")), ",").alias("shown"))
-    counts = rows.groupBy("source").agg(F.greatest(F.count("*") - 40, F.lit(0)).cast("long").alias("omitted"))
-    return counts.join(listed, "source").select("source", "shown", "omitted")
+    card = readmodels.shown_and_omitted(rows, ["source"], [F.desc("ts"), F.desc("event_id")], "event_id", 40)
+    return card.withColumn("shown", F.array_join(F.transform("shown", lambda x: x.cast("string")), ","))
 
 
 @query(
@@ -383,9 +381,8 @@ def digest_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of decisions, and whether one was completed after an uncertain one."""
-    at, is_ = F.unix_micros("ts"), lambda k: F.col("event_type") == k
-    then = F.coalesce(F.min(F.when(is_("error"), at)) < F.max(F.when(is_("purchase"), at)), F.lit(False))
-    return _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(is_("purchase")).alias("completed"), F.count_if(is_("error")).alias("uncertain"), then.alias("uncertain_then_completed"))
+    is_ = lambda k: F.col("event_type") == k
+    return readmodels.decision_counts(_events(spark, sf_dir), ["user_id"], "ts", is_("purchase"), is_("error")).drop("failed")
 
 
 @query(
@@ -396,7 +393,7 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def health_issues_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 sources with most failures; the limit is the feature."""
     rows = _events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.max(F.unix_micros("ts")).alias("updated"))
-    return rows.where("failures > 0").orderBy(F.desc("failures"), F.desc("updated"), "user_id").limit(200)
+    return readmodels.top_issues(rows, "user_id", "failures", "updated", 200)
 
 
 @query(
@@ -404,8 +401,8 @@ def health_issues_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'document' AS kind, doc_id AS id, source, NULL AS url FROM documents UNION ALL SELECT 'page', page_id, NULL, url FROM pages""",
 )
 def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "source")
-    return docs.unionByName(table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "url"), allowMissingColumns=True)
+    docs, pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    return readmodels.union_as({"document": docs, "page": pages})
 
 
 @query(
@@ -414,8 +411,8 @@ def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prefer_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of an order's candidates the first actual one, else the first."""
-    actual = F.col("l_returnflag") == "R"
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct((~actual).alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"))).alias("part"), F.bool_or(actual).alias("is_actual"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("part", F.col("l_partkey"))
+    return readmodels.preferred(rows, ["l_orderkey"], F.col("l_returnflag") == "R", ["l_linenumber", "l_partkey"], ["part"])
 
 
 @query(
@@ -437,18 +434,19 @@ def term_boundary_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.event_id, max(a.event_id) AS audit_id, count(a.event_id)::BIGINT AS n_audits FROM k r LEFT JOIN k a ON a.source = r.source AND a.item = r.item AND a.task = r.task AND a.version = r.version AND a.ts >= r.ts AND (r.until IS NULL OR a.ts < r.until) AND a.event_id % 2 = 1 GROUP BY r.event_id""",
 )
 def review_audit_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits of a review by its four-part identity, from its start until the next review of that identity.
-
-    As the intervals of one identity do not overlap, an audit belongs to the last review before it: one
-    window over both, no join by range.
-    """
+    """Audits of a review by its four-part identity, from its start until the next review of that identity."""
     rows = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view"))
     identity = [(F.col("user_id") % 30).alias("source"), (F.col("event_id") % 50).alias("item"), F.col("event_type").alias("task"), (F.col("value") > 50).cast("int").alias("version")]
     base = rows.select(*identity, "ts", "event_id")
-    keys = ["source", "item", "task", "version"]
-    both = base.withColumn("kind", F.lit(0)).unionByName(base.where("event_id % 2 = 1").withColumn("kind", F.lit(1)))
-    # An interval is [start, next start): audits at its start are in it, also if their row comes before.
-    review = F.last(F.when(F.col("kind") == 0, F.struct("ts", "event_id")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("ts", "kind", "event_id"))
-    marked = both.withColumn("_r", review)
-    audits = marked.where("kind = 1").groupBy(F.col("_r.event_id").alias("event_id")).agg(F.max(F.col("event_id")).alias("audit_id"), F.count("*").alias("n_audits"))
-    return base.select("event_id").join(audits, "event_id", "left").select("event_id", "audit_id", F.coalesce("n_audits", F.lit(0)).cast("long").alias("n_audits"))
+    found = readmodels.interval_members(base, base.where("event_id % 2 = 1"), ["source", "item", "task", "version"], "ts", "event_id", "event_id")
+    return found.select("event_id", F.col("last_mark").alias("audit_id"), F.col("n").alias("n_audits"))
+
+
+@query(
+    "health_totals",
+    """WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'error')::BIGINT AS f FROM events GROUP BY user_id), t AS (SELECT count(*)::BIGINT AS sources, count(*) FILTER (f = 0)::BIGINT AS healthy, count(*) FILTER (f BETWEEN 1 AND 14)::BIGINT AS degraded, count(*) FILTER (f >= 15)::BIGINT AS failing, sum(f)::BIGINT AS failures FROM s)
+    SELECT *, least(degraded + failing, 50)::BIGINT AS issues, degraded + failing > 50 AS truncated FROM t""",
+)
+def health_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"))
+    return readmodels.health_totals(rows, "failures", 15)

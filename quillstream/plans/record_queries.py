@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import records as R
+from quillstream.operators import readmodels as M
 from quillstream.plans.event_queries import _events
 from quillstream.plans.text_queries import _SENTENCES, ITEMS, any_sql, items
 from quillstream.session import table
@@ -103,8 +104,8 @@ def display_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hit_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity that a delivery is known by: the first kind that has one."""
-    hits = (("explicit", F.col("event_id") % 7 == 0), ("macro", F.col("event_type") == "error"), ("move", F.col("event_id") % 3 == 0), ("bank", F.col("value") > 80))
-    return _events(spark, sf_dir).select("event_id", F.coalesce(*[F.when(c, F.lit(k)) for k, c in hits], F.lit("none")).alias("kind"))
+    kinds = {"explicit": F.when(F.col("event_id") % 7 == 0, F.lit("key")), "macro": F.col("event_type") == "error", "move": F.col("event_id") % 3 == 0, "bank": F.col("value") > 80}
+    return _events(spark, sf_dir).select("event_id", M.first_kind(kinds).alias("kind"))
 
 
 @query(
@@ -114,9 +115,9 @@ def hit_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def detail_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored titles that are placeholders get the last detail that was read; others stay."""
-    detail = _events(spark, sf_dir).where("event_type = 'view' AND coalesce(props, '') <> ''").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by("props", F.struct("ts", "event_id")).alias("fresh"))
+    details = _events(spark, sf_dir).where("event_type = 'view'").select(F.col("user_id").alias("c_custkey"), F.col("props").alias("title"), "ts", "event_id")
     stored = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "-").otherwise(F.col("c_name")).alias("title"))
-    return stored.join(detail, "c_custkey", "left").select("c_custkey", F.when(F.col("title") == "-", F.coalesce("fresh", "title")).otherwise(F.col("title")).alias("title"))
+    return M.backfilled(stored, details, "c_custkey", "title", ["ts", "event_id"])
 
 
 @query(
@@ -126,10 +127,10 @@ def detail_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def profile_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with their overrides laid over them, counted by category."""
-    base = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    over = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.lit("over "), "n_name").alias("label"), (F.col("n_nationkey") % 4 == 0).alias("off"))
-    laid = base.join(over, "n_nationkey", "left").select(F.col("r_name").alias("category"), F.coalesce("label", "n_name").alias("label"), F.coalesce("off", F.lit(False)).alias("off"))
-    return laid.groupBy("category").agg(F.count("*").alias("n"), F.count_if("off").alias("n_disabled"), F.min("label").alias("first_label"))
+    base = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("category"), F.col("n_name").alias("label"))
+    over = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.lit("over "), "n_name").alias("label"), (F.col("n_nationkey") % 4 == 0).alias("disabled"))
+    laid = M.overlaid(base, over, "n_nationkey", ["label"])
+    return laid.groupBy("category").agg(F.count("*").alias("n"), F.count_if("disabled").alias("n_disabled"), F.min("label").alias("first_label"))
 
 
 @query(
@@ -140,21 +141,40 @@ def profile_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delivered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ids of what was delivered since a cut, each once, in the order of their first delivery."""
     rows = _events(spark, sf_dir).where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("value") > 20))
-    firsts = rows.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("place"))
-    listed = firsts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", "event_type"))).alias("r"))
-    return listed.select("user_id", F.array_join(F.transform("r", lambda e: e["event_type"]), ",").alias("rules"))
+    return M.ordered_distinct(rows, ["user_id"], "event_type", ["ts", "event_id"], "rules").select("user_id", F.array_join("rules", ",").alias("rules"))
+
+
+_CROSS = """WITH a AS (SELECT doc_id AS i, source AS s, trim(string_split(coalesce(text, ''), E'\\n')[1]) AS title, CASE WHEN n_chars % 9 < 4 THEN 'u' || n_chars ELSE '' END AS url, doc_id % 500 AS h FROM documents)"""
+_EARLIER = "b.s <> a.s AND (b.h < a.h OR (b.h = a.h AND b.i < a.i))"
+
+
+def _told_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items of an hour, with addresses that some share."""
+    url = F.when(F.col("n_chars") % 9 < 4, F.concat(F.lit("u"), F.col("n_chars").cast("string"))).otherwise("")
+    hour = F.timestamp_seconds((F.col("doc_id") % 500) * 3600)
+    return items(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", url.alias("url")), "doc_id").select("doc_id", "source", "title", "url", hour.alias("at"))
 
 
 @query(
     "cross_source_duplicates",
-    """WITH a AS (SELECT doc_id, source, lower(string_split(coalesce(text, ''), E'\\n')[1]) AS title FROM documents), f AS (SELECT title, min(doc_id) AS first_id, count(DISTINCT source) AS n FROM a WHERE title <> '' GROUP BY title)
-    SELECT doc_id, CASE WHEN n > 1 AND first_id < doc_id THEN first_id END AS duplicate_of FROM a LEFT JOIN f USING (title)""",
+    f"""{_CROSS}, u AS (SELECT a.i, arg_min(b.i, struct_pack(h := b.h, i := b.i)) AS d FROM a JOIN a b ON b.url = a.url AND a.url <> '' AND {_EARLIER} GROUP BY a.i),
+    t AS (SELECT a.i, arg_min(b.i, struct_pack(h := b.h, i := b.i)) AS d FROM a JOIN a b ON b.title = a.title AND a.title <> '' AND {_EARLIER} GROUP BY a.i)
+    SELECT a.i AS doc_id, coalesce(u.d, t.d) AS duplicate_of, CASE WHEN u.d IS NOT NULL THEN 'url' WHEN t.d IS NOT NULL THEN 'title' END AS by FROM a LEFT JOIN u ON u.i = a.i LEFT JOIN t ON t.i = a.i""",
 )
 def cross_source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose title another source, or the same one, told before, if at least two sources told it."""
-    rows = items(spark, sf_dir).select("doc_id", "source", F.lower("title").alias("title"))
-    firsts = rows.where("title <> ''").groupBy("title").agg(F.min("doc_id").alias("first_id"), F.countDistinct("source").alias("n"))
-    return rows.join(firsts, "title", "left").select("doc_id", F.when((F.col("n") > 1) & (F.col("first_id") < F.col("doc_id")), F.col("first_id")).alias("duplicate_of"))
+    """The first earlier item of another source with the same address, or else the same title."""
+    return M.cross_source(_told_items(spark, sf_dir), "doc_id", "source", "title", "url", "at")
+
+
+@query(
+    "cross_source_within",
+    f"""{_CROSS}, u AS (SELECT a.i, arg_max(b.i, struct_pack(h := b.h, i := b.i)) AS d, max(struct_pack(h := b.h, i := b.i)).h AS h FROM a JOIN a b ON b.url = a.url AND a.url <> '' AND {_EARLIER} AND a.s IN ('src1', 'src2', 'src3') AND b.s IN ('src1', 'src2', 'src3') GROUP BY a.i),
+    t AS (SELECT a.i, arg_max(b.i, struct_pack(h := b.h, i := b.i)) AS d, max(struct_pack(h := b.h, i := b.i)).h AS h FROM a JOIN a b ON b.title = a.title AND a.title <> '' AND {_EARLIER} AND a.s IN ('src1', 'src2', 'src3') AND b.s IN ('src1', 'src2', 'src3') GROUP BY a.i)
+    SELECT a.i AS doc_id, CASE WHEN a.h - u.h <= 72 THEN u.d WHEN a.h - t.h <= 72 THEN t.d END AS duplicate_of, CASE WHEN a.h - u.h <= 72 THEN 'url' WHEN a.h - t.h <= 72 THEN 'title' END AS by FROM a LEFT JOIN u ON u.i = a.i LEFT JOIN t ON t.i = a.i""",
+)
+def cross_source_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same between three sources, the last one at most 72 hours back."""
+    return M.cross_source(_told_items(spark, sf_dir), "doc_id", "source", "title", "url", "at", ("src1", "src2", "src3"), 72)
 
 
 @query(
@@ -164,9 +184,9 @@ def cross_source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def holding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item that several holdings' pages list is one item with all their symbols, in listing order."""
-    firsts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("symbol")).agg(F.min("l_linenumber").alias("line"))
-    listed = firsts.groupBy("item").agg(F.count("*").alias("n_symbols"), F.array_sort(F.collect_list(F.struct("line", "symbol"))).alias("s"))
-    return listed.select("item", "n_symbols", F.array_join(F.transform("s", lambda e: e["symbol"].cast("string")), ",").alias("symbols"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("symbol"), F.col("l_linenumber").alias("line"))
+    listed = M.ordered_distinct(rows, ["item"], "symbol", ["line"], "symbols")
+    return listed.select("item", F.size("symbols").cast("long").alias("n_symbols"), F.array_join(F.transform("symbols", lambda x: x.cast("string")), ",").alias("symbols"))
 
 
 @query(
@@ -187,7 +207,4 @@ def nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_type AS provider, count(*)::BIGINT AS attempts, count(*) FILTER (value > 95)::BIGINT AS failed, sum(event_id % 1000)::BIGINT AS tokens, CASE WHEN count(*) FILTER (value > 95) = 0 THEN 'ok' WHEN count(*) FILTER (value > 95) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM events GROUP BY event_type""",
 )
 def usage_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts, failures and tokens of each provider, and how its run ended."""
-    bad = F.count_if(F.col("value") > 95)
-    done = _events(spark, sf_dir).groupBy(F.col("event_type").alias("provider")).agg(F.count("*").alias("attempts"), bad.alias("failed"), F.sum(F.col("event_id") % 1000).cast("long").alias("tokens"))
-    return done.withColumn("status", F.when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("attempts"), "failed").otherwise("partial"))
+    return M.usage(_events(spark, sf_dir).withColumnRenamed("event_type", "provider"), ["provider"], F.col("value") > 95, F.col("event_id") % 1000)
\ No newline at end of file

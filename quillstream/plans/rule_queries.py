@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import market as M
 from quillstream.functions import rules as U
+from quillstream.operators import readmodels
 from quillstream.plans.event_queries import _events
 from quillstream.plans.text_queries import ITEMS, items
 from quillstream.session import table
@@ -194,9 +195,7 @@ def preview_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 5
     state = F.when(k == 0, "new").when(k == 1, "retry").when(k.isin(2, 3), "unpushed").otherwise("done")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", state.alias("state"))
-    # A limit by rank is cut before the shuffle, so a source with very many items sends 30 from each task.
-    waiting = docs.where("state = 'unpushed'").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 30").select("doc_id", "state")
-    return docs.where("state IN ('new', 'retry') OR (doc_id = 9 AND state <> 'unpushed')").select("doc_id", "state").unionByName(waiting)
+    return readmodels.preview_selection(docs, "doc_id", "source", "state", 30, [9])
 
 
 @query(
@@ -206,11 +205,9 @@ def preview_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def missing_securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes looked up in a cache of securities, and what the cache lacks."""
-    cache = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("c_custkey"), F.lit(True).alias("known"))
+    cache = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("c_custkey"))
     held = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
-    lacks = F.col("known").isNull()
-    found = held.join(cache, "c_custkey", "left").groupBy("n_nationkey")
-    return found.agg(F.count("*").alias("n_symbols"), F.count_if(lacks).alias("n_missing"), F.min(F.when(lacks, F.col("c_custkey"))).alias("first_missing"))
+    return readmodels.missing(held, cache, "c_custkey", ["n_nationkey"])
 
 
 @query(
@@ -220,10 +217,9 @@ def missing_securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def config_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a stored table says what the configuration says, row by row and null-safe."""
-    stored = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct("s_name", "s_nationkey").alias("stored"))
-    config = table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select("s_suppkey", F.struct("s_name", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("s_nationkey")).alias("config"))
-    state = F.when(F.col("config").isNull(), "only_table").when(F.col("stored").isNull(), "only_config").when(F.col("stored").eqNullSafe(F.col("config")), "equal").otherwise("differs")
-    return stored.join(config, "s_suppkey", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    stored = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    config = stored.where("s_suppkey % 10 <> 0").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")))
+    return readmodels.compared(stored, config, "s_suppkey", ["s_name", "s_nationkey"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
 _RAW = "p_name || CASE p_partkey % 3 WHEN 0 THEN ' *_x ' WHEN 1 THEN '   ' ELSE '' END || p_type"
@@ -261,10 +257,8 @@ def post_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feedback_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred items with the newest feedback and their labels, one of them with its reason."""
     label = F.when(F.col("event_type") == "error", "invalid (late)").otherwise(F.col("event_type"))
-    last = _events(spark, sf_dir).where("value > 30").groupBy("user_id", "event_type").agg(F.max("ts").alias("at"))
-    shown = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", label.alias("label")))).alias("l"), F.max("at").alias("at"))
-    top = shown.orderBy(F.col("at").desc(), "user_id").limit(100)
-    return top.select("user_id", F.array_join(F.transform("l", lambda x: x["label"]), ", ").alias("labels"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("feedback_at"))
+    top = readmodels.recent_examples(_events(spark, sf_dir).where("value > 30"), "user_id", "event_type", label, "ts")
+    return top.select("user_id", F.array_join("labels", ", ").alias("labels"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("feedback_at"))
 
 
 @query(
@@ -274,6 +268,5 @@ def feedback_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles, disabled and failing ones by category, in a fixed order of categories, also those without profiles."""
-    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey") % 4 == 0).alias("n_disabled"), F.count_if(F.col("c_acctbal") < 0).alias("n_failing"))
-    order = spark.createDataFrame([(0, "MACHINERY"), (1, "BUILDING"), (2, "NONE")], "place int, category string")
-    return order.join(counts, "category", "left").na.fill(0, ["n", "n_disabled", "n_failing"])
+    flags = {"n_disabled": F.col("c_custkey") % 4 == 0, "n_failing": F.col("c_acctbal") < 0}
+    return readmodels.counts_by_category(table(spark, sf_dir, "customer"), "c_mktsegment", ["MACHINERY", "BUILDING", "NONE"], flags)
\ No newline at end of file
