@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.operators import acceptance, friction, terms
+from quillstream.operators import acceptance, content, friction, terms
 from quillstream.plans.text_queries import ITEMS, items
 from quillstream.session import table
 
@@ -160,3 +160,99 @@ def run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = acceptance.run_decisions(pages.where("page_id % 4 <> 0 OR page_id % 8 = 0"), ledger, start, ("src1",))
     return done.select(F.col("item_id").cast("long").alias("page_id"), "decision")
+
+
+CONTENT = content.ContentConfig(
+    primary=("thion", "eauou"), scoped=("stion",), context=("with ", "der "), surprise=("er[a-z]* the", "la [a-zé]+ment"), expected=("in [a-z]+ing",), large_move=("[a-z]+ [0-9]+",), preview=("is [a-z]+ea",),
+    reaction=("ndst", "queue"), explicit_reaction=("ering",), released=("was", "est "), events=("and", "les"), official_events=("apache",), ignored=("licensed", "und"),
+)
+
+
+def _has(terms: tuple[str, ...], column: str = "low") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")"
+
+
+def _like(patterns: tuple[str, ...], column: str = "t") -> str:
+    return f"regexp_matches({column}, '(?i){'|'.join(f'(?:{p})' for p in patterns)}')"
+
+
+def _listed(terms: tuple[str, ...]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN contains(low, '{t}') THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL)"
+
+
+_WINDOW_SQL = "CASE WHEN k_{0} > 0 THEN left(array_to_string(list_slice(s, k_{0}, k_{0} + 1), ' '), 1000) ELSE '' END"
+
+
+@query(
+    "macro_content",
+    rf"""WITH d AS (SELECT doc_id, trim(coalesce(text, ''), E' \n\t\r') AS t FROM documents), l AS (SELECT *, lower(t) AS low, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([。！？!?；;])', '\1' || E'\n', 'g'), '[\r\n]+'), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS s FROM d),
+    c AS (SELECT *, {_has(CONTENT.context, "low || ' '")} AS context, {_listed(CONTENT.primary)} AS p FROM l), i AS (SELECT *, list_concat(p, CASE WHEN context THEN {_listed(CONTENT.scoped)} ELSE [] END) AS terms FROM c),
+    k AS (SELECT *, list_position(list_transform(s, lambda x: len(list_filter(terms, lambda q: contains(lower(x), q))) > 0 AND {_like(CONTENT.surprise, 'x')}), true) AS k_s, list_position(list_transform(s, lambda x: len(list_filter(terms, lambda q: contains(lower(x), q))) > 0 AND {_like(CONTENT.expected, 'x')}), true) AS k_e FROM i),
+    w AS (SELECT *, {_WINDOW_SQL.format('s')} AS ws, {_WINDOW_SQL.format('e')} AS we, {_has(CONTENT.reaction)} AS reaction, {_like(CONTENT.large_move)} AS large, {_like(CONTENT.surprise)} AS surprise, {_like(CONTENT.preview)} AS preview FROM k),
+    e AS (SELECT *, {_has(CONTENT.events)} AND ({_has(CONTENT.official_events)} OR (context AND (reaction OR large OR surprise))) AS event,
+        {_has(CONTENT.ignored)} AND NOT ({_has(CONTENT.primary)} OR {_has(CONTENT.scoped)} OR {_has(CONTENT.events)} OR reaction) AS ignored FROM w)
+    SELECT doc_id, array_to_string(terms, ',') AS terms, context, reaction, large, surprise, preview, ws <> '' AS attributable, we <> '' AS expected, len(terms) > 0 AND NOT preview AND (ws <> '' OR we <> '' OR {_has(CONTENT.released)}) AS release,
+        ws <> '' AND (({_has(CONTENT.reaction, 'lower(ws)')} AND {_like(CONTENT.large_move, 'ws')}) OR {_has(CONTENT.explicit_reaction, 'lower(ws)')}) AS local_reaction, event, CASE WHEN ignored THEN 'ignored' WHEN len(terms) > 0 OR event THEN 'primary' ELSE '' END AS tier, left(ws, 500) AS evidence FROM e""",
+)
+def macro_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = content.features(table(spark, sf_dir, "documents"), CONTENT, ("text",)).select("doc_id", "content.*")
+    return c.select(
+        "doc_id", F.array_join("primary_terms", ",").alias("terms"), "context", F.col("market_reaction").alias("reaction"), F.col("large_move").alias("large"), "surprise", "preview", F.col("attributable_surprise").alias("attributable"),
+        "expected", F.col("direct_release").alias("release"), F.col("attributable_reaction").alias("local_reaction"), "event", "tier", F.col("surprise_evidence").alias("evidence"),
+    )
+
+
+TRANSMISSION = content.TransmissionConfig(
+    {"easing": ("thion",), "tightening": ("eauou", "ering")}, ("ndst", "stion", "queue"), ("the [a-z]+ of", "de la [a-zé]+"),
+    {"policy_decision": ("is [a-z]+ing",), "quantified_repricing": ("[a-z]+ [0-9]+",), "observed_asset_move": ("ndst[a-z]* the",), "direct_statement": ("apache",), "asset_hard_fact": ("licensed",), "correction": ("worthless",), "unexpected_relationship": (content.unexpected_relationship(("but", "by"), ("rest", "thst")),)},
+)
+_EXCEPTIONS = ", ".join(f"CASE WHEN {_like(p)} THEN '{n}' END" for n, p in TRANSMISSION.exceptions.items())
+
+
+@query(
+    "transmission_flags",
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents), f AS (SELECT *, {_has(TRANSMISSION.impulses['easing'])} AS e, {_has(TRANSMISSION.impulses['tightening'])} AS g, {_listed(TRANSMISSION.assets)} AS assets,
+        coalesce(nullif(regexp_extract(t, '(?i){TRANSMISSION.relationships[0]}'), ''), regexp_extract(t, '(?i){TRANSMISSION.relationships[1]}')) AS relation, list_filter([{_EXCEPTIONS}], lambda x: x IS NOT NULL) AS flags FROM d)
+    SELECT doc_id, (e <> g) AND len(assets) > 0 AND relation <> '' AND len(flags) = 0 AS matched, CASE WHEN e AND NOT g THEN 'easing' WHEN g AND NOT e THEN 'tightening' ELSE '' END AS impulse, array_to_string(assets, ',') AS assets, relation AS evidence_quote, array_to_string(flags, ',') AS exceptions FROM f""",
+)
+def transmission_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", content.transmission(F.col("text"), TRANSMISSION).alias("x")).select("doc_id", "x.*")
+    return rows.withColumns({"assets": F.array_join("assets", ","), "exceptions": F.array_join("exceptions", ",")})
+
+
+FACTS = (
+    content.FactRule("north:shift:goods", (("the",), ("thion", "stion")), (("er[a-z]* the",),), ("licensed",), unless=(("with",), ("ndst",), ("for",))),
+    content.FactRule("south:hedge:down", (("la",), ("que",)), lacks_patterns=("de [a-zé]+ment",)),
+)
+
+
+@query(
+    "industry_facts",
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents)
+    SELECT doc_id, CASE WHEN {_has(('the',))} AND {_has(('thion', 'stion'))} AND {_like(('er[a-z]* the',))} AND NOT {_has(('licensed',))} AND NOT ({_has(('with',))} AND {_has(('ndst',))} AND {_has(('for',))}) THEN 'industry_fact:north:shift:goods'
+        WHEN {_has(('la',))} AND {_has(('que',))} AND NOT {_like(('de [a-zé]+ment',))} THEN 'industry_fact:south:hedge:down' END AS dedup_key FROM d""",
+)
+def industry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", content.industry_fact(F.col("text"), FACTS).alias("dedup_key"))
+
+
+REPORTS = content.ReportConfig({"bb": ("Big Bank", "BB"), "gf": ("Gold Firm",)}, (r"coverage of ([A-Za-z0-9 ]{2,30}?)(?=,)", r"price for ([A-Za-z0-9 ]{2,30}?)(?=,)"), ("initiates coverage",), ("raises",), {"buy": ("buy",), "sell": ("sell",)}, (" Inc",), ("it",))
+
+
+@query(
+    "report_identities",
+    """WITH o AS (SELECT o_orderkey AS k, CASE o_custkey % 4 WHEN 0 THEN 'bb' WHEN 1 THEN 'bb' WHEN 2 THEN 'gf' END AS ins, 'Firm' || o_custkey % 60 AS subject, o_orderkey % 5 AS form, o_orderstatus AS s, round(o_totalprice, 2)::DECIMAL(18, 2) AS p FROM orders),
+    x AS (SELECT *, CASE form WHEN 0 THEN 'USD' WHEN 1 THEN 'HKD' WHEN 2 THEN 'CNY' END AS cur, regexp_replace(CASE WHEN contains(p::VARCHAR, '.') THEN regexp_replace(p::VARCHAR, '0+$', '') ELSE p::VARCHAR END, '[.]$', '') AS price FROM o)
+    SELECT k AS o_orderkey, 'investment_bank_report:' || ins || ':' || substr(sha256(lower(subject)), 1, 16) || ':target:' || cur || ':' || price AS dedup_key, CASE WHEN s = 'P' THEN 'target_valuation' ELSE 'coverage_start' END AS action, CASE WHEN k % 2 = 0 THEN 'buy' ELSE '' END AS rating
+    FROM x WHERE ins IS NOT NULL AND cur IS NOT NULL AND s <> 'F' AND p < 1000000""",
+)
+def report_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note an order: an institution (or none, or two), first coverage or a price alone, revisions, and prices in five ways to write them."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    bank = F.element_at(F.array(F.lit("Big Bank"), F.lit("BB"), F.lit("Gold Firm"), F.lit("Big Bank and Gold Firm")), (F.col("o_custkey") % 4 + 1).cast("int"))
+    firm = F.concat(F.lit("Firm"), (F.col("o_custkey") % 60).cast("string"), F.when(k % 3 == 0, " Inc").otherwise(""))
+    said = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit(" sets its price for "), firm, F.lit(","))).when(F.col("o_orderstatus") == "F", F.concat(F.lit(" raises coverage of "), firm, F.lit(","))).otherwise(F.concat(F.lit(" initiates coverage of "), firm, F.lit(", coverage of "), firm, F.lit(",")))
+    written = F.element_at(F.array(F.concat(F.lit("target price of USD "), price), F.concat(F.lit("目标价为 HKD "), price), F.concat(price, F.lit("元的目标价")), F.concat(F.lit("target price "), price), F.lit("no price")), (k % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(bank, said).alias("title"), F.concat(written, F.when(k % 2 == 0, " (buy)").otherwise("")).alias("body"))
+    found = rows.select("o_orderkey", content.report_identity(F.col("title"), F.col("body"), REPORTS).alias("x")).where("x IS NOT NULL")
+    return found.select("o_orderkey", "x.dedup_key", "x.action", "x.rating")
