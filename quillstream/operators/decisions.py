@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions import text as T
+
 #: Actions by rank, the strongest last.
 ACTIONS = ("archive", "daily", "push")
 #: Evidence references of an assessment, assessments of a response, characters of a reason at most.
-MOST_REFS, MOST_ASSESSMENTS, MOST_REASON = 3, 32, 500
+MOST_REFS, MOST_ASSESSMENTS, MOST_REASON = 3, 64, 800
+#: Fields of a response and of its assessments, and what is said of an item that no rule holds.
+TOP_FIELDS, ARCHIVE_FIELDS, EVIDENCED_FIELDS = ("rule_results",), ("rule_id", "action"), ("rule_id", "action", "evidence_ids", "reason")
+ARCHIVED = "所有适用程度规则均不满足 push 或 daily，归为 archive。"
+#: Characters of a prompt's input and of its body at most.
+MOST_INPUT, MOST_BODY = 120_000, 3_000
 
 
 def rank_of(action: Column) -> Column:
@@ -29,6 +36,71 @@ def applicable_rules(items: DataFrame, rules: DataFrame, key: str, admitted: str
     return one.join(by_family, "_family").select(key, rule).distinct()
 
 
+def read_responses(responses: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, place, rule_id, action, evidence_ids, reason): the assessments of JSON responses, for ``validate``.
+
+    An assessment must be an object of exactly the fields of its action, texts where texts are due, and a list of
+    texts that are not blank as references; else its action is null. A response that is no JSON, has other fields or
+    no list is one such row. An empty list gives one as well, so that its missing rules are told.
+    """
+    same = lambda keys, fields: F.coalesce(F.size(keys) == len(fields), F.lit(False)) & F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(f) for f in fields]))) == 0, F.lit(False))
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    rows = responses.select(key, F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text).alias("_raw"))
+    listed = F.when(same(F.json_object_keys("_raw"), TOP_FIELDS), F.from_json(F.get_json_object("_raw", "$.rule_results"), "array<string>"))
+    each = rows.select(key, F.posexplode_outer(F.when(F.get_json_object("_raw", "$.rule_results").startswith("["), listed)).alias("place", "_one"))
+    each = each.withColumn("_keys", F.json_object_keys("_one")).withColumn("_v", F.when(F.col("_keys").isNotNull(), F.try_parse_json("_one")))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{name}", "variant"))
+    value = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", "string")
+    is_text = lambda name: F.coalesce(kind(name) == "STRING", F.lit(False))
+    refs = F.try_variant_get(F.col("_v"), "$.evidence_ids", "array<variant>")
+    names = F.transform(F.try_variant_get(F.col("_v"), "$.evidence_ids", "array<string>"), lambda x: F.trim(x))
+    good_refs = F.coalesce(F.forall(refs, lambda r: F.schema_of_variant(r) == "STRING"), F.lit(False)) & F.coalesce(F.forall(names, lambda n: n != ""), F.lit(False))
+    archive = value("action") == "archive"
+    good = is_text("action") & is_text("rule_id") & F.when(archive, same(F.col("_keys"), ARCHIVE_FIELDS)).otherwise(same(F.col("_keys"), EVIDENCED_FIELDS) & is_text("reason") & good_refs)
+    return each.select(
+        key, F.coalesce("place", F.lit(0)).alias("place"), F.when(is_text("rule_id"), F.trim(value("rule_id"))).alias("rule_id"), F.when(good, value("action")).alias("action"),
+        F.when(good & ~archive, names).otherwise(F.array().cast("array<string>")).alias("evidence_ids"), F.when(good & ~archive, value("reason")).otherwise("").alias("reason"),
+    )
+
+
+def results(assessments: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """(key, action, reason, hits, candidates) of the responses that ``validate`` found no fault with.
+
+    ``hits`` are the rules that are not archived, in the order of the response; ``candidates`` those of a weaker action than the
+    strongest; the reason joins what the strongest say.
+    """
+    good = judged.where("failure = ''").select(F.col(key).alias("_key"), F.col("action").alias("_action"))
+    rows = assessments.join(good, F.col(key) == F.col("_key"))
+    told = F.array_sort(F.collect_list(F.when(F.col("action") != "archive", F.struct("place", "rule_id", "action", F.trim("reason").alias("reason")))))
+    made = rows.groupBy(key, "_action").agg(told.alias("_told"))
+    won = F.filter("_told", lambda t: t["action"] == F.col("_action"))
+    reason = F.when(F.col("_action") == "archive", ARCHIVED).otherwise(F.array_join(F.transform(won, lambda t: t["reason"]), " "))
+    weaker = F.filter("_told", lambda t: t["action"] != F.col("_action"))
+    return made.select(key, F.col("_action").alias("action"), reason.alias("reason"), F.transform("_told", lambda t: t["rule_id"]).alias("hits"), F.transform(weaker, lambda t: t["rule_id"]).alias("candidates"))
+
+
+def prompt_inputs(items: DataFrame, key: str, title: str, summary: str, body: str, most: int = MOST_INPUT) -> DataFrame:
+    """(key, scope, error, input_chars, body_chars, body_given, body_cut, segments): what a model is given of an item.
+
+    The scope is the richest of body, summary and title that is there; fields of white space are left out; a body is cut at 3,000
+    characters. ``error`` is ``insufficient_input`` without any text, ``input_too_large`` beyond ``most`` characters. Segments are (id, field, text) with
+    ids T1…, S1…, B1… by field.
+    """
+    t, s, b = (T.text_of(F.col(c)) for c in (title, summary, body))
+    scope = F.when(T.strip(b) != "", "title_summary_full_text").when(T.strip(s) != "", "title_summary").otherwise("title")
+    given = F.when(scope == "title_summary_full_text", F.substring(b, 1, MOST_BODY)).otherwise("")
+    fields = [("title", "T", t), ("summary", "S", F.when(scope == "title", "").otherwise(s)), ("full_text", "B", given)]
+    kept = [(name, prefix, F.when(T.strip(c) != "", c).otherwise("")) for name, prefix, c in fields]
+    chars = sum((F.length(c) for _, _, c in kept[1:]), F.length(kept[0][2]))
+    error = F.when(chars == 0, "insufficient_input").when(chars > most, "input_too_large").otherwise("")
+    segments = F.concat(*[_segments(c, prefix, name) for name, prefix, c in kept])
+    return items.select(key, scope.alias("scope"), error.alias("error"), chars.cast("long").alias("input_chars"), F.length(b).alias("body_chars"), F.length(given).alias("body_given"), (F.length(b) > F.length(given)).alias("body_cut"), F.when(error == "", segments).alias("segments"))
+
+
+def _segments(text: Column, prefix: str, field: str) -> Column:
+    return F.transform(T.evidence_segments(text, prefix), lambda x: F.struct(x["id"].alias("id"), F.lit(field).alias("field"), x["text"].alias("text")))
+
+
 def validate(assessments: DataFrame, expected: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """(key, n_structure, n_evidence, n_conflict, failure, action) of every response in ``assessments`` or ``expected``.
 

@@ -99,7 +99,7 @@ def feedback_state(clicks: DataFrame, keys: Sequence[str], order: Sequence[str],
     one count for nothing, which the order of events expresses already.
     """
     once = clicks.dropDuplicates([event_id])
-    tags = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(reasons), F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    tags = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(reasons), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     rows = once.withColumn("_tags", tags).withColumn("_set", F.coalesce((F.col(label) == "invalid") & (F.size("_tags") > 0), F.lit(False)))
     place = F.struct(*order, event_id)
     w = Window.partitionBy(*keys, label).orderBy(*order, event_id).rowsBetween(Window.unboundedPreceding, 0)

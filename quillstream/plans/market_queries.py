@@ -165,6 +165,45 @@ def decision_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.validate(told, expected, segments, "l_orderkey")
 
 
+@query(
+    "response_results",
+    """WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE l_returnflag WHEN 'R' THEN 'push' WHEN 'A' THEN 'daily' ELSE 'archive' END AS act, l_partkey % 61 = 0 OR l_suppkey % 43 = 0 AS bad, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
+    o AS (SELECT k, bool_or(bad) OR k % 29 = 0 OR count(*) <> count(DISTINCT n) AS wrong, max(CASE act WHEN 'push' THEN 3 WHEN 'daily' THEN 2 ELSE 1 END) AS top FROM a GROUP BY k)
+    SELECT k AS l_orderkey, ['archive', 'daily', 'push'][top] AS action, CASE WHEN top = 1 THEN '所有适用程度规则均不满足 push 或 daily，归为 archive。' ELSE string_agg('line ' || n, ' ' ORDER BY place) FILTER (act = ['archive', 'daily', 'push'][top]) END AS reason,
+        coalesce(string_agg('r' || n, ',' ORDER BY place) FILTER (act <> 'archive'), '') AS hits, coalesce(string_agg('r' || n, ',' ORDER BY place) FILTER (act <> 'archive' AND act <> ['archive', 'daily', 'push'][top]), '') AS candidates FROM a JOIN o USING (k) WHERE NOT wrong GROUP BY k, top""",
+)
+def response_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON responses with a line an assessment; some have another field, a number as rule or no JSON, and give no result."""
+    lines = table(spark, sf_dir, "lineitem")
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    rule = F.when(F.col("l_suppkey") % 43 == 0, n).otherwise(quoted(F.concat(F.lit("r"), n)))
+    rest = F.when(flag.isin("R", "A"), F.concat(F.lit(', "evidence_ids": ["T1", " T2 "], "reason": "line '), n, F.lit('"'))).otherwise("")
+    more = F.when(F.col("l_partkey") % 61 == 0, ', "note": 1').otherwise("")
+    one = F.concat(F.lit('{"rule_id": '), rule, F.lit(', "action": "'), F.when(flag == "R", "push").when(flag == "A", "daily").otherwise("archive"), F.lit('"'), rest, more, F.lit("}"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("one")))), lambda x: x["one"]), ", ")
+    raw = lines.groupBy("l_orderkey").agg(listed.alias("l"), F.collect_set("l_linenumber").alias("rules"))
+    responses = raw.select("l_orderkey", F.concat(F.when(F.col("l_orderkey") % 29 == 0, "so: ").otherwise(""), F.lit('{"rule_results": ['), "l", F.lit("]}")).alias("raw"))
+    expected = raw.select("l_orderkey", F.explode("rules").alias("r")).select("l_orderkey", F.concat(F.lit("r"), F.col("r").cast("string")).alias("rule_id"), F.array(*[F.lit(a) for a in decisions.ACTIONS]).alias("allowed_actions"))
+    segments = raw.select("l_orderkey", F.explode(F.array(F.lit("T1"), F.lit("T2"))).alias("segment_id"))
+    told = decisions.read_responses(responses, "l_orderkey", "raw")
+    done = decisions.results(told, decisions.validate(told, expected, segments, "l_orderkey"), "l_orderkey")
+    return done.select("l_orderkey", "action", "reason", F.array_join("hits", ",").alias("hits"), F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(
+    "prompt_inputs",
+    """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), E'\n')[1] AS t, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS s, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(text, '') END AS b FROM documents),
+    x AS (SELECT *, CASE WHEN trim(b, E' \n\t\r') <> '' THEN 'title_summary_full_text' WHEN trim(s) <> '' THEN 'title_summary' ELSE 'title' END AS scope FROM d),
+    c AS (SELECT *, CASE WHEN scope = 'title_summary_full_text' THEN left(b, 3000) ELSE '' END AS g, CASE WHEN trim(t, E' \n\t\r') <> '' THEN length(t) ELSE 0 END AS nt, CASE WHEN scope <> 'title' THEN length(s) ELSE 0 END AS ns FROM x)
+    SELECT doc_id, scope, nt + ns + length(g) AS input_chars, length(b)::INT AS body_chars, length(g)::INT AS body_given, length(b) > length(g) AS body_cut, CASE WHEN nt + ns + length(g) = 0 THEN 'insufficient_input' WHEN nt + ns + length(g) > 5000 THEN 'input_too_large' ELSE '' END AS error FROM c""",
+)
+def prompt_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split(text, "\n")[0].alias("t"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("s"), F.when(F.col("doc_id") % 4 != 0, text).alias("b"))
+    return decisions.prompt_inputs(rows, "doc_id", "t", "s", "b", 5000).drop("segments")
+
+
 #: Hits of twelve groups of keys: rules cross the groups, keys do not, so that the SQL may fold group by group.
 _HITS = """h AS (SELECT event_id, user_id % 12 AS g, epoch_us(ts) AS t, 'g' || (user_id % 12) || 'k' || (event_id % 40) AS k, CASE WHEN event_id % 3 = 0 THEN ['g' || (user_id % 12) || 'k' || ((event_id + 1) % 40), 'g' || (user_id % 12) || 'k' || ((event_id + 7) % 40)] ELSE []::VARCHAR[] END AS al,
     event_type = 'error' AS bad, event_type <> 'view' AS sent, (CASE WHEN event_id % 2 = 0 THEN 360 ELSE 90000 END)::BIGINT * 60000000 AS span FROM events)"""

@@ -142,3 +142,9 @@ def test_config_is_checked():
         RuleConfig("v", topics=("a",), title_topics=("b",))
     with pytest.raises(ValueError):
         Corridor("c", ("a",), ())
+
+
+def test_reasons_are_trimmed_of_white_space_only(spark):
+    rows = [("x", at(0), 1, "invalid", ["0 bad", " 1st", "2", "0 bad", " "])]
+    got = events.feedback_state(spark.createDataFrame(rows, "k string, t timestamp, e long, l string, r array<string>"), ["k"], ["t"], "e", "l", "r").first()
+    assert got.active_labels == ["invalid"] and got.reason_tags == ["0 bad", "1st", "2"]
