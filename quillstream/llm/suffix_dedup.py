@@ -8,8 +8,10 @@ bounded size. Each shard gets a suffix array by Larsson-Sadakane refinement (ran
 sorting only the groups that are still open) and common prefixes by Kasai's inequality; windows whose
 neighbours share ``LENGTH`` bytes are one class. Shards of a bucket are merged by binary search of the
 windows of one in the sorted windows of the other. A window is removed if its class starts earlier.
-Buckets of over ``HOT`` bytes are counted first and go no such way: each of their windows is a row with
-a digest of its bytes, and the first place of each digest is an aggregate, so no task holds a bucket.
+A bucket of over ``HOT`` bytes is worked in rounds: its first shard, in order of documents, is sorted by
+several tasks, and the other stretches are dealt to them and sought in it, a shard at a time. Windows that
+nothing earlier has yet go on to the next round, narrowed to those whose two halves occur at two places among
+what is left. So no task holds a bucket, and a passage in a third of all texts takes two rounds.
 
 Texts that equal an earlier one are settled by their digest, and equal stretches of a task by a table,
 before anything is sent, so a text or passage that fills a third of the table costs its task little.
@@ -30,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.arrow_text import _tables, flat, slices
+from quillstream.llm.arrow_text import _tables, flat, slices, span_hashes
 from quillstream.llm.shared import written
 
 LENGTH, KMER = 100, 24
 #: Bytes of text for each bucket of keys and each bucket of stretches, and of a shard's stretches at most.
 KEY_BUCKET, STRETCH_BUCKET, SHARD = 32 << 20, 4 << 20, 4 << 20
-#: Bytes of stretches, copies included, from which a bucket is dealt by single windows.
+#: Bytes of stretches from which a bucket is worked in rounds.
 HOT = 4 * SHARD
+_FRACTIONS = [0.5**k for k in range(1, 25)]
 _LAST = 2**63 - 1
 
 
@@ -171,7 +174,8 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 # --- stretches and shards ---------------------------------------------------------------------
 
-_STRETCH_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("z", pa.binary())])
+_STRETCH_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("z", pa.binary()), ("bytes", pa.int64())])
+_STRETCHES = "bucket int, kind int, ids binary, ths binary, starts binary, sizes binary, z binary, bytes long"
 
 
 def _collapse(strings: list[bytes], ids: list[int], ths: list[int], starts: list[int]) -> tuple[list[int], list[int]]:
@@ -205,46 +209,8 @@ def _found(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[tuple]
             yield part.column(0).to_pylist(), part.column(1).to_pylist(), data, off, first[at], end[at], text[at], bucket
 
 
-def _bucket_sizes(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket of a task: the bytes of its stretches."""
-    total = np.zeros(n_buckets, np.int64)
-    for *_, first, end, _, bucket in _found(batches, n_buckets):
-        np.add.at(total, bucket, end - first + LENGTH - 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "size"])
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: list[int]) -> Iterator[pa.RecordBatch]:
-    """(digest, id, th, begin) of each window of the buckets ``hot``."""
-    names = ["digest", "id", "th", "begin"]
-    for ids, ths, data, off, first, end, text, bucket in _found(batches, n_buckets):
-        raw = data.tobytes()
-        at = np.flatnonzero(np.isin(bucket, hot))
-        # Runs of stretches with about 64 K windows, or one stretch.
-        count = np.cumsum(end[at] - first[at]) >> 16
-        for run in np.split(at, np.flatnonzero(np.diff(count)) + 1) if len(at) else ():
-            place = np.concatenate([np.arange(a, b) for a, b in zip(first[run], end[run], strict=True)])
-            of = np.repeat(text[run], end[run] - first[run])
-            digest = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in place.tolist()]
-            columns = (pa.array(digest, pa.binary()), pa.array(np.array(ids, np.int64)[of]), pa.array(np.array(ths, np.int64)[of]), pa.array(place - off[of], pa.int64()))
-            yield pa.RecordBatch.from_arrays(list(columns), names=names)
-
-
-def _hot_buckets(candidates: DataFrame, n_buckets: int) -> list[int]:
-    sizes = candidates.mapInArrow(lambda b: _bucket_sizes(b, n_buckets), "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
-    return [r.bucket for r in sizes.where(F.col("size") > HOT).collect()]
-
-
-def _hot_spans(candidates: DataFrame, n_buckets: int, hot: list[int]) -> DataFrame:
-    """Removed ranges (id, th, begin, end) of the buckets ``hot``, one for each window that is found earlier."""
-    windows = written(candidates.mapInArrow(lambda b: _window_rows(b, n_buckets, hot), "digest binary, id long, th long, begin long"), "windows")
-    heads = windows.groupBy("digest").agg(F.min(F.struct("id", "begin")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(heads, "digest").where(F.struct("id", "begin") > F.col("head"))
-    return later.select("id", "th", "begin", (F.col("begin") + LENGTH).alias("end"))
-
-
-def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: list[int]) -> Iterator[pa.RecordBatch]:
-    """From (id, th, z, keys): the stretches of repeating keys by bucket, but for the buckets ``hot``; of equal ones of a task all but the first are settled (kind 1)."""
+def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """From (id, th, z, keys): the stretches of repeating keys by bucket; of equal ones of a task all but the first are settled (kind 1)."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1)
@@ -264,17 +230,16 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: list[i
             while end < len(kept) and buckets[kept[end]] == buckets[kept[at]]:
                 end += 1
             part = kept[at:end]
-            rows.append((buckets[part[0]], 0, *_columns(ids, ths, starts, strings, part), pack.compress(b"".join(strings[i] for i in part))))
+            rows.append((buckets[part[0]], 0, *_columns(ids, ths, starts, strings, part), pack.compress(b"".join(strings[i] for i in part)), sum(len(strings[i]) for i in part)))
             at = end
         if later:
-            rows.append((ids[later[0]] % n_buckets, 1, *_columns(ids, ths, starts, strings, later), b""))
+            rows.append((ids[later[0]] % n_buckets, 1, *_columns(ids, ths, starts, strings, later), b"", 0))
         yield _record(rows, _STRETCH_SCHEMA)
         held.clear()
 
     for ids, ths, data, off, first, end, text, bucket in _found(batches, n_buckets):
         raw = data.tobytes()
-        at = np.flatnonzero(~np.isin(bucket, hot))
-        for a, b, t, k in zip(first[at].tolist(), end[at].tolist(), text[at].tolist(), bucket[at].tolist(), strict=True):
+        for a, b, t, k in zip(first.tolist(), end.tolist(), text.tolist(), bucket.tolist(), strict=True):
             held.append((raw[a : b + LENGTH - 1], ids[t], ths[t], a - int(off[t]), k))
             size += b - a + LENGTH - 1
         if size > 8 * SHARD:
@@ -434,16 +399,23 @@ class Shard:
         other.first_id[hit], other.first_place[hit] = np.where(earlier, self.first_id[mine], other.first_id[hit]), np.where(earlier, self.first_place[mine], other.first_place[hit])
         self.first_id[mine], self.first_place[mine] = other.first_id[hit], other.first_place[hit]
 
-    def later(self) -> tuple[np.ndarray, ...]:
-        """(id, th, begin, end) of byte ranges covered by windows that start earlier elsewhere."""
+    def gone(self) -> np.ndarray:
+        """Which windows, in sorted order, start earlier elsewhere."""
         first_id, first_place = self.first_id[self.group], self.first_place[self.group]
-        gone = (first_id < self.of_id) | ((first_id == self.of_id) & (first_place < self.of_place))
-        at = np.sort(self.order[gone])
+        return (first_id < self.of_id) | ((first_id == self.of_id) & (first_place < self.of_place))
+
+    def runs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """String, first byte and end within it of the runs of consecutive windows that are chosen."""
+        at = np.sort(self.order[chosen])
         cut = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (self.string[at[1:]] != self.string[at[:-1]])]) if len(at) else np.zeros(0, bool)
         begin = at[cut]
         end = at[np.concatenate([cut[1:], [True]])] if len(at) else at
-        s = self.string[begin]
-        return self.ids[s], self.ths[s], self.starts[s] + self.within[begin], self.starts[s] + self.within[end] + LENGTH
+        return self.string[begin], self.within[begin], self.within[end] + LENGTH
+
+    def later(self) -> tuple[np.ndarray, ...]:
+        """(id, th, begin, end) of byte ranges covered by windows that start earlier elsewhere."""
+        s, begin, end = self.runs(self.gone())
+        return self.ids[s], self.ths[s], self.starts[s] + begin, self.starts[s] + end
 
 
 _SPAN_SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -501,6 +473,129 @@ def _bucket_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from settle()
 
 
+# --- buckets in rounds ------------------------------------------------------------------------
+
+_HOT = "bucket int, id long, th long, begin long, text binary"
+_HOT_SCHEMA = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("begin", pa.int64()), ("text", pa.binary())])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch (bucket, id, th, begin, text) of packed ones."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for bucket, *raw, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            i, t, s, n = (np.frombuffer(x, np.int64).tolist() for x in raw)
+            text, cuts = unpack.decompress(z), np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).tolist()
+            yield _record([(bucket, *row, text[a:b]) for *row, a, b in zip(i, t, s, cuts[:-1], cuts[1:], strict=True)], _HOT_SCHEMA)
+
+
+_JUDGED = "bucket int, id long, th long, begin long, end long, text binary"
+_JUDGED_SCHEMA = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("text", pa.binary())])
+
+
+def _round_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, share, guest, id, th, begin, text), a bucket's shard before its guests: removed ranges, without text, and guests' windows that are still open, with it."""
+    where, host, held, size, hosting = None, None, [], 0, True
+
+    def shard() -> Shard:
+        strings, ids, ths, starts = map(list, zip(*held, strict=True))
+        return Shard(strings, ids, ths, starts)
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        nonlocal host
+        if not held:
+            return
+        made, rows = shard(), []
+        if hosting:
+            host = made
+        elif host is not None:
+            host.meet(made)
+        gone = made.gone()
+        if not hosting or where[1] == 0:  # every task of a bucket sorts the shard, one tells of it
+            s, begin, end = made.runs(gone)
+            rows += [(where[0], *x, None) for x in zip(made.ids[s].tolist(), made.ths[s].tolist(), (made.starts[s] + begin).tolist(), (made.starts[s] + end).tolist(), strict=True)]
+        if not hosting:
+            s, begin, end = made.runs(~gone)
+            rows += [(where[0], held[k][1], held[k][2], held[k][3] + a, held[k][3] + b, held[k][0][a:b]) for k, a, b in zip(s.tolist(), begin.tolist(), end.tolist(), strict=True)]
+        if rows:
+            yield _record(rows, _JUDGED_SCHEMA)
+
+    for batch in batches:
+        for bucket, share, guest, i, th, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, share) != where or guest == hosting or (guest and size + len(text) > SHARD):
+                yield from settle()
+                held, size = [], 0
+                if (bucket, share) != where:
+                    where, host = (bucket, share), None
+                hosting = not guest
+            held.append((text, i, th, begin))
+            size += len(text)
+    yield from settle()
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(half, id, at, row): the hash and the place of each half window of the stretches (id, begin, text, row)."""
+    half = LENGTH // 2
+    for batch in batches:
+        for i, begin, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = np.frombuffer(text, np.uint8)
+            at = np.arange(len(data) - half + 1)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(data, at, at + half).view(np.int64)), pa.array(np.full(n, i, np.int64)), pa.array(at + begin), pa.array(np.full(n, row, np.int64))], names=["half", "id", "at", "row"])
+
+
+def _narrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (bucket, id, th, begin, text, places): the runs of windows both halves of which have shared places."""
+    for batch in batches:
+        rows = []
+        for bucket, i, th, begin, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            has = np.zeros(len(text) + 1, bool)
+            has[np.array(places) - begin] = True
+            both = np.flatnonzero(has[: len(text) - LENGTH + 1] & has[LENGTH - LENGTH // 2 : len(text) - LENGTH // 2 + 1])
+            for run in np.split(both, np.flatnonzero(np.diff(both) > 1) + 1) if len(both) else ():
+                a, b = int(run[0]), int(run[-1]) + LENGTH
+                rows.append((bucket, i, th, begin + a, text[a:b]))
+        if rows:
+            yield _record(rows, _HOT_SCHEMA)
+
+
+def _hot_spans(stretches_: DataFrame) -> DataFrame | None:
+    """Removed ranges (id, th, begin, end) of the stretches (bucket, id, th, begin, text) of hot buckets."""
+    told = None
+    tell = lambda rows: rows if told is None else told.unionByName(rows)
+    open_ = written(stretches_, "hot")
+    while not open_.isEmpty():
+        # Of equal stretches the first stays, and the others go whole.
+        named = open_.withColumn("digest", F.sha2("text", 256))
+        heads = named.groupBy("bucket", "digest").agg(F.min(F.struct("id", "begin")).alias("head"))
+        joined = named.join(heads, ["bucket", "digest"])
+        copies = joined.where(F.struct("id", "begin") > F.col("head"))
+        told = tell(copies.select("id", "th", "begin", (F.col("begin") + F.octet_length("text")).cast("long").alias("end")))
+        first = written(joined.where(F.struct("id", "begin") == F.col("head")).select("bucket", "id", "th", "begin", "text"), "hot-heads")
+
+        size = F.sum(F.octet_length("text")).alias("size")
+        sizes = first.groupBy("bucket").agg(size, F.percentile_approx("id", _FRACTIONS, 10_000).alias("marks"))
+        mark = F.least(F.ceil(F.log2(F.col("size") / SHARD)), F.lit(len(_FRACTIONS))).cast("int")
+        until = F.when(F.col("size") <= SHARD, F.lit(_LAST)).otherwise(F.element_at("marks", mark))
+        dealt = first.join(sizes.select("bucket", until.alias("until"), F.ceil(F.col("size") / SHARD).cast("int").alias("shares")), "bucket").withColumn("guest", F.col("id") > F.col("until"))
+        columns = ["bucket", "share", "guest", "id", "th", "begin", "text"]
+        hosts = dealt.where("NOT guest").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        guests = dealt.where("guest").withColumn("share", F.pmod(F.xxhash64("id", "begin"), F.col("shares")).cast("int"))
+        both = hosts.select(columns).unionByName(guests.select(columns)).repartition("bucket", "share").sortWithinPartitions("bucket", "share", "guest", "id", "begin", "th")
+        judged = written(both.mapInArrow(_round_rows, _JUDGED), "hot-judged")
+        told = tell(judged.where("text IS NULL").select("id", "th", "begin", "end"))
+
+        left = judged.where("text IS NOT NULL").withColumn("row", F.xxhash64("bucket", "id", "th", "begin"))
+        halves = written(left.select("id", "begin", "text", "row").mapInArrow(_halves, "half long, id long, at long, row long"), "hot-halves")
+        place = F.struct("id", "at")
+        shared = halves.groupBy("half").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("half")
+        places = halves.join(shared, "half", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
+        open_ = written(left.join(places, "row").select("bucket", "id", "th", "begin", "text", "places").mapInArrow(_narrow_rows, _HOT), "hot")
+    return told
+
+
 # --- the operator -----------------------------------------------------------------------------
 
 
@@ -563,10 +658,13 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     candidates = written(packed.join(keys_of.join(heads, ["id", "th"], "left_semi"), ["id", "th"]).dropDuplicates(["id", "th"]), "candidates")
 
     found = candidates.select("id", "th", "z", "keys")
-    hot = _hot_buckets(found, n_stretches)
-    made = found.mapInArrow(lambda b: _stretch_rows(b, n_stretches, hot), "bucket int, kind int, ids binary, ths binary, starts binary, sizes binary, z binary")
-    spans = made.repartition(slots(n_stretches), "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_spans, "id long, th long, begin long, end long")
-    spans = spans.union(_hot_spans(found, n_stretches, hot)) if hot else spans
+    made = written(found.mapInArrow(lambda b: _stretch_rows(b, n_stretches), _STRETCHES), "stretches")
+    hot = made.where("kind = 0").groupBy("bucket").agg(F.sum("bytes").alias("size")).where(F.col("size") > HOT).select("bucket", F.lit(True).alias("hot"))
+    flagged = made.join(hot, "bucket", "left")
+    cold = flagged.where("hot IS NULL OR kind = 1").select("bucket", "kind", "ids", "ths", "starts", "sizes", "z")
+    spans = cold.repartition(slots(n_stretches), "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_spans, "id long, th long, begin long, end long")
+    rounds = _hot_spans(flagged.where("hot AND kind = 0").select("bucket", "ids", "ths", "starts", "sizes", "z").mapInArrow(_unpacked, _HOT))
+    spans = spans if rounds is None else spans.unionByName(rounds)
     ranges = spans.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = candidates.select("id", "th", "z").join(ranges, ["id", "th"]).mapInArrow(_cut, "id long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = cut if with_text else cut.drop("kept").withColumn("kept", F.lit(None).cast("binary"))

@@ -83,23 +83,23 @@ def test_equal_windows_have_equal_keys():
     assert len({k for w, k in seen.items()}) > 3
 
 
-def test_hot_key_is_dealt_by_windows(spark, monkeypatch):
-    """A line in every document, each time between other bytes: no bucket over HOT bytes reaches a task of shards."""
+@pytest.mark.parametrize("shard", [3_000, 20_000])
+def test_hot_buckets_are_worked_in_rounds(spark, monkeypatch, shard):
+    """A line in every document, each time between other bytes, and near copies of one text: no task holds a bucket."""
     rng = np.random.default_rng(4)
     word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
-    line = word(130)
+    line, base = word(130), word(900)
     rows = [(i % 280, word(150) + line[: 60 + i % 70] + word(120) + line) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for i in range(300, 380):
+        at = int(rng.integers(0, 880))
+        rows.append((i, base[:at] + word(3) + base[at + 3 :]))
+    rows += [(400, base + base), (401, "ab" * 900), (None, base), (402, base), (402, base[50:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     monkeypatch.setattr(S, "STRETCH_BUCKET", 4_000)
     monkeypatch.setattr(S, "HOT", 10_000)
-    dealt = []
-    whole = S._stretch_rows
-    monkeypatch.setattr(S, "_hot_spans", lambda c, n, hot, f=S._hot_spans: dealt.append((c, n, hot)) or f(c, n, hot))
+    monkeypatch.setattr(S, "SHARD", shard)
+    rounds = []
+    monkeypatch.setattr(S, "_hot_spans", lambda rows, f=S._hot_spans: rounds.append(rows.count()) or f(rows))
     got = S.dedupe(df).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
-    ((candidates, n, hot),) = dealt
-    sizes = {}
-    batch = candidates.toArrow().to_batches()
-    for r in (r for b in whole(iter(batch), n, hot) for r in b.to_pylist() if r["kind"] == 0):
-        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + int(np.frombuffer(r["sizes"], np.int64).sum())
-    assert hot and max(sizes.values(), default=0) <= S.HOT
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+    assert rounds[0] > 200
