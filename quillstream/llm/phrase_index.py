@@ -8,9 +8,9 @@ is measured to both sides of the posting, and the stored rows are alignments of
 
 Both passes look test terms up in a broadcast table if there are at most ``BROADCAST_TERMS`` of them
 (which is counted), and in a shuffled join beyond. An anchor carries the words of its item beside it, at
-most ``2 * window - 1``; where postings are shuffled they carry as many of their text, never all words.
-Postings of the test terms are thus met as they stream by and not stored; ``postings`` and ``proximity``
-are the stored form, for searches that come back to one index.
+most ``2 * window - 1``; postings that are shuffled or stored carry as many of their text, never all words.
+Stored are the postings of the rarest terms that meet the next rarest one at its offset; ``postings`` and
+``proximity`` are the index of all given terms, for searches that come back to it.
 
 Defined results: null texts and texts without words have no words and no hits; an item of fewer than
 ten words is one window, one without words is none; rows of one id and text get equal results; an
@@ -88,21 +88,24 @@ def anchors(documents: DataFrame, items: DataFrame, id_col: str, text_col: str,
 def alignments(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Stored rows (key, copy, item, begin, end): word ranges of texts, each made of whole windows of the item."""
     wanted, bound = anchors(documents, items, id_col, text_col, item_col, item_text_col, window)
-    postings = tokens(documents, id_col, text_col)
+    held = tokens(documents, id_col, text_col)
     if bound > BROADCAST_TERMS:  # these rows are shuffled
-        postings = postings.withColumn("w", _beside("w", "pos", window)).withColumn("at", F.lit(window - 1))
+        held = held.withColumn("w", _beside("w", "pos", window)).withColumn("at", F.lit(window - 1))
     else:
-        postings = postings.withColumn("at", F.col("pos"))
-    beside = F.lower(F.get("w", F.col("at") + F.col("shift")))
-    met = postings.join(_maybe_broadcast(wanted, bound), "term").where(F.col("other").isNull() | (beside == F.col("other")))
+        held = held.withColumn("at", F.col("pos"))
+    next_to = F.lower(F.get("w", F.col("at") + F.col("shift")))
+    met = held.join(_maybe_broadcast(wanted, bound), "term").where(F.col("other").isNull() | (next_to == F.col("other")))
+    # The postings that met, with the words beside them, are stored: what measures them would make the code of the pass
+    # over all words too long to be compiled.
+    met = written(met.select("key", "copy", "item", "pos", "size", "iw", _beside("w", "at", window).alias("w")), "postings")
 
     def run(sign: int) -> Column:
-        """Equal words in a row beside the posting, written out so that no row ever carries the words of its text."""
-        same = [F.coalesce(plain(F.get("w", F.col("at") + sign * k)) == F.get("iw", F.lit(window - 1 + sign * k)), F.lit(False)) for k in range(1, window)]
+        """Equal words beside the posting, on one side."""
+        same = [F.coalesce(plain(F.get("w", F.lit(window - 1 + sign * k))) == F.get("iw", F.lit(window - 1 + sign * k)), F.lit(False)) for k in range(1, window)]
         first_other = F.array_position(F.array(*same), False)
         return F.when(first_other == 0, window - 1).otherwise(first_other - 1).cast("int")
 
-    here = plain(F.get("w", F.col("at"))) == F.get("iw", F.lit(window - 1))
+    here = plain(F.get("w", F.lit(window - 1))) == F.get("iw", F.lit(window - 1))
     measured = met.where(here).select("key", "copy", "item", "pos", "size", run(-1).alias("left"), run(1).alias("right"))
     exact = measured.where(F.col("left") + F.col("right") + 1 >= F.col("size"))
     return written(exact.select("key", "copy", "item", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("right") + 1).alias("end")), "alignments")
