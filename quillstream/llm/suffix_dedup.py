@@ -37,7 +37,7 @@ from quillstream.llm.shared import written
 
 LENGTH, KMER = 100, 24
 #: Bytes of text for each bucket of keys and each bucket of stretches, and of a shard's stretches at most.
-KEY_BUCKET, STRETCH_BUCKET, SHARD = 32 << 20, 4 << 20, 4 << 20
+KEY_BUCKET, STRETCH_BUCKET, SHARD = 32 << 20, 3 << 20, 2 << 20
 #: Bytes of stretches from which a bucket is worked in rounds.
 HOT = 4 * SHARD
 _FRACTIONS = [0.5**k for k in range(1, 25)]
@@ -242,7 +242,7 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator
         for a, b, t, k in zip(first.tolist(), end.tolist(), text.tolist(), bucket.tolist(), strict=True):
             held.append((raw[a : b + LENGTH - 1], ids[t], ths[t], a - int(off[t]), k))
             size += b - a + LENGTH - 1
-        if size > 8 * SHARD:
+        if size > 16 * SHARD:
             yield from settle()
             size = 0
     yield from settle()
