@@ -1,9 +1,14 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against identifiers.
 
-Two first-order Markov models over characters are trained from labelled samples, one of random
-strings (keys and tokens) and one of ordinary identifiers. A maximal run of key characters is a
-secret if its log-likelihood ratio for each character is above the threshold that the ordinary
-samples set; runs that touch a span of the fixed patterns are left to those.
+Two Markov models over characters, of second order with first and zeroth order mixed in, are trained from
+labelled samples, one of random strings (keys and tokens) and one of ordinary identifiers. A maximal run of key
+characters is a secret if its log-likelihood ratio for each character is above the threshold that held-back
+ordinary samples set; runs that touch a span of the fixed patterns are left to those.
+
+Samples come from the corpus and from a rule. Of at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS``
+characters, those with the smallest hashed ids, the values that the fixed patterns find are labelled random, and the
+distinct words of letters ordinary: identifiers are made of them in six styles. The rule adds strings drawn from the
+alphabets of keys, and ordinary ones that are no words: dates, numbers, repeated characters and alphabets in order.
 
 Defined results: a null or empty text has no spans; equal rows give equal results; an empty table
 gives an empty table; other columns are ignored; long texts are scanned whole, as bytes, and spans
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillstream.llm.arrow_text import LOWER, flat, runs, slices
 
@@ -27,9 +33,13 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_LONG_HEX = re.compile(rb"[0-9a-f]{32,}")
 #: Shortest value of an assignment, access key, hexadecimal run, and run scored by the models.
 LEAST = {"assign": 8, "access": 16, "hex": 32, "markov": 20}
 
+#: Documents, and characters of one, that samples are taken from at most; words and secrets that are kept of them.
+SAMPLE_DOCS, SAMPLE_CHARS, WORD_LIMIT = 2000, 100_000, 4000
+
 _KEY_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _KEY = np.zeros(256, np.uint8)
 _KEY[list(_KEY_CHARS)] = 1
@@ -37,62 +47,78 @@ _HEX = np.zeros(256, np.uint8)
 _HEX[list(b"0123456789abcdef")] = 1
 
 
-def labelled_samples(n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]]:
-    """Labelled training strings: (random ones, ordinary identifiers), made by rule from a seed."""
+WORDS = (
+    "account address array author batch body buffer build cache call channel class client code column config content count create data date default delete document "
+    "error event field file filter format function group handler header image index input item job key label level library line link list map message method model "
+    "module name node number object offset option order output page parameter path pattern point process query queue range record region report request response "
+    "result return role root row rule schema scope search select server service session set size source stage state status step store stream string style table "
+    "task test text time title total tree type update user value version view width window word worker international understanding responsibility"
+).split()
+
+
+def _ordinary(rng: random.Random, words: list[str], style: int) -> str:
+    """An identifier of words, or a string that is plainly no secret."""
+    parts = [rng.choice(words) for _ in range(rng.randint(2, 6))]
+    if style == 0:
+        return "_".join(parts)
+    if style == 1:
+        return parts[0] + "".join(p.title() for p in parts[1:])
+    if style == 2:
+        return "-".join(parts)
+    if style == 3:
+        return "_".join(parts).upper()
+    if style == 4:
+        return "/".join(parts) + str(rng.randint(0, 99)) * (rng.random() < 0.3)
+    if style == 5:
+        return "".join(parts) + rng.choice(["", "", "_1", "=" * rng.randint(1, 30), "-" * rng.randint(1, 30)])
+    day = f"{rng.randint(1990, 2035)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    letters = "abcdefghijklmnopqrstuvwxyz" if rng.random() < 0.5 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    turned = letters[rng.randrange(26) :] + letters
+    plain = (f"{day}/{day}", f"{day}_{rng.choice(words)}_{rng.randint(1, 99)}", rng.choice("abcxyzABC0159=-_") * rng.randint(20, 60), turned, turned[::-1], "0123456789" * rng.randint(2, 5), f"{rng.randint(0, 9)}" * 9 + "0" * rng.randint(11, 20), "-".join(str(rng.randint(1, 2030)) for _ in range(7)))
+    return plain[rng.randrange(len(plain))]
+
+
+def labelled_samples(n: int = 4000, seed: int = 7, words: list[str] | None = None, secrets: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """Labelled strings: (random ones, ordinary ones). ``words`` and ``secrets`` are those of a corpus; a few fixed words serve without them."""
     rng = random.Random(seed)
-    words = (
-        "account address api array author batch body buffer build cache call channel char check class client close code "
-        "column config content context copy count create data date default delete document engine entry error event "
-        "field file filter first flag format function get group handler header height host image index info input item "
-        "job key label last layer length level line link list load local log main map max message method min mode model "
-        "module name next node number object offset option order output page parse part path pattern point port process "
-        "query queue range rate read record region remove report request reset response result return role root row rule "
-        "save schema scope search select server service session set shape size sort source stage start state status "
-        "step store stream string style table tag target task test text time title token total tree type update user "
-        "value version view width window word worker write international understanding responsibility"
-    ).split()
-    syllables = [a + b for a in ("th", "st", "br", "c", "d", "f", "g", "l", "m", "n", "p", "r", "s", "t", "v", "") for b in ("a", "e", "i", "o", "u", "er", "in", "on", "en", "es")]
+    known = WORDS + sorted(words or ())
     alphabets = [b"0123456789abcdef", _KEY_CHARS[:62], _KEY_CHARS[:64], b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b"abcdefghijklmnopqrstuvwxyz0123456789", _KEY_CHARS]
-    strange, plain = [], []
-    for i in range(n):
-        alphabet = alphabets[i % len(alphabets)].decode()
-        strange.append("".join(rng.choice(alphabet) for _ in range(rng.randint(20, 64))))
-        parts = [rng.choice(words) if rng.random() < 0.6 else "".join(rng.choices(syllables, k=rng.randint(2, 5))) for _ in range(rng.randint(2, 6))]
-        style = i % 6
-        if style == 0:
-            made = "_".join(parts)
-        elif style == 1:
-            made = parts[0] + "".join(p.title() for p in parts[1:])
-        elif style == 2:
-            made = "-".join(parts)
-        elif style == 3:
-            made = "_".join(parts).upper()
-        elif style == 4:
-            made = "/".join(parts) + str(rng.randint(0, 99)) * (rng.random() < 0.3)
-        else:
-            made = "".join(parts) + rng.choice(["", "", "_1", "=" * rng.randint(1, 30), "-" * rng.randint(1, 30)])
-        plain.append(made)
-    return strange, plain
+    drawn = lambda alphabet: "".join(rng.choice(alphabet.decode()) for _ in range(rng.randint(20, 64)))
+    strange = [drawn(alphabets[i % len(alphabets)]) for i in range(n)]
+    plain = [_ordinary(rng, known, i % 8) for i in range(n)]
+    found = sorted(x for x in secrets or () if len(x) >= LEAST["markov"])
+    return strange + found[:n], plain
 
 
 class MarkovRatio:
-    """Log-likelihood ratio of two first-order character models, and its threshold."""
+    """Log-likelihood ratio of two character models of second order, and its threshold."""
+
+    #: Weights of the second, first and zeroth order.
+    MIX = (0.6, 0.3, 0.1)
 
     def __init__(self, strange: list[str], plain: list[str], alpha: float = 0.5) -> None:
         place = np.full(256, len(_KEY_CHARS) + 1, np.int64)
         place[list(_KEY_CHARS)] = np.arange(1, len(_KEY_CHARS) + 1)
         self.place, self.size = place, len(_KEY_CHARS) + 2
-        self.table = self._fit(strange, alpha) - self._fit(plain, alpha)
-        held = [self.score(x) for x in plain if len(x) >= LEAST["markov"]]
-        #: Above nearly all ordinary samples, and above an even ratio.
-        self.threshold = max(0.25, float(np.quantile(held, 0.999))) if held else 0.25
+        long = LEAST["markov"]
+        part = lambda xs, held: [x for i, x in enumerate(xs) if (i % 5 == 4) == held]
+        self.table = (self._fit(part(strange, False), alpha) - self._fit(part(plain, False), alpha)).astype(np.float32)
+        ordinary, random_ = ([self.score(x) for x in part(xs, True) if len(x) >= long] for xs in (plain, strange))
+        #: Above nearly all ordinary samples that were not learnt from, and where there is room, half-way to the random ones.
+        top = float(np.quantile(ordinary, 0.998)) if ordinary else 0.0
+        self.threshold = max(top, (top + float(np.quantile(random_, 0.02))) / 2) if random_ else top
 
     def _fit(self, strings: list[str], alpha: float) -> np.ndarray:
-        counts = np.full((self.size, self.size), alpha)
+        n = self.size
+        counts = np.zeros((n, n, n))
         for s in strings:
-            at = np.concatenate([[0], self.place[np.frombuffer(s.encode(), np.uint8)]])
-            np.add.at(counts, (at[:-1], at[1:]), 1)
-        return np.log(counts / counts.sum(1, keepdims=True))
+            at = np.concatenate([[0, 0], self.place[np.frombuffer(s.encode(), np.uint8)]])
+            np.add.at(counts, (at[:-2], at[1:-1], at[2:]), 1)
+        zeroth = counts.sum((0, 1)) + alpha
+        first = counts.sum(0) + alpha
+        second = counts + alpha / n
+        share = lambda c: c / c.sum(-1, keepdims=True)
+        return np.log(self.MIX[0] * share(second) + self.MIX[1] * share(first)[None] + self.MIX[2] * share(zeroth)[None, None])
 
     def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mean log-likelihood ratio of each ``data[start:end]``."""
@@ -102,15 +128,42 @@ class MarkovRatio:
         cuts = np.concatenate([[0], np.cumsum(lengths)])
         at = np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], lengths)
         now = self.place[data[at]]
-        before = np.concatenate([[0], now[:-1]])
-        before[cuts[:-1]] = 0
-        return np.add.reduceat(self.table[before, now], cuts[:-1]) / lengths
+        within = np.arange(cuts[-1]) - np.repeat(cuts[:-1], lengths)
+        before = np.where(within > 0, np.concatenate([[0], now[:-1]]), 0)
+        earlier = np.where(within > 1, np.concatenate([[0, 0], now[:-2]])[: len(now)], 0)
+        return np.add.reduceat(self.table[earlier, before, now].astype(np.float64), cuts[:-1]) / lengths
 
     def score(self, s: str) -> float:
         raw = np.frombuffer(s.encode(), np.uint8)
         return float(self.scores(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
+#: A word of letters of one case or with a capital first, by itself: parts of longer runs may be parts of keys.
+_LABELLED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[a-z]{3,20}|[A-Z][a-z]{2,19}|[A-Z]{3,20})(?![A-Za-z0-9+/_=-])")
+
+
+def corpus_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = SAMPLE_DOCS, longest: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
+    """(words, secrets) of a bounded sample of a corpus: at most ``WORD_LIMIT`` of each, by hash."""
+    rows = df.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), text_col).where(F.length(F.coalesce(text_col, F.lit(""))).between(1, longest))
+    chosen = rows.select("h").distinct().orderBy("h").limit(docs)
+    sample = rows.join(F.broadcast(chosen), "h").select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                raw = text.encode()
+                told = [(0, m.group(2)) for m in ASSIGN.finditer(raw) if len(m.group(2)) >= LEAST["assign"]] + [(0, m.group()) for m in ACCESS.finditer(raw) if len(m.group()) >= LEAST["access"]]
+                told += [(0, m.group()) for m in _LONG_HEX.finditer(raw)]
+                out = {(kind, value.decode()) for kind, value in told} | {(1, w) for w in _LABELLED.findall(text)}
+                if out:
+                    kinds, values = zip(*sorted(out), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], names=["kind", "value"])
+
+    found = sample.mapInArrow(run, "kind int, value string").distinct()
+    pick = lambda kind: [r.value for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(WORD_LIMIT).collect()]
+    return pick(1), pick(0)
+
+
 def _finds(raw: bytes, word: bytes) -> list[int]:
     found, at = [], raw.find(word)
     while at >= 0:
@@ -137,13 +190,11 @@ def _doc_spans(raw: bytes, keys: list[tuple[int, int]]) -> list[tuple[int, int,
     return sorted(spans + last)
 
 
-_LONG_HEX = re.compile(rb"[0-9a-f]{32,}")
-_models: dict[int, MarkovRatio] = {}
 
 
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: tuple[list[str], list[str]] | None = None) -> DataFrame:
-    """Per row: id and ``spans``, an array of (kind, start, end) in code points, by start, then kind."""
-    strange, plain = samples or labelled_samples()
+    """Per row: id and ``spans``, an array of (kind, start, end) in code points, by start, then kind. Without ``samples`` the corpus gives them."""
+    strange, plain = samples or labelled_samples(4000, 7, *corpus_samples(df, id_col, text_col))
     model = MarkovRatio(strange, plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,10 +81,63 @@ def test_secret_spans(spark):
 
 def test_markov_models_tell_keys_from_identifiers():
     model = secret_scan.MarkovRatio(*secret_scan.labelled_samples())
-    strange, plain_ = secret_scan.labelled_samples(600, seed=99)
+    strange, plain_ = secret_scan.labelled_samples(900, seed=99)
     caught = np.mean([model.score(x) > model.threshold for x in strange])
     wrong = np.mean([model.score(x) > model.threshold for x in plain_ if len(x) >= 20])
     assert caught > 0.95 and wrong < 0.02
+    for harmless in ("abcdefghijklmnopqrstuvwxyz", "a" * 28, "2024-01-02/2024-01-03", "00000000000000000000000", "=" * 40, "01234567890123456789", "ThisIsAnOrdinaryMethodName", "zyxwvutsrqponmlkjihgfedcba", "some/long/path/to/a/file_name_1"):
+        assert model.score(harmless) <= model.threshold, harmless
+
+
+def test_markov_scores_equal_a_plain_version():
+    strange, plain_ = secret_scan.labelled_samples(300, seed=5)
+    model = secret_scan.MarkovRatio(strange, plain_)
+    keys = {c: i + 1 for i, c in enumerate(secret_scan._KEY_CHARS.decode())}
+    n = len(keys) + 2
+
+    def fitted(strings):
+        tables = {}, {}, {}
+        for t in strings:
+            codes = [0, 0, *(keys.get(c, n - 1) for c in t)]
+            for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+                for table, context in zip(tables, ((a, b), b, ()), strict=True):
+                    table.setdefault(context, {}).setdefault(c, 0)
+                    table[context][c] += 1
+        return tables
+
+    def chance(tables, a, b, c):
+        out = 0.0
+        for weight, table, context, alpha in zip(model.MIX, tables, ((a, b), b, ()), (0.5 / n, 0.5, 0.5), strict=True):
+            counts = table.get(context, {})
+            out += weight * (counts.get(c, 0) + alpha) / (sum(counts.values()) + alpha * n)
+        return out
+
+    random_, ordinary = (fitted([x for i, x in enumerate(xs) if i % 5 != 4]) for xs in (strange, plain_))
+    for t in ("qL8zR4kW9xT2vB7nM5cY1pD6", "internationalization_of_it", "x" * 21, "aé!b"):
+        codes = [0, 0, *(keys.get(c, n - 1) for c in t.encode().decode("latin-1"))]
+        want = np.mean([np.log(chance(random_, *abc)) - np.log(chance(ordinary, *abc)) for abc in zip(codes, codes[1:], codes[2:], strict=False)])
+        assert abs(model.score(t) - want) < 1e-4
+
+
+def test_markov_spans_on_a_table(spark):
+    """Keys that no fixed pattern finds, between identifiers of the corpus's own words: found and counted, with few others."""
+    rng = __import__("random").Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    syllables = ["er", "ing", "tion", "the", "and", "st", "ou", "al", "re", "en", "on", "qu", "ment"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows, planted = [], {}
+    for i in range(300):
+        parts = [word() for _ in range(60)] + ["_".join(word() for _ in range(5)), word() + "".join(word().title() for _ in range(5)), "/".join(word() for _ in range(7)), "2024-05-06/2024-05-07", "-" * 30]
+        if i % 3 == 0:
+            planted[i] = "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 48)))
+            parts.append(planted[i])
+        rng.shuffle(parts)
+        rows.append((i, "é " + " ".join(parts)))
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "markov"] for r in secret_scan.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    hits = sum((texts[i].index(key), texts[i].index(key) + len(key)) in found[i] for i, key in planted.items())
+    total = sum(map(len, found.values()))
+    assert hits >= 0.95 * len(planted) and hits >= 0.9 * total
 
 
 # --- lines and phrases
