@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import records as R
+from quillstream.operators import item_mapping
 from quillstream.operators import readmodels as M
 from quillstream.plans.event_queries import _events
 from quillstream.plans.text_queries import _SENTENCES, ITEMS, any_sql, items
@@ -207,4 +208,40 @@ def nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_type AS provider, count(*)::BIGINT AS attempts, count(*) FILTER (value > 95)::BIGINT AS failed, sum(event_id % 1000)::BIGINT AS tokens, CASE WHEN count(*) FILTER (value > 95) = 0 THEN 'ok' WHEN count(*) FILTER (value > 95) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM events GROUP BY event_type""",
 )
 def usage_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.usage(_events(spark, sf_dir).withColumnRenamed("event_type", "provider"), ["provider"], F.col("value") > 95, F.col("event_id") % 1000)
\ No newline at end of file
+    return M.usage(_events(spark, sf_dir).withColumnRenamed("event_type", "provider"), ["provider"], F.col("value") > 95, F.col("event_id") % 1000)
+
+@query(
+    "mapped_items",
+    """WITH p AS (SELECT page_id AS k, url, 'src' || page_id % 4 AS s FROM pages),
+    m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'r' || k WHEN k % 3 = 1 THEN 'i' || k ELSE url END AS id FROM p)
+    SELECT k AS page_id, s AS source, CASE WHEN k % 5 = 0 THEN 'own' WHEN s = 'src0' THEN 'news_media' WHEN s = 'src1' THEN 'official' WHEN s = 'src2' THEN 'portfolio_stock_news' ELSE '' END AS source_category, id AS item_id, 's ' || k AS title,
+        CASE WHEN k % 2 = 0 THEN 'sum ' || k ELSE 'body' END AS summary, url, CASE WHEN k % 7 = 0 THEN 'A,B' ELSE '' END AS symbols, CASE WHEN k % 11 = 0 THEN 'given' || k ELSE s || ':' || id END AS dedupe_key, CASE s WHEN 'src0' THEN 'rss' WHEN 'src1' THEN 'api' ELSE s END AS collector FROM m""",
+)
+def mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as raw JSON rows of four sources, two with a profile and one with a default category."""
+    k = F.col("page_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    raw = F.to_json(F.struct(
+        F.when(k % 3 != 2, text("i", k)).alias("id"), F.when(k % 3 == 0, F.struct(text("r", k).alias("id"))).alias("raw"), text("  s  ", k).alias("title"), F.when(k % 2 == 0, text("sum ", k)).otherwise("").alias("summary"), F.lit("body").alias("content"), "url",
+        F.when(k % 7 == 0, F.array(F.lit("A"), F.lit("B "), F.lit("A"))).alias("related_symbols"), F.when(k % 11 == 0, text("given", k)).alias("dedupe_key"), F.when(k % 5 == 0, "own").alias("source_category"),
+    ))
+    rows = table(spark, sf_dir, "pages").select("page_id", text("src", k % 4).alias("source"), raw.alias("raw"))
+    profiles = spark.createDataFrame([("src0", "news_media", None, "rss"), ("src1", "official", "company", "api")], "source string, category string, role string, fetcher string")
+    done = item_mapping.mapped_items(rows, "source", "raw", profiles, {"src2": "portfolio_stock_news"})
+    return done.select("page_id", "source", "source_category", "item_id", "title", "summary", "url", F.array_join("symbols", ",").alias("symbols"), "dedupe_key", "collector")
+
+
+@query(
+    "stock_items",
+    r"""WITH h AS (SELECT DISTINCT upper(s_name) AS symbol, 'N' || s_suppkey AS name FROM supplier), r AS (SELECT page_id, 'SUPPLIER#' || lpad((1 + page_id % 30)::VARCHAR, 9, '0') AS sym, url, CASE WHEN page_id % 3 = 0 THEN ' text ' || page_id ELSE '' END AS art FROM pages),
+    j AS (SELECT r.*, name FROM r JOIN h ON symbol = sym)
+    SELECT page_id, sym AS symbol, name || '（' || sym || '）相关新闻：P' || page_id AS summary, CASE WHEN trim(art) <> '' THEN trim(art) ELSE name || '（' || sym || '）相关新闻：P' || page_id END AS full_text, trim(art) <> '' AS fetched FROM j""",
+)
+def stock_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the news of suppliers: one item a row and holding."""
+    k = F.col("page_id")
+    symbol = F.concat(F.lit("Supplier#"), F.lpad((k % 30 + 1).cast("string"), 9, "0"))
+    news = table(spark, sf_dir, "pages").select(symbol.alias("symbol"), F.concat(F.lit("P"), k.cast("string")).alias("title"), "url", F.lit("2024-01-01").alias("published_at"), F.when(k % 3 == 0, F.concat(F.lit(" text "), k.cast("string"))).alias("article_text"))
+    held = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("symbol"), F.concat(F.lit("N"), F.col("s_suppkey").cast("string")).alias("name"))
+    found = item_mapping.stock_items(news, held)
+    return found.select(F.substring("title", 2, 20).cast("long").alias("page_id"), F.get("symbols", F.lit(0)).alias("symbol"), "summary", "full_text", "fetched")
