@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
+from quillstream.session import checkpointed
 
 #: Shares of the smaller and of the larger set of bigrams that a similar pair has in common at least.
 SMALLER, LARGER, CONTAINED = 0.65, 0.45, 8
@@ -65,15 +66,19 @@ def near_duplicates_within(rows: DataFrame, doc_id: str, core: str, at: str, spa
 
     A row with the core of an earlier one in reach is ``equal`` to the last such row, so copies make a chain
     and not all pairs; rows of different cores are compared by the rule of ``near_duplicates``, each with those
-    in its own block of time and the blocks beside it. Empty cores and null times take no part.
+    in its own block of time and the blocks beside it. Empty cores and null times take no part; repeated rows of one id, core
+    and time count once.
     """
-    base = rows.select(F.col(doc_id).alias("doc_id"), F.col(core).alias("core"), F.col(at).cast("long").alias("t")).where("core <> '' AND t IS NOT NULL AND doc_id IS NOT NULL")
+    taken = rows.select(F.col(doc_id).alias("doc_id"), F.col(core).alias("core"), F.col(at).cast("long").alias("t")).where("core <> '' AND t IS NOT NULL AND doc_id IS NOT NULL").distinct()
+    # A bigram is one number; cores and their bigrams are made once, as every join below reads them.
+    point = lambda g, k: F.ascii(F.substring(g, k, 1)).cast("long")
+    pairs_of = F.transform(F.regexp_extract_all("core", F.lit("(?s)(?=(..))"), F.lit(1)), lambda g: point(g, 1) * 1114112 + point(g, 2))
+    units = checkpointed(taken.withColumn("grams", F.when(F.length("core") < 2, F.array(F.ascii("core").cast("long"))).otherwise(F.array_distinct(pairs_of))))
+    base = units.drop("grams")
     order = Window.partitionBy("core").orderBy("t", "doc_id")
     before = base.select("doc_id", "t", F.lag(F.struct("doc_id", "t")).over(order).alias("p")).where(F.col("t") - F.col("p.t") <= span)
     equal = before.select(F.least("doc_id", "p.doc_id").alias("doc_a"), F.greatest("doc_id", "p.doc_id").alias("doc_b"), F.lit("equal").alias("relation"))
 
-    pairs_of = F.array_distinct(F.regexp_extract_all("core", F.lit("(?s)(?=(..))"), F.lit(1)))
-    units = base.withColumn("grams", F.when(F.length("core") < 2, F.array("core")).otherwise(pairs_of))
     grams = units.select("doc_id", "t", F.length("core").alias("long"), F.explode("grams").alias("g"))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
     ranked = grams.join(rarity, "g")
