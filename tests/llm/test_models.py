@@ -134,6 +134,15 @@ def test_threats_and_targets_in_both_orders():
     assert _clause_score("you are an idiot") == _clause_score("what an idiot you are") > _clause_score("what an idiot")
 
 
+def test_reports_at_the_end_of_a_clause():
+    whole = clause_score("you are an idiot")[0]
+    for reported in ("you are an idiot, he said", "you are an idiot said she", "he said you are an idiot"):
+        assert clause_score(reported)[0] < 0.5 * whole, reported
+    for own in ("you are an idiot, he laughed", "an idiot said so to you"):  # nobody is quoted, or the idiot speaks
+        assert clause_score(own)[0] > 0.6 * whole, own
+    assert G.closing_report().step[0][G.REPORT][0] == 1
+
+
 def test_negations_and_reports():
     plain_score = _clause_score("be an idiot")
     for text in ("don't be an idiot", "don\u2019t be an idiot", "n'est idiot", "not an idiot"):
