@@ -70,8 +70,12 @@ def impulse(text: Column, easing: Sequence[str], tightening: Sequence[str]) -> C
     return F.when(eases & ~tightens, "easing").when(tightens & ~eases, "tightening").otherwise("")
 
 
+#: Fixed value: a word of prices with a per cent figure within 20 characters.
+PRICE_REACTION = r"(股价|收盘|大跌|大涨|下跌|上涨|跌幅|涨幅|蒸发|市值).{0,20}(\d+(?:\.\d+)?%)"
+
+
 def freshness(published: Column, text: Column, stale_days: int = 3) -> Column:
-    """(status, earliest, latest, days): dates written in a text that lie before its day of publishing.
+    """(status, earliest, latest, days, reacted): dates written in a text that lie before its day of publishing; ``reacted`` where it then tells a price move in per cent.
 
     Dates with a year are taken as they are, those without get the year of publishing; dates that no
     calendar has are left out.
@@ -87,7 +91,24 @@ def freshness(published: Column, text: Column, stale_days: int = 3) -> Column:
     latest = F.array_max(earlier)
     days = F.datediff(day, latest)
     status = F.when(day.isNull() | (body == ""), "unknown").when(F.size(earlier) == 0, "same_day_or_unknown").when(days >= stale_days, "stale_or_rehash").otherwise("possibly_stale")
-    return F.struct(status.alias("status"), F.array_min(earlier).alias("earliest"), latest.alias("latest"), days.alias("days"))
+    reacted = (F.size(earlier) > 0) & body.rlike(PRICE_REACTION)
+    return F.struct(status.alias("status"), F.array_min(earlier).alias("earliest"), latest.alias("latest"), days.alias("days"), F.coalesce(reacted, F.lit(False)).alias("reacted"))
+
+
+def cleaned_target(name: Column) -> Column:
+    """A target as keys have it: lower case, Latin letters, digits, Chinese characters and dots."""
+    return F.regexp_replace(F.lower(T.strip(T.text_of(name))), r"[^a-z0-9一-鿿.]", "")
+
+
+def move_target(hits: Column, evidence: Column, rules: Sequence[str]) -> Column:
+    """The target of an intraday move: the first of the hits' (rule_id, related_targets of name and code) of one of ``rules`` with a name or else a code,
+    else the first subject of the evidence (rule_family, matched_subjects) of a holding; empty without any."""
+    pick = lambda t: T.first_non_empty(T.strip(T.text_of(t["name"])), T.text_of(t["code"]))
+    wanted = F.filter(F.coalesce(hits, F.array()), lambda h: F.coalesce(h["rule_id"].isin(*rules), F.lit(False)))
+    named = F.flatten(F.transform(wanted, lambda h: F.transform(F.coalesce(h["related_targets"], F.array()), lambda t: cleaned_target(pick(t)))))
+    held = F.filter(F.coalesce(evidence, F.array()), lambda e: F.coalesce(e["rule_family"] == "holding", F.lit(False)))
+    subjects = F.flatten(F.transform(held, lambda e: F.transform(F.coalesce(e["matched_subjects"], F.array()), lambda x: cleaned_target(x))))
+    return F.coalesce(F.get(F.filter(F.concat(named, subjects), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def market_move_key(published: Column, text: Column, target: Column) -> Column:
@@ -100,6 +121,6 @@ def market_move_key(published: Column, text: Column, target: Column) -> Column:
     up, down = any_of(UP), any_of(DOWN)
     day = F.date_format(published + F.expr(f"INTERVAL {MARKET_HOURS} HOURS"), "yyyy-MM-dd")
     concept = F.lower(F.regexp_extract(body, CONCEPT, 1))
-    who = F.regexp_replace(F.lower(T.text_of(target)), r"[^a-z0-9一-鿿.]", "")
+    who = cleaned_target(target)
     direction = F.when(up & ~down, "up").when(down & ~up, "down")
     return F.when((concept != "") & (who != "") & direction.isNotNull() & day.isNotNull(), F.concat_ws(":", F.lit("market_move"), day, direction, concept, who))

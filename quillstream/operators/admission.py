@@ -218,16 +218,19 @@ def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str
     ).drop("_evidence", "_low_parts", "_trade", *made)
 
 
-def sentence_window(items: DataFrame, key: str, text: str, anchors: Sequence[str], stops: Sequence[str], signals: Sequence[Sequence[str]], ahead: int = 6, least: int = 2) -> DataFrame:
+def sentence_window(items: DataFrame, key: str, text: str, anchors: Sequence[str], stops: Sequence[str], signals: Sequence[Sequence[str]], ahead: int = 6, least: int = 2, also: Sequence[Sequence[str]] = ()) -> DataFrame:
     """(key, index, n_signals, quote): of each text the first anchor sentence whose window has ``least`` of the signals.
 
-    A window is the sentence and up to ``ahead`` more, cut before the first with a stop term. Every sentence is
+    An anchor sentence has a term of ``anchors`` and one of each group of ``also`` (a bank and a role). A window is the sentence and up to ``ahead`` more, cut before the first with a stop term. Every sentence is
     tested once, and a window holds ``ahead`` + 1 rows, however long the text.
     """
     cut = items.select(key, F.posexplode(T.sentences(F.col(text))).alias("index", "sentence"))
     x = F.col("sentence")
     flags = [T.matches_any(x, group).cast("int").alias(f"g{k}") for k, group in enumerate(signals)]
-    tested = cut.select(key, "index", "sentence", T.matches_any(x, anchors).alias("anchor"), T.matches_any(x, stops).alias("stop"), *flags)
+    anchor = T.matches_any(x, anchors)
+    for group in also:
+        anchor = anchor & T.matches_any(x, group)
+    tested = cut.select(key, "index", "sentence", anchor.alias("anchor"), T.matches_any(x, stops).alias("stop"), *flags)
     forward = Window.partitionBy(key).orderBy("index").rowsBetween(0, ahead)
     held = F.struct("sentence", "stop", *[f"g{k}" for k in range(len(signals))])
     windows = tested.withColumn("m", F.collect_list(held).over(forward)).where("anchor").select(key, "index", "m")

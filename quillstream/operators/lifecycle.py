@@ -65,6 +65,25 @@ def probe(items: DataFrame, key: str, ledgers: Sequence[tuple[str, DataFrame, st
     return out.select(key, kind.alias("match_kind"), match.alias("match_id"))
 
 
+def probe_titles(items: DataFrame, ledger: DataFrame, key: str, title: str, at: str, entry: str, days: int) -> DataFrame:
+    """(key, match_id): the ledger's entry of the same title nearest in time, at most ``days`` away; the earlier of two equally near.
+
+    Entries and items of a title are ordered once: the last entry before an item and the first after it are all that can
+    be nearest, so no item meets all entries of its title. Empty titles and null times match nothing.
+    """
+    a = items.select(F.col(key).alias("_key"), F.trim(F.coalesce(title, F.lit(""))).alias("_title"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).withColumn("_entry", F.lit(None).cast(ledger.schema[entry].dataType)).withColumn("_kind", F.lit(1))
+    b = ledger.select(F.col(entry).alias("_entry"), F.trim(F.coalesce(title, F.lit(""))).alias("_title"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).groupBy("_title", "_t").agg(F.min("_entry").alias("_entry")).withColumn("_key", F.lit(None).cast(items.schema[key].dataType)).withColumn("_kind", F.lit(0))
+    both = a.unionByName(b).where("_title <> '' AND _t IS NOT NULL")
+    seen = F.when(F.col("_kind") == 0, F.struct("_t", "_entry"))
+    before = F.last(seen, ignorenulls=True).over(Window.partitionBy("_title").orderBy("_t", "_kind"))
+    after = F.last(seen, ignorenulls=True).over(Window.partitionBy("_title").orderBy(F.desc("_t"), "_kind"))
+    near = both.withColumn("_b", before).withColumn("_a", after).where("_kind = 1")
+    reach = lambda c: F.abs(F.col("_t") - F.col(f"{c}._t"))
+    pick = F.when(F.col("_a").isNull() | (reach("_b") <= reach("_a")), F.col("_b")).otherwise(F.col("_a"))
+    found = near.select("_key", pick.alias("_p"), "_t").where(F.abs(F.col("_t") - F.col("_p._t")) <= days * 86_400_000_000)
+    return items.select(key).join(found.select(F.col("_key").alias(key), F.col("_p._entry").alias("match_id")), key, "left")
+
+
 def merge_channels(rows: DataFrame, key: str, order: Sequence[str], channel: str, filled: Sequence[str]) -> DataFrame:
     """One row an item: its first row, with empty ``filled`` columns from the first row that has them, and its channels in first-seen order."""
     at = F.struct(*order)

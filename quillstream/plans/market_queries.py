@@ -331,6 +331,32 @@ def global_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmodels.first_seen(rows, "props", "user_id", "t", "event_id")
 
 
+@query(
+    "title_probe",
+    """WITH i AS (SELECT event_id, event_type || user_id % 40 AS title, ts FROM events), l AS (SELECT * FROM i WHERE event_id % 5 = 0), p AS (SELECT a.event_id, b.event_id AS e, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS d, b.ts FROM i a JOIN l b USING (title) WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 172800000000),
+    n AS (SELECT event_id, arg_min(e, struct_pack(d := d, t := ts, e := e)) AS match_id FROM p GROUP BY event_id) SELECT event_id, match_id FROM i LEFT JOIN n USING (event_id)""",
+)
+def title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against a ledger of every fifth one: the entry of the same title nearest in time, at most two days away."""
+    rows = _events(spark, sf_dir).select("event_id", F.concat("event_type", (F.col("user_id") % 40).cast("string")).alias("title"), "ts")
+    ledger = rows.where("event_id % 5 = 0").withColumnRenamed("event_id", "entry")
+    return lifecycle.probe_titles(rows, ledger, "event_id", "title", "ts", "entry", 2)
+
+
+@query(
+    "move_targets",
+    """WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'Name ' || user_id ELSE 'C' || user_id || '.SH' END WHEN event_id % 3 = 1 THEN 'Sub-' || user_id ELSE '' END AS x FROM events) SELECT event_id, regexp_replace(lower(x), '[^a-z0-9.]', '', 'g') AS target FROM t""",
+)
+def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of moves: a hit's name, else its code, else the subject of the holding's evidence."""
+    k, u = F.col("event_id"), F.col("user_id").cast("string")
+    target = F.struct(F.when(k % 2 == 0, F.concat(F.lit(" Name "), u)).otherwise(" ").alias("name"), F.concat(F.lit("C"), u, F.lit(".SH")).alias("code"))
+    other = F.struct(F.lit("other").alias("rule_id"), F.array(target).alias("related_targets"))
+    hits = F.array(other, F.struct(F.when(k % 3 == 0, "move").otherwise("none").alias("rule_id"), F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit("").alias("code")), target).alias("related_targets")))
+    evidence = F.array(F.struct(F.lit("macro").alias("rule_family"), F.array(F.lit("No")).alias("matched_subjects")), F.struct(F.when(k % 3 == 1, "holding").otherwise("fed").alias("rule_family"), F.array(F.lit("-"), F.concat(F.lit("Sub-"), u)).alias("matched_subjects")))
+    return _events(spark, sf_dir).select("event_id", M.move_target(hits, evidence, ["move"]).alias("target"))
+
+
 @query(
     "channel_merge",
     """WITH r AS (SELECT user_id % 50 AS item, event_type, ts, event_id, CASE WHEN value > 60 THEN props ELSE '' END AS summary FROM events), c AS (SELECT item, event_type, min(struct_pack(a := ts, b := event_id)) AS place FROM r GROUP BY ALL),

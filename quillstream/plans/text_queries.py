@@ -277,6 +277,24 @@ def sentence_window_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("index", "at_sentence")
 
 
+_LEADER = {"anchors": ("the", "la"), "stops": ("licensed",), "signals": (("of", "und"), ("and", "de"), ("is", "que")), "also": (("in", "les", "to"),)}
+
+
+@query(
+    "leader_judgement",
+    f"""WITH {ITEMS}, {_SENTENCES}, e AS (SELECT doc_id, sentences, unnest(range(1, len(sentences) + 1)) AS k FROM s),
+    a AS (SELECT doc_id, k, sentences[k] AS x, list_slice(sentences, k + 1, k + 6) AS rest FROM e WHERE {any_sql('sentences[k]', _LEADER['anchors'])} AND {any_sql('sentences[k]', _LEADER['also'][0])}),
+    b AS (SELECT *, list_position(list_transform(rest, lambda x: {any_sql('x', _LEADER['stops'])}), true) AS stop FROM a),
+    w AS (SELECT doc_id, k, array_to_string(list_concat([x], CASE WHEN stop > 0 THEN list_slice(rest, 1, stop - 1) ELSE rest END), ' ') AS t FROM b),
+    n AS (SELECT doc_id, k, t, {' + '.join(f"{any_sql('t', g)}::INT" for g in _LEADER['signals'])} AS n_signals FROM w)
+    SELECT doc_id, (k - 1)::INT AS at_sentence, n_signals, substr(t, 1, 300) AS quote FROM n WHERE n_signals >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1""",
+)
+def leader_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentence that names an institution and a role whose window has two of three signals."""
+    found = admission.sentence_window(items(spark, sf_dir), "doc_id", "rule_text", **_LEADER)
+    return found.withColumnRenamed("index", "at_sentence")
+
+
 @query(
     "evidence_segments",
     r"""WITH u AS (
