@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import records as R
 from quillstream.session import table
+from quillstream.sources import details as D
 from quillstream.sources import pages as P
 
 QUERIES: dict = {}
@@ -95,3 +96,29 @@ _FOUND = ", ".join(f"{{'m': regexp_extract_all(t, '{p}'), 'g': regexp_split_to_a
 def quantified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", R.quantified_spans(F.col("text"), _SPANS).alias("s"))
     return rows.where(F.size("s") > 0).select("doc_id", F.array_join("s", "|").alias("spans"))
+
+
+DETAIL = D.DetailRule(title_suffix=r"\s*[-|]\s*Site\s*$", body_start=r"""<div\b[^>]*\bid\s*=\s*["']artibody["'][^>]*>""", body_ends=("<!-- end -->",), dropped_starts=("Editor:",), dropped_words=("our APP",), cut_at=("Risk notice",))
+
+
+@query(
+    "page_details",
+    r"""WITH p AS (SELECT page_id AS k, url, 'Paragraph ' || page_id || ' of a text that is long enough' AS one FROM pages)
+    SELECT k AS page_id, 'Page ' || k AS title, CASE k % 4 WHEN 0 THEN '2024-01-02T00:00:00Z' WHEN 1 THEN '2024-02-03' WHEN 2 THEN '2024-01-02T03:04:05Z' ELSE '' END AS published, CASE WHEN k % 3 = 0 THEN 'Ann & Co' ELSE '' END AS author,
+        CASE k % 5 WHEN 0 THEN one || E'\n\n' || one || ' too.' WHEN 1 THEN one || ' in a region' WHEN 2 THEN one || ' in an article, the longest element of the page' ELSE 'About ' || k END AS body, CASE k % 5 WHEN 0 THEN 'paragraphs' WHEN 1 THEN 'region' WHEN 2 THEN 'element' ELSE 'description' END AS origin FROM p""",
+)
+def page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with heads and bodies of several shapes before their own markup, which is cut off by the end mark or left without elements."""
+    k = F.col("page_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    one = text("Paragraph ", k, " of a text that is long enough")
+    head = text('<meta property="og:title" content="Page ', k, ' - Site"><meta name="description" content="About ', k, '">')
+    when = F.when(k % 4 == 0, '<meta content="2024-01-02T00:00:00Z" property="article:published_time">').when(k % 4 == 1, "<time class=x datetime='2024-02-03'>").when(k % 4 == 2, '{"display_time": 1704164645}').otherwise("")
+    author = F.when(k % 3 == 0, '<meta name="author" content="Ann &amp; Co">').otherwise("")
+    paragraphs = text("<div id='artibody' class=a><p>Editor: x</p><p>", one, "</p><script>'<p>no</p>'</script><p>get our APP</p><p>", one, " too. Risk notice and more</p><!-- end -->")
+    region = text('<div class=a id="artibody">', one, " in a region<!-- end -->")
+    article = text("<article><p>", one, " in an article, the longest element of the page</p></article>")
+    own = F.regexp_replace("html", r"(?is)<(/?)(article|main|div|meta|time)\b", "<$1x-$2")
+    body = F.when(k % 5 == 0, F.concat(paragraphs, own)).when(k % 5 == 1, F.concat(region, own)).when(k % 5 == 2, F.concat(article, own)).otherwise(own)
+    found = D.details(table(spark, sf_dir, "pages").withColumn("html", F.concat(head, when, author, body)), DETAIL)
+    return found.select("page_id", "detail.title", "detail.published", "detail.author", "detail.body", "detail.origin")
