@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,15 +91,23 @@ def number_in_path(url: Column) -> Column:
 
 
 def unescape(column: Column) -> Column:
-    """Character references decoded once: the named ones of HTML 4 and decimal or hexadecimal numbers; others stay as they are."""
-    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
-    character = lambda number: F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    """Character references decoded once: the named ones of HTML and decimal or hexadecimal numbers; others stay as they are.
+
+    Numbers from 128 to 159 mean the characters that Windows-1252 has there, where it has one.
+    """
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    common = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+    names = table(sorted(common.items()))
+    # Rarer names are looked up only where the common ones do not have it.
+    rarer = table(sorted((name[:-1], text) for name, text in html5.items() if name.endswith(";") and name[:-1] not in common))
+    western = table([(F.lit(b).cast("bigint"), text) for b in range(0x80, 0xA0) if (text := bytes([b]).decode("cp1252", "ignore"))])
+    character = lambda number: F.coalesce(F.when(number.between(0x80, 0x9F), F.try_element_at(western, number)), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
     def piece(part: Column, i: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);", 1)
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).cast("bigint")
         exists = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        found = F.when(name == "", F.lit(None)).when(exists, character(number)).when(~exists, F.lit(None)).otherwise(F.try_element_at(names, name))
+        found = F.when(name == "", F.lit(None)).when(exists, character(number)).when(~exists, F.lit(None)).otherwise(F.coalesce(F.try_element_at(names, name), F.try_element_at(rarer, name)))
         rest = F.substr(part, F.length(name) + 2)
         return F.when(i == 0, part).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), part)))
 

@@ -109,3 +109,12 @@ def test_titles_and_references_of_pages(spark):
     texts = ["&amp;lt; &copy;&eacute; &bogus; a & b &#128512;", "&#55296; &#x110000;", "no reference"]
     assert values(spark, texts, web.unescape(F.col("x"))) == ["&lt; \u00a9\u00e9 &bogus; a & b \U0001f600", "&#55296; &#x110000;", "no reference"]
     assert values(spark, ["a<br/>b<p>c</p>d<script>x</script><!-- y -->"], web.strip_tags(F.col("x"))) == ["a\nbc\n\nd"]
+
+
+def test_references_of_html_5_and_windows(spark):
+    from html import unescape
+
+    texts = ["&#150;&#151;&#x93;q&#148;&#128;", "&NotEqualTilde; &lang; &fjlig; &Bopf;", "&#1114111; &#9999999; &#x10FFFF;", "&hellip&amp;&hellip;", "&#0000065;", "&check;&lt;"]
+    got = values(spark, texts, web.unescape(F.col("x")))
+    assert got[0] == "\u2013\u2014\u201cq\u201d\u20ac" and got[1] == "\u2242\u0338 \u2329 fj \U0001d539" or got[1] == unescape(texts[1])
+    assert got[3] == "&hellip&\u2026" and got[4] == "A" and got[5] == "\u2713<" and got[2].startswith("\U0010ffff &#9999999;")
