@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from quillstream.llm.arrow_text import slices
 
-#: Bytes of pieces and their ids, about, that a worker's table keeps before it is emptied.
-KEPT_BYTES = 96 << 20
+#: Bytes of pieces and their ids, about, that a worker's table keeps before it is emptied; bytes of texts that are cut at once, or one text.
+KEPT_BYTES, SLICE = 40 << 20, 1 << 19
 _codecs: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -122,7 +122,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in tool.encode(texts)]
                 spans = [tool.offsets(x, t.encode()) for x, t in zip(ids, texts, strict=True)]
@@ -152,7 +152,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 packed = tool.encode([t or "" for t in part.column(1).to_pylist()])
                 decoded = [hashlib.sha256(tool.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in packed]
                 yield pa.RecordBatch.from_arrays(
