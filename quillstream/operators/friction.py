@@ -32,14 +32,16 @@ from quillstream.operators import terms
 SEGMENT_CHARS, SEGMENTS, EVIDENCE, TARGETS = 8, 240, 6, 8
 #: The signals in order of strength.
 CONCRETE, STRONG, WEAK = "具体程序/措施", "明确升级/报复信号", "贸易紧张或政策工具信号尚未进入明确行动阶段"
+#: Fixed value: where segments end: line ends, closing marks, and full stops before a capital or a digit that no initial precedes.
+SEGMENT_END = r"(?U)[\n\r]+|(?<=[!?。！？；;])\s*|(?<![A-Z]\.)(?<=\.)\s+(?=[A-Z0-9])"
 #: Places of the title and of the whole text among the segments, which count from 0.
 TITLE, WHOLE = -2, -1
 _KINDS = ("tool", "stage", "strong", "weak", "routine", "context", "override", "sector")
 
 
 def cut(block: Column) -> Column:
-    """A text's pieces at line ends, closing marks, and full stops before a capital or a digit that no initial precedes."""
-    parts = F.split(T.text_of(block), r"(?U)[\n\r]+|(?<=[!?。！？；;])\s*|(?<![A-Z]\.)(?<=\.)\s+(?=[A-Z0-9])")
+    """A text's pieces between segment ends, white space folded, long enough to count."""
+    parts = F.split(T.text_of(block), SEGMENT_END)
     return F.filter(F.transform(parts, T.collapse), lambda x: F.length(x) >= SEGMENT_CHARS)
 
 
@@ -121,5 +123,5 @@ def signals(items: DataFrame, rules: DataFrame, key: str = "id", title: str = "t
 
 
 def reason(corridors: Column, signal: Column) -> Column:
-    """The sentence that tells an item's signal."""
+    """The sentence that tells an item's signal (its words are fixed)."""
     return F.concat(F.lit("贸易摩擦早期预警："), F.array_join(corridors, ", "), F.lit("；"), signal, F.lit("。"))
