@@ -6,13 +6,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import market as M
 from quillstream.operators import decisions, lifecycle, readmodels, reservations
 from quillstream.plans.event_queries import _events
-from quillstream.plans.text_queries import CONFIG, ITEMS, any_sql, items, term_sql
+from quillstream.plans.text_queries import CONFIG, ITEMS, items, term_sql
 from quillstream.functions import text as T
 from quillstream.session import table
 
