@@ -103,15 +103,19 @@ def evidence(family: str, reason: str, text: Prepared | Column, terms: Sequence[
     )
 
 
-def holding_evidence(seen: Prepared, holding: Holding) -> list[tuple[Column, Column]]:
+def holding_evidence(seen: Prepared, holding: Holding, own: Column | None = None) -> list[tuple[Column, Column]]:
     """(condition, evidence) of a direct mention, and of related terms unless an excluding one is there.
 
-    The evidence of a direct mention has the names; only where no name occurs it has the symbol.
+    The evidence of a direct mention has the names; only where no name occurs it has the symbol, which the text or
+    the item's ``own`` symbols may tell.
     """
     subjects = holding.names[:1]
     named, by_symbol = T.any_in(seen.low, holding.names), T.term_in(seen.low, holding.symbol)
-    direct = lambda terms: evidence("holding", "holding_direct_identity", seen, terms, subjects, "direct")
+    direct = lambda terms, within=None: evidence("holding", "holding_direct_identity", seen, terms, subjects, "direct", within)
     out = [(named, direct(holding.names)), (~named & by_symbol, direct((holding.symbol,)))]
+    if own is not None:
+        told = F.coalesce(F.array_contains(own, holding.symbol), F.lit(False))
+        out.append((~named & ~by_symbol & told, direct((holding.symbol,), F.lit(holding.symbol.casefold()))))
     if holding.related:
         related = T.any_in(seen.low, holding.related) & ~T.any_in(seen.low, holding.excluded)
         out.append((related, evidence("holding", "holding_related_keyword", seen, holding.related, subjects, "configured_related")))
@@ -160,14 +164,14 @@ def trade_evidence(seen: Prepared, config: RuleConfig, official: Column) -> list
     ]
 
 
-def family_conditions(low_title: Column, seen: Prepared, source: Column, config: RuleConfig) -> list[tuple[Column, Column]]:
+def family_conditions(low_title: Column, seen: Prepared, source: Column, config: RuleConfig, own: Column | None = None) -> list[tuple[Column, Column]]:
     title_only = {t.casefold() for t in config.title_topics}
     whole = [t for t in config.topics if t.casefold() not in title_only]
     topic = T.any_in(low_title, config.title_topics) | T.any_in(seen.low, whole)
     official = source.isin(*config.official_sources) if config.official_sources else F.lit(False)
     out: list[tuple[Column, Column]] = []
     for holding in config.holdings:
-        out += holding_evidence(seen, holding)
+        out += holding_evidence(seen, holding, own)
     if config.indicators and config.contexts:
         both = T.any_in(seen.low, config.indicators) & T.any_in(seen.low, config.contexts)
         out.append((both, evidence("macro_data", "macro_data_scope", seen, (*config.indicators, *config.contexts))))
@@ -180,10 +184,10 @@ def family_conditions(low_title: Column, seen: Prepared, source: Column, config:
     return out
 
 
-def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str = "rule_text", source: str = "source") -> DataFrame:
+def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str = "rule_text", source: str = "source", symbols: str | None = None) -> DataFrame:
     """``items`` with a struct ``admission``: status, reason_code, matched_families, evidence, config_version.
 
-    A null or empty text is excluded as ``empty_rule_text``; a global exclusion word excludes all but direct
+    ``symbols`` names an array of an item's own symbols, which make a direct mention as well. A null or empty text is excluded as ``empty_rule_text``; a global exclusion word excludes all but direct
     holdings; holding-only sources keep holding evidence alone.
     """
     body, origin = T.text_of(F.col(text)), T.text_of(F.col(source))
@@ -192,7 +196,7 @@ def admit(items: DataFrame, config: RuleConfig, title: str = "title", text: str
     seen = Prepared(body, *[F.col(c) for c in ("_low", "_parts", "_low_parts")])
     if config.corridors:
         prepared, seen = prepared.withColumn("_trade", trade_sentences(seen, config)), replace(seen, trade=F.col("_trade"))
-    found = [F.when(condition, value) for condition, value in family_conditions(F.col("_low_title"), seen, origin, config)]
+    found = [F.when(condition, value) for condition, value in family_conditions(F.col("_low_title"), seen, origin, config, None if symbols is None else F.col(symbols))]
     listed = F.array_compact(F.array(*found)).cast(f"array<{EVIDENCE}>") if found else F.array().cast(f"array<{EVIDENCE}>")
     rows = prepared.withColumn("_evidence", listed)
     boundary = origin.isin(*config.holding_only_sources) if config.holding_only_sources else F.lit(False)

@@ -148,3 +148,14 @@ def test_reasons_are_trimmed_of_white_space_only(spark):
     rows = [("x", at(0), 1, "invalid", ["0 bad", " 1st", "2", "0 bad", " "])]
     got = events.feedback_state(spark.createDataFrame(rows, "k string, t timestamp, e long, l string, r array<string>"), ["k"], ["t"], "e", "l", "r").first()
     assert got.active_labels == ["invalid"] and got.reason_tags == ["0 bad", "1st", "2"]
+
+
+def test_an_items_own_symbols_are_direct_mentions(spark):
+    config = RuleConfig("v", holdings=(Holding("AC.1", ("Acme",), ("anvil",), ("cartoon",)), Holding("BO.2", ("Bolt",))), holding_only_sources=("h",))
+    rows = [(1, "nothing named", ["AC.1", "AC.1"], "x"), (2, "acme", ["AC.1"], "x"), (3, "nothing", None, "x"), (4, "ac.1 here", ["BO.2"], "x"), (5, "anvil", ["zz"], "h"), (6, "", ["AC.1"], "x")]
+    df = spark.createDataFrame(rows, "id int, rule_text string, own array<string>, source string").withColumn("title", F.lit(""))
+    got = {r.id: (r.admission.reason_code, [(e.reason_code, e.matched_term_ids) for e in r.admission.evidence]) for r in admission.admit(df, config, symbols="own").collect()}
+    term = lambda t: "term:" + __import__("hashlib").sha256(t.encode()).hexdigest()[:12]
+    assert got[1] == ("content_scope_match", [("holding_direct_identity", [term("ac.1")])]) and got[2][1] == [("holding_direct_identity", [term("acme")])]
+    assert got[3] == ("out_of_scope", []) and [t for _, (t,) in got[4][1]] == [term("ac.1"), term("bo.2")] and got[5][0] == "holding_scope_match" and got[6][0] == "empty_rule_text"
+    assert admission.admit(df, config).where("id = 1").first().admission.reason_code == "out_of_scope"
