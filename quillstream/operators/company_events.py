@@ -20,11 +20,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.operators.macro_events import any_of
+from quillstream.session import checkpointed
 
 #: The rule's name, its look-backs in days, and how many amounts, objects, counterparties and aliases count.
 RULE, LOOK_BACK_DAYS, SHORT_DAYS, ANCHORS, OBJECTS, PARTIES, QUOTE = "company_event_dedup", 90, 30, 8, 6, 4, 700
@@ -73,18 +74,20 @@ def claims(items: DataFrame, key: str, parts: Sequence[str], at: str, targets: s
     body = F.array_join(F.filter(F.array(*[T.text_of(F.col(p)) for p in parts]), lambda x: x != ""), "\n")
     plain = F.regexp_replace(F.regexp_replace(body, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", "")
     cut = F.filter(F.transform(F.split(plain, r"[。！？!?；;\n]+"), lambda c: F.btrim(T.collapse(c), F.lit(" -—–"))), lambda c: c != "")
-    once = F.filter(cut, lambda c, i: F.array_position(F.transform(cut, F.lower), F.lower(c)) == i + 1)
+    once = F.filter("_cut", lambda c, i: F.array_position("_low", F.lower(c)) == i + 1)
     own = F.array().cast("array<struct<name:string,code:string>>") if targets is None else F.coalesce(F.col(targets), F.array()).cast("array<struct<name:string,code:string>>")
     local = F.col(at).cast("timestamp") + F.expr(f"INTERVAL {zone_hours} HOURS")
-    return items.select(key, local.alias("at"), own.alias("targets"), F.posexplode(once).alias("place", "claim"))
+    # What several expressions read is a column of its own, so that it is made once.
+    rows = items.select(key, local.alias("at"), own.alias("targets"), cut.alias("_cut")).withColumn("_low", F.transform("_cut", lambda c: F.lower(c)))
+    return rows.select(key, "at", "targets", F.posexplode(once).alias("place", "claim"))
 
 
 def company_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]+", "")
 
 
-def company_name(raw: Column, config: CompanyConfig) -> Column:
-    """A company's name as it is compared; empty where it is no name."""
+def spelled(raw: Column, config: CompanyConfig) -> Column:
+    """A name without brackets, leading words, codes, share classes, legal forms and trailing objects."""
     edges = F.lit(" ，,:：-—")
     name = T.strip(F.regexp_replace(T.text_of(raw), r"^[【\[]|[】\]]$", ""))
     if config.leading:
@@ -97,15 +100,28 @@ def company_name(raw: Column, config: CompanyConfig) -> Column:
     name = F.btrim(F.regexp_replace(name, r"\s+", " "), edges)
     for word in config.trailing:
         name = T.strip(F.regexp_replace(name, rf"^(.{{2,}}){re.escape(word)}$", "$1"))
+    return name
+
+
+def canonical(name: Column, config: CompanyConfig) -> Column:
+    """The canonical spelling of a name that is spelled otherwise."""
     key = company_key(name)
-    for spelled, canonical in config.canonical.items():
-        name = F.when(key == spelled, canonical).otherwise(name)
+    return F.coalesce(*[F.when(key == other, F.lit(own)) for other, own in config.canonical.items()], name)
+
+
+def is_name(name: Column, config: CompanyConfig) -> Column:
     low = F.lower(name)
     bad = name.isin(*config.no_names) if config.no_names else F.lit(False)
     bad = bad | ~F.length(name).between(2, 32) | name.rlike(r"^\d|与|與") | ~name.rlike(r"[一-鿿A-Za-z]") | (name.rlike(r"[一-鿿]") & (F.length(name) > 14))
     for part in config.no_parts:
         bad = bad | low.contains(part.lower())
-    return F.when(bad, "").otherwise(name)
+    return ~bad
+
+
+def company_name(raw: Column, config: CompanyConfig) -> Column:
+    """A company's name as it is compared; empty where it is no name. For short lists; tables of names go step by step, see ``companies``."""
+    name = canonical(spelled(raw, config), config)
+    return F.when(is_name(name, config), name).otherwise("")
 
 
 def companies(cut: DataFrame, key: str, config: CompanyConfig) -> DataFrame:
@@ -119,11 +135,13 @@ def companies(cut: DataFrame, key: str, config: CompanyConfig) -> DataFrame:
     headed = F.when(F.size(parts) > 1, F.array(F.struct(F.get(parts, F.size(parts) - 2).alias("name"), F.lit("").alias("code")))).otherwise(F.array().cast("array<struct<name:string,code:string>>"))
     acting = rf"(?i)(?:^|[，,；;。：:])([^，,；;。:：]{{2,36}}?)(?:\s*[（(]\d{{6}}\.(?:SZ|SH|BJ)[）)])?\s*{any_of(config.action_terms)}"
     named = cut.withColumn("found", F.concat(own.cast("array<struct<name:string,code:string>>"), coded, headed, found(acting)))
-    cleaned = F.transform("found", lambda f: F.struct(company_name(f["name"], config).alias("name"), f["code"].alias("code")))
-    rows = named.withColumn("found", F.filter(cleaned, lambda f: f["name"] != "")).withColumn("keys", F.transform("found", lambda f: company_key(f["name"])))
-    first = F.filter("found", lambda f, i: F.array_position(F.col("keys"), company_key(f["name"])) == i + 1)
-    told = rows.withColumn("found", first).drop("keys", "targets").select("*", F.posexplode("found").alias("rank", "f")).drop("found")
-    return told.select(*[c for c in told.columns if c != "f"], F.col("f.name").alias("company"), company_key(F.col("f.name")).alias("company_key"), F.coalesce("f.code", F.lit("")).alias("code")).where("company_key <> ''")
+    rows = named.drop("targets").select("*", F.posexplode("found").alias("rank", "f")).drop("found")
+    # Written once: a condition on names would otherwise be made of the whole chain of patterns, many times over.
+    rows = checkpointed(rows.withColumn("_spelled", spelled(F.col("f.name"), config)))
+    rows = rows.withColumn("company", canonical(F.col("_spelled"), config)).where(is_name(F.col("company"), config))
+    rows = rows.withColumn("company_key", company_key(F.col("company"))).where("company_key <> ''")
+    first = F.row_number().over(Window.partitionBy(key, "place", "company_key").orderBy("rank"))
+    return rows.withColumn("code", F.coalesce("f.code", F.lit(""))).withColumn("_first", first).where("_first = 1").drop("f", "_spelled", "_first")
 
 
 def reporting_period(claim: Column, at: Column) -> Column:
@@ -168,9 +186,10 @@ def identities(items: DataFrame, config: CompanyConfig, key: str = "id", parts:
     rows = companies(cut, key, config)
     claim, when = F.col("claim"), F.col("at")
     period = reporting_period(claim, when)
-    earnings = T.contains_any(claim, config.metric_terms) & (T.contains_any(claim, config.forecast_terms) | T.contains_any(claim, config.result_terms)) & period.isNotNull()
+    earnings = T.contains_any(claim, config.metric_terms) & (T.contains_any(claim, config.forecast_terms) | T.contains_any(claim, config.result_terms)) & F.col("period").isNotNull()
     family = F.coalesce(F.when(earnings, "earnings"), *[F.when(T.contains_any(claim, terms), F.lit(name)) for name, terms in config.families.items()])
-    rows = rows.withColumns({"period": period, "family": family}).where("family IS NOT NULL")
+    rows = checkpointed(rows.withColumn("period", period)).withColumn("family", family)
+    rows = checkpointed(rows).where("family IS NOT NULL")
 
     starts = r"(?:(20\d{2})年)?(1[0-2]|[1-9])月(?:起|开始|開始)"
     year = F.coalesce(F.nullif(F.regexp_extract(claim, starts, 1), F.lit("")), F.year(when).cast("string"))
@@ -185,7 +204,8 @@ def identities(items: DataFrame, config: CompanyConfig, key: str = "id", parts:
     broad = F.col("family").isin("earnings", *config.broad)
     named = F.concat(F.slice(F.array_distinct(others), 1, PARTIES), F.slice(objects, 1, OBJECTS))
     scope = F.when(broad, F.array().cast("array<string>")).when(F.size(named) > 0, named).otherwise(F.slice(anchors(claim), 1, 2))
-    rows = rows.withColumns({"reference": reference, "scope": scope, "stage": stage_of(claim, F.col("family"), config)}).where(F.col("reference").isNotNull() & (broad | (F.size("scope") > 0)))
+    rows = checkpointed(rows.withColumns({"reference": reference, "scope": scope, "stage": stage_of(claim, F.col("family"), config)}))
+    rows = rows.where(F.col("reference").isNotNull() & (broad | (F.size("scope") > 0)))
     hashed = F.when(F.size("scope") > 0, F.substring(F.sha2(F.array_join("scope", "|"), 256), 1, 12)).otherwise("general")
     event = F.concat_ws(":", "company_key", "family", "reference", hashed)
     days = F.when(F.col("family").isin(*config.short), SHORT_DAYS).otherwise(LOOK_BACK_DAYS) if config.short else F.lit(LOOK_BACK_DAYS)
