@@ -139,13 +139,13 @@ def transmission(text: Column, impulse: Column, assets: Sequence[str], relations
     """(matched, assets, quote, exceptions): a plain explanation of how a policy moves assets.
 
     It needs an impulse, an asset and a relation (the first pattern that is found gives the quote), and none
-    of the exceptions, which are (name, pattern) in their order.
+    of the exceptions, which are (name, pattern) in their order; patterns are as in ``operators.content``.
     """
     body = T.text_of(text)
     low = F.lower(body)
     named = F.slice(F.array_compact(F.array(*[F.when(low.contains(a.casefold()), F.lit(a)) for a in dict.fromkeys(assets)])), 1, 8)
-    quote = F.coalesce(*[F.nullif(F.regexp_extract(body, f"(?i){p}", 0), F.lit("")) for p in relations], F.lit(""))
-    met = F.array_compact(F.array(*[F.when(body.rlike(f"(?i){p}"), F.lit(name)) for name, p in exceptions]))
+    quote = F.coalesce(*[F.nullif(F.regexp_extract(body, f"(?iud){p}", 0), F.lit("")) for p in relations], F.lit(""))
+    met = F.array_compact(F.array(*[F.when(body.rlike(f"(?iud){p}"), F.lit(name)) for name, p in exceptions]))
     matched = (impulse != "") & (F.size(named) > 0) & (quote != "") & (F.size(met) == 0)
     return F.struct(matched.alias("matched"), named.alias("assets"), F.substring(quote, 1, most).alias("quote"), met.alias("exceptions"))
 

@@ -18,6 +18,8 @@ from quillstream.operators.macro_events import any_of
 #: Characters of a window and of evidence, assets that are told, minutes and days of look-backs.
 WINDOW, EVIDENCE, ASSETS, FACT_MINUTES, REPORT_DAYS = 1000, 500, 8, 90 * 1440, 7
 _NEVER = r"[^\s\S]"
+#: Patterns are read as RE2 reads them: letters beyond ASCII have a case too, and only a line feed ends a line.
+ANY_CASE = "(?iud)"
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class ContentConfig:
 
 def matches(text: Column, patterns: Sequence[str]) -> Column:
     """Whether any of the patterns is found, whatever the case."""
-    return text.rlike("(?i)" + ("|".join(f"(?:{p})" for p in patterns) if patterns else _NEVER))
+    return text.rlike(ANY_CASE + ("|".join(f"(?:{p})" for p in patterns) if patterns else _NEVER))
 
 
 def found_terms(text: Column, terms: Sequence[str]) -> Column:
@@ -120,7 +122,7 @@ def transmission(text: Column, config: TransmissionConfig) -> Column:
     flags = [(label, T.contains_any(body, terms)) for label, terms in config.impulses.items()]
     number = sum((c.cast("int") for _, c in flags[1:]), flags[0][1].cast("int"))
     impulse = F.when(number == 1, F.coalesce(*[F.when(c, F.lit(label)) for label, c in flags])).otherwise("")
-    relation = F.coalesce(*[F.nullif(F.regexp_extract(body, f"(?i){p}", 0), F.lit("")) for p in config.relationships], F.lit(""))
+    relation = F.coalesce(*[F.nullif(F.regexp_extract(body, f"{ANY_CASE}{p}", 0), F.lit("")) for p in config.relationships], F.lit(""))
     told = F.array_compact(F.array(*[F.when(matches(body, patterns), F.lit(name)) for name, patterns in config.exceptions.items()])) if config.exceptions else F.array().cast("array<string>")
     assets = found_terms(body, config.assets)
     matched = (impulse != "") & (F.size(assets) > 0) & (relation != "") & (F.size(told) == 0)
@@ -227,6 +229,6 @@ def _subjects(text: Column, pattern: str, config: ReportConfig) -> Column:
         name = F.regexp_replace(name, r"[（(][0-9A-Za-z.]+[)）]", "")
         return T.collapse(F.regexp_replace(name, f"{any_of(config.legal_forms)}$", "") if config.legal_forms else name)
 
-    raw = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(1)), clean)
+    raw = F.transform(F.regexp_extract_all(text, F.lit(f"{ANY_CASE}{pattern}"), F.lit(1)), clean)
     kept = F.array_distinct(F.filter(raw, lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(*[n.lower() for n in config.no_subjects or ("",)])))
     return F.when(F.size(kept) > 0, kept)

@@ -61,3 +61,10 @@ def test_report_identities(spark):
     assert say("Big Bank and Gold Firm首次覆盖星河，目标价30美元") is None and say("Big Bank首次覆盖星河，目标价30") is None and say("Big Bank上调，首次覆盖星河，目标价30美元") is None
     assert say("Big Bank initiates coverage of it, target price $3") is None and say("首次覆盖星河，目标价30美元") is None and say(None, None) is None
     assert say("Big Bank on coverage of Star, coverage of Star Light, target price $3").subject == "Star Light" and say("Big Bank on coverage of Star, coverage of Moon, target price $3") is None
+
+
+def test_patterns_know_the_case_of_all_letters_and_no_line_end_but_the_feed(spark):
+    config = C.TransmissionConfig({"easing": ("cut",)}, ("gold",), ("de la [a-zé]+",), {"unexpected": (C.unexpected_relationship(("but",), ("fell",)),)})
+    say = lambda t: spark.range(1).select(C.transmission(F.lit(t), config).alias("x")).first().x
+    assert say("cut gold de la Éan").evidence_quote == "de la Éan" and say("cut gold DE LA É").matched
+    assert say("cut gold but\rit\u2028fell").exceptions == ["unexpected"] and say("cut gold but\nit fell").exceptions == []
