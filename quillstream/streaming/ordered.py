@@ -1,8 +1,8 @@
 """Folds over a stream in event-time order: rows wait in state until the watermark has passed them.
 
 One processor serves every fold of ``operators.scan`` and those below, so the stream gives what the batch gives
-however its rows are shuffled, as long as none comes later than the lateness (Spark drops those). The state of a key is the
-fold's state and the rows that wait; timers fold what is due, and clear a state that nothing can meet any more.
+however its rows are shuffled, as long as none comes later than the lateness (Spark drops those). Keys are dealt to groups, whose state is
+the folds' states and the rows that wait; timers fold what is due, and clear a state that nothing can meet any more.
 """
 
 from __future__ import annotations
@@ -22,68 +22,94 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 MINUTE = 60_000_000
 
 
+#: Fixed value: groups of keys that share one state, so that a batch costs calls to the store by group and not by key.
+GROUPS = 1024
+
+
 class Ordered(StatefulProcessor):
-    """Folds each key's rows in the order of (time, order values); emits the key, the rest of the row and what the fold tells."""
+    """Folds each key's rows in the order of (time, order values); emits the rows with what the fold tells.
 
-    def __init__(self, fold, time: int, order: Sequence[int], used: Sequence[int], names: Sequence[str], keep: int | None):
-        self.fold, self.time, self.order, self.used, self.names, self.keep = fold, time, list(order), list(used), list(names), keep
+    A group of keys is one key of the stream. Its rows wait as one blob a batch, and the folds' states of its keys are one more;
+    it has one timer, for the first row that waits or else for the time when no state matters any more.
+    """
+
+    def __init__(self, fold, keys: Sequence[int], time: int, order: Sequence[int], used: Sequence[int], names: Sequence[str], keep: int | None):
+        self.fold, self.keys, self.time, self.order, self.used, self.names, self.keep = fold, list(keys), time, list(order), list(used), list(names), keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "last bigint, blob binary")
-        self.waiting = handle.getListState("waiting", "t bigint, blob binary")
+        self.due = handle.getValueState("due", "ms bigint")
+        self.states = handle.getValueState("states", "blob binary")
+        self.waiting = handle.getListState("waiting", "blob binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r[self.time], pickle.dumps(tuple(r))) for r in rows]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(self._due(min(t for t, _ in new)))
+        new = [tuple(r) for r in rows]
+        self.waiting.appendValue((pickle.dumps(new),))
+        self._wake(-(-min(r[self.time] for r in new) // 1000))
         return iter(())
 
-    @staticmethod
-    def _due(micros: int) -> int:
-        return -(-micros // 1000)
+    def _wake(self, ms: int) -> None:
+        """One timer, at the earlier of its time and ``ms``."""
+        if self.due.exists():
+            before = self.due.get()[0]
+            if before <= ms:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((pickle.loads(blob) for _, blob in (tuple(x) for x in self.waiting.get())), key=lambda r: (r[self.time], *[r[k] for k in self.order]))
-        due = [r for r in rows if r[self.time] <= mark]
-        later = rows[len(due) :]
-        last, state = (lambda v: (v[0], pickle.loads(v[1])))(self.state.get()) if self.state.exists() else (None, self.fold.start())
+        self.due.clear()
+        states = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
+        due, later = {}, []
+        for (blob,) in self.waiting.get():
+            for r in pickle.loads(blob):
+                if r[self.time] <= mark:
+                    due.setdefault(tuple(r[k] for k in self.keys), []).append(r)
+                else:
+                    later.append(r)
         made, out = Row(*self.names), []
-        for r in due:
-            state, told = self.fold.step(state, *[r[k] for k in self.used])
-            out.append(made(*r, *told))
-            last = r[self.time]
-        self.waiting.put([(r[self.time], pickle.dumps(r)) for r in later]) if later else self.waiting.clear()
+        for one, rows in due.items():
+            rows.sort(key=lambda r: (r[self.time], *[r[k] for k in self.order]))
+            state = states[one][1] if one in states else self.fold.start()
+            for r in rows:
+                state, told = self.fold.step(state, *[r[k] for k in self.used])
+                out.append(made(*r, *told))
+            states[one] = (rows[-1][self.time], state)
+        if self.keep is not None:
+            states = {one: s for one, s in states.items() if s[0] + self.keep >= mark}
+        self.waiting.clear()
         if later:
-            self.handle.registerTimer(self._due(later[0][self.time]))
-        if self.keep is not None and last is not None and last + self.keep < mark:
-            self.state.clear()
-        elif last is not None:
-            self.state.update((last, pickle.dumps(state)))
+            self.waiting.appendValue((pickle.dumps(later),))
+            self._wake(-(-min(r[self.time] for r in later) // 1000))
+        if not states:
+            self.states.clear()
+        else:
+            self.states.update((pickle.dumps(states),))
             if self.keep is not None:
-                self.handle.registerTimer(self._due(last + self.keep) + 1)
+                self._wake(-(-(max(s[0] for s in states.values()) + self.keep) // 1000) + 1)
         return iter(out)
 
     def close(self) -> None:
         pass
 
 
-def folded(rows: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], used: Sequence[str], fold, made: dict[str, str], lateness: str, keep: int | None = None) -> DataFrame:
+def folded(rows: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], used: Sequence[str], fold, made: dict[str, str], lateness: str, keep: int | None = None, groups: int = GROUPS) -> DataFrame:
     """A stream with the columns ``made``: ``fold.step(state, *used)`` over each key's rows by time and ``order``.
 
     ``keep`` is how long, in microseconds of event time, a state matters after its last row; without it for ever.
-    A null time is left out, as no watermark passes it.
+    A null time is left out, as no watermark passes it. ``groups`` is how many groups the keys are dealt to; it stays the same for a stream's life.
     """
     spark = rows.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:  # state with timers needs this store
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    timed = rows.where(F.col(at).isNotNull()).withWatermark(at, lateness).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    timed = rows.where(F.col(at).isNotNull()).withWatermark(at, lateness).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
     place = {c: k for k, c in enumerate(timed.columns)}
     schema = StructType([*timed.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in made.items())).fields])
-    processor = Ordered(fold, place["_t"], [place[c] for c in order], [place[c] for c in used], schema.names, keep)
+    processor = Ordered(fold, [place[k] for k in keys], place["_t"], [place[c] for c in order], [place[c] for c in used], schema.names, keep)
     plain = StructType([StructField(f.name, f.dataType) for f in schema.fields])  # without the watermark's mark
-    return timed.groupBy(*keys).transformWithState(processor, plain, "append", "eventTime").drop("_t")
+    return timed.groupBy("_group").transformWithState(processor, plain, "append", "eventTime").drop("_t", "_group")
 
 
 def look_back(events: DataFrame, keys: Sequence[str], at: str, event_id: str, minutes: int | Column, lateness: str = "1 hour", most_minutes: int | None = None) -> DataFrame:
@@ -147,7 +173,8 @@ class Clicks:
             now = {*active} ^ {label}
         active = tuple(x for x in LABELS if x in now)
         tags = (asked if label == "invalid" else tags) if "invalid" in now else ()
-        return (active, tags, {**seen, event: True}), (True, ",".join(active), ",".join(tags))
+        seen[event] = True
+        return (active, tags, seen), (True, ",".join(active), ",".join(tags))
 
 
 def feedback(clicks: DataFrame, keys: Sequence[str], at: str, event_id: str, label: str, reasons: str, lateness: str = "1 hour") -> DataFrame:

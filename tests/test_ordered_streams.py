@@ -77,3 +77,16 @@ def test_feedback_counts_each_event_once(two_partitions, tmp_path):
     ]
     batch = events.feedback_state(spark.createDataFrame(rows, schema), ["k"], ["t"], "e", "l", "r").first()
     assert (",".join(batch.active_labels), ",".join(batch.reason_tags)) == told[-1][2:]
+
+
+def test_keys_share_the_state_of_their_group(two_partitions, tmp_path):
+    spark = two_partitions
+    rows = [(f"k{i % 700}", T0 + dt.timedelta(minutes=i), i, "useful", None) for i in range(1400)]
+    schema = "k string, t timestamp, i long, label string, reasons array<string>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    clicks = ordered.folded(source, ["k"], "t", ["i"], ["i", "label", "reasons"], ordered.Clicks(), {"counted": "boolean", "active": "string", "tags": "string"}, "1 hour", groups=8)
+    query = clicks.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    told = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert told and max(told) <= 8 * 8  # and not by the 700 keys
