@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,11 @@ def test_references_of_html_5_and_windows(spark):
     got = values(spark, texts, web.unescape(F.col("x")))
     assert got[0] == "\u2013\u2014\u201cq\u201d\u20ac" and got[1] == "\u2242\u0338 \u2329 fj \U0001d539" or got[1] == unescape(texts[1])
     assert got[3] == "&hellip&\u2026" and got[4] == "A" and got[5] == "\u2713<" and got[2].startswith("\U0010ffff &#9999999;")
+
+
+def test_distinct_ignoring_case_of_many_words_makes_lower_case_once(spark):
+    df = spark.createDataFrame([([f"{'W' if k % 2 else 'w'}{k // 2}" for k in range(12_000)], None)], "w array<string>, n array<string>")
+    start = time.monotonic()
+    row = df.select(T.distinct_ignoring_case(F.col("w")).alias("w"), T.distinct_ignoring_case(F.col("n")).alias("n")).first()
+    assert row.w == [f"w{k}" for k in range(6000)] and row.n == []
+    assert time.monotonic() - start < 30  # a minute and more, if each word put all into lower case
