@@ -33,9 +33,7 @@ def _list(column: Column, kind: str) -> Column:
 
 def _once(texts: Column) -> Column:
     """The texts that are not empty, white space folded, each once whatever its case, in first spelling."""
-    told = F.filter(F.transform(texts, lambda x: T.collapse(x)), lambda x: x != "")
-    low = F.transform(told, lambda x: F.lower(x))
-    return F.filter(told, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return T.distinct_ignoring_case(texts)
 
 
 def basis_reasons(decision: Column, most: int = REASONS) -> Column:
@@ -43,8 +41,8 @@ def basis_reasons(decision: Column, most: int = REASONS) -> Column:
     hits = F.filter(_list(decision["rule_hits"], HIT), lambda h: T.strip(T.text_of(h["decision_action"])) == T.strip(T.text_of(decision["action"])))
     told = _once(F.transform(hits, lambda h: T.first_non_empty(h["brief_reason"], h["reason"])))
     own = _once(F.array(T.first_non_empty(decision["brief_reason"], decision["reason"])))
-    all_ = F.when(F.size(told) > 0, told).otherwise(own)
-    return F.struct(F.slice(all_, 1, most).alias("reasons"), F.greatest(F.size(all_) - most, F.lit(0)).alias("omitted"))
+    # The reasons are an array of one element here, so that they are made once and not for each use.
+    return T.once(T.once(told, lambda t: F.when(F.size(t) > 0, t).otherwise(own)), lambda all_: F.struct(F.slice(all_, 1, most).alias("reasons"), F.greatest(F.size(all_) - most, F.lit(0)).alias("omitted")))
 
 
 def target_labels(decision: Column) -> Column:
