@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,10 @@ def test_claims_and_attributions_are_verbatim(spark):
     ok = lambda attribution, quote, speaker="": spark.range(1).select(R.valid_attribution(text, F.lit(attribution), F.lit(quote), ["bank a"], F.lit(speaker), ["Mr Bo"], ["wrong"])).first()[0]
     assert ok("explicit", "Bank A said rates rise") and not ok("implied", "Bank A said rates rise") and not ok("explicit", "Bank A says") and not ok("explicit", "rates rise")
     assert ok("explicit", "Mr Bo of", "Mr Bo") and not ok("explicit", "Mr Bo of", "mr bo") and not ok("explicit", "Mr Bo of", "Mr Cy") and not ok("explicit", "")
+
+
+def test_spans_of_a_long_text_take_one_pass(spark):
+    df, patterns = spark.createDataFrame([("running 1.5 " * 20_000,)], "t string"), (r"[a-z]+ing", r"\d+(?:\.\d+)?", r"[a-z]+ing \d")
+    start = time.monotonic()
+    assert df.select(R.quantified_spans(F.col("t"), patterns).alias("x")).first().x == ["running 1", "1.5"] * 4
+    assert time.monotonic() - start < 30  # minutes, if each match read the text again
