@@ -1,7 +1,7 @@
 """Order-dependent acceptance: a title is dropped only if it is like an accepted earlier one.
 
 Accepted titles are the lexicographically first maximal independent set of the graph of like titles. Equal titles
-are one node, that of their first item; like pairs are found by the rarest piece of the shorter title, so
+are one node, that of their first item; like pairs are found by the rarest piece of the shorter title, which is the longer the longer that title is, so
 not all pairs are tried; and rounds over the pairs accept every title without an undecided earlier one and drop
 those that an accepted one reaches, until all are decided.
 
@@ -11,13 +11,17 @@ before, which of them are tried again, and what other sources told.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.session import checkpointed
 
-#: Characters of the pieces that titles are found by; shorter titles are found whole.
+#: Characters of the smallest pieces that titles are found by; shorter titles are found whole.
 PIECE = 4
 #: Hours after which a retry of a detail is given up, and how many last titles of linked sources are compared.
 RETRY_HOURS, RECENT = 24, 80
@@ -29,23 +33,75 @@ def plain_title(title: Column) -> Column:
 
 
 def _pieces(title: str, size: Column) -> Column:
-    """The distinct pieces of ``size`` characters of a title."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - size + 1, F.lit(1))), lambda i: F.substr(F.col(title), i, size)))
+    """The distinct pieces of ``size`` characters of a title, as numbers."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(F.col(title), i, size))))
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+ANCHORS = "`id` bigint, `size` int, `n` int, `p` bigint"
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, size, n, p) of titles: the pieces of the least hash in each window of a size, for every size up to a title's length.
+
+    Of the size s, pieces have s / 2 characters and windows s / 2 + 1 pieces, so a window is s characters. A title that
+    has a part of s characters or more has all windows of that part, and so all its anchors of that size.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids, sizes, lengths, found = [], [], [], []
+            for key, title in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hashed = np.frombuffer(title.encode("utf-32-le"), np.uint32).astype(np.uint64) * _ODD
+                half = 1  # characters of the pieces whose hashes are at hand; two of them make the next
+                while 2 * half <= len(title):
+                    if half >= PIECE:
+                        least, span = hashed, 1
+                        while span < half:
+                            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+                        told = np.unique(np.minimum(least[:-1], least[1:])).view(np.int64)
+                        ids.append(np.full(len(told), key, np.int64))
+                        sizes.append(np.full(len(told), 2 * half, np.int32))
+                        lengths.append(np.full(len(told), len(title), np.int32))
+                        found.append(told)
+                    hashed = hashed[:-half] * _ODD + hashed[half:]
+                    hashed = (hashed ^ (hashed >> np.uint64(29))) * _ODD
+                    half *= 2
+            columns = [pa.array(np.concatenate(c) if c else np.empty(0, t)) for c, t in ((ids, np.int64), (sizes, np.int32), (lengths, np.int32), (found, np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "n", "p"])
 
 
 def containing_pairs(titles: DataFrame, group: str, title: str) -> DataFrame:
-    """(group, part, whole) of the distinct titles of a group of which one is a proper part of the other."""
-    rows = checkpointed(titles.select(F.col(group).alias("g"), F.col(title).alias("x")).where("x <> ''").distinct())
-    size = F.least(F.length("x"), F.lit(PIECE))
-    mine = rows.select("g", "x", F.explode(_pieces("x", size)).alias("p"))
-    # Pieces of every size that a shorter title may have; longer titles have them all.
-    sizes = rows.select(size.alias("k")).distinct()
-    spread = rows.join(F.broadcast(sizes), F.length("x") > F.col("k"))  # four rows at most
-    theirs = spread.select("g", "x", F.explode(_pieces("x", F.col("k"))).alias("p"))
-    rarity = theirs.groupBy("g", "p").agg(F.count("*").alias("n"))
-    own = mine.join(rarity, ["g", "p"], "left").groupBy("g", "x").agg(F.min_by("p", F.struct(F.coalesce("n", F.lit(0)), "p")).alias("p"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-    met = own.select("g", "p", F.col("x").alias("part")).join(theirs.select("g", "p", F.col("x").alias("whole")), ["g", "p"])
-    return met.where((F.length("whole") > F.length("part")) & F.col("whole").contains(F.col("part"))).select(F.col("g").alias(group), "part", "whole")
+    """(group, part, whole) of the distinct titles of a group of which one is a proper part of the other.
+
+    A title under 8 characters is sought by its rarest piece of up to 4 among all pieces of that size; a longer one by its rarest anchor of the
+    largest size that it has. Titles travel as numbers, and are compared as texts where pieces meet.
+    """
+    rows = checkpointed(titles.select(F.col(group).alias("g"), F.col(title).alias("x")).where("x <> ''").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = _id_pairs(rows)
+    of = lambda c, name: rows.select(F.col("id").alias(c), F.col("g").alias(f"_{c}"), F.col("x").alias(name))
+    return found.join(of("a", "part"), "a").join(of("b", "whole"), "b").select(F.col("_a").alias(group), "part", "whole")
+
+
+def _id_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): ids of the rows (id, g, x), whose titles are distinct in a group, of which a's title is a proper part of b's."""
+    short = rows.where(F.length("x") < 2 * PIECE).withColumn("size", F.least(F.length("x"), F.lit(PIECE)))
+    group = F.xxhash64("g").alias("h")
+    sought = short.select("id", group, "size", F.length("x").alias("n"), F.explode(_pieces("x", F.col("size"))).alias("p"))
+    # Longer titles have all pieces of the sizes that short ones are sought by; four sizes at most, and those alone that are sought.
+    wanted = sought.select("h", "size", "p").distinct()
+    sizes = short.select("size").distinct()
+    spread = rows.join(F.broadcast(sizes), F.length("x") > F.col("size"))  # four rows at most
+    pieces = spread.select("id", group, "size", F.length("x").alias("n"), F.explode(_pieces("x", F.col("size"))).alias("p")).join(wanted, ["h", "size", "p"], "left_semi")
+    anchors = rows.select("id", "x").mapInArrow(_anchors, ANCHORS).join(rows.select("id", group), "id")
+    held = checkpointed(pieces.unionByName(anchors.select("id", "h", "size", "n", "p")))
+    # Of a title's anchors only those of its largest size are sought: the size s with s <= n < 2 s.
+    own = sought.unionByName(held.where((F.col("size") >= 2 * PIECE) & (F.col("n") < 2 * F.col("size"))).select("id", "h", "size", "n", "p"))
+    rarity = held.groupBy("h", "size", "p").agg(F.count("*").alias("df"))
+    rare = own.join(rarity, ["h", "size", "p"], "left").groupBy("id", "h", "size", "n").agg(F.min_by("p", F.struct(F.coalesce("df", F.lit(0)), "p")).alias("p"), F.min(F.coalesce("df", F.lit(0))).alias("df")).where("df > 0")
+    met = rare.select("h", "size", "p", F.col("id").alias("a"), F.col("n").alias("n1")).join(held.select("h", "size", "p", F.col("id").alias("b"), F.col("n").alias("n2")), ["h", "size", "p"]).where("n2 > n1").select("a", "b").distinct()
+    of = lambda c, k: rows.select(F.col("id").alias(c), F.col("g").alias(f"g{k}"), F.col("x").alias(f"x{k}"))
+    return met.join(of("a", 1), "a").join(of("b", 2), "b").where((F.col("g1") == F.col("g2")) & F.col("x2").contains(F.col("x1"))).select("a", "b")
 
 
 def first_independent(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
@@ -78,13 +134,16 @@ def accepted_titles(items: DataFrame, group: str, item: str, title: str, order:
     rows = items.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(group).alias("_group"), F.col(item).alias("_item"), plain_title(F.col(title)).alias("x"), F.col(order).alias("_order"))
     place = F.struct(F.col("_order").isNotNull(), "_order", F.col("_item").cast("string"))
     rows = rows.withColumn("place", place)
-    first = checkpointed(rows.where("x <> ''").groupBy("g", "x").agg(F.min("place").alias("place")).withColumn("node", F.struct("g", "place", "x")))
-    pairs = containing_pairs(first, "g", "x")
-    side = lambda name, c: first.select(F.col("g"), F.col("x").alias(c), F.col("node").alias(name))
-    both = pairs.join(side("n1", "part"), ["g", "part"]).join(side("n2", "whole"), ["g", "whole"])
-    links = both.select(F.least("n1", "n2").alias("earlier"), F.greatest("n1", "n2").alias("later"))
-    told = first_independent(first, links).select("node.g", "node.x", F.col("node.place").alias("head"), "accepted")
-    out = rows.join(told, ["g", "x"], "left")
+    first = checkpointed(rows.where("x <> ''").groupBy("g", "x").agg(F.min("place").alias("place")).withColumn("id", F.monotonically_increasing_id()))
+    pairs = _id_pairs(first.select("id", "g", "x"))
+    # Links are of numbers; which end is earlier is told by the places.
+    of = lambda c: first.select(F.col("id").alias(c), F.struct("place", "x").alias(f"_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    ahead = F.col("_a") < F.col("_b")
+    links = both.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"))
+    told = first_independent(first.select(F.col("id").alias("node")), links)
+    told = first.join(told, F.col("id") == F.col("node")).select("g", F.sha2("x", 256).alias("_x"), F.col("place").alias("head"), "accepted")
+    out = rows.select("*", F.sha2("x", 256).alias("_x")).join(told, ["g", "_x"], "left")
     mine = F.when(F.col("x") == "", True).otherwise(F.col("accepted") & (F.col("place") == F.col("head")))
     return out.select(F.col("_group").alias(group), F.col("_item").alias(item), mine.alias("accepted"))
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,20 @@ def test_accepted_titles_equal_one_by_one(spark, seed):
     assert len(got) == len(rows) and {r.i: r.accepted for r in got} == sequential(rows)
 
 
+def test_parts_of_long_titles_and_few_pieces(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh漢") for _ in range(n))
+    xs = []
+    for n in (3, 7, 8, 9, 15, 16, 17, 40, 64, 65, 300):
+        x = word(n)
+        xs += [x, word(5) + x, x + word(3), word(1) + x + word(30), x[1:]]
+    got = {(r.part, r.whole) for r in A.containing_pairs(spark.createDataFrame([("g", x) for x in xs], "g string, t string"), "g", "t").collect()}
+    assert got == {(x, y) for x in xs for y in xs if x != y and x in y}
+    # A title's anchors are about as many as its characters, of any size; 2,000 characters had 8,000 pieces with the title beside each.
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([word(2000)])], names=["id", "x"])
+    assert sum(b.num_rows for b in A._anchors(iter([batch]))) < 2 * 2000
+
+
 def test_chains_alternate_and_no_rows(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(20, 22), (21, 22), (22, 23)], "earlier long, later long")
     nodes = spark.createDataFrame([(k,) for k in [*range(13), 20, 21, 22, 23, 99]], "node long")
