@@ -51,3 +51,27 @@ def test_within_a_span(spark):
         if before and t - before[0] <= 24:
             want.add((min(i, before[1]), max(i, before[1]), "equal"))
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_shared_bigrams_are_counted_by_matrices_and_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    left, right = (["".join(rng.choice("ABCDEF甲乙丙丁戊") for _ in range(rng.choice((1, 2, 9, 80)))) for _ in range(n)] for n in (40, 23))
+    grams = lambda v: {v[i : i + 2] for i in range(len(v) - 1)} or {v}
+    want = [[len(grams(x) & grams(y)) for y in right] for x in left]
+    for few, columns in ((0, 7), (10**6, 7), (6, 5)):
+        monkeypatch.setattr(titles, "FEW", few)
+        monkeypatch.setattr(titles, "COLUMNS", columns)
+        assert titles._shared(titles._bigrams(left), titles._bigrams(right), 40, 23).tolist() == want
+
+
+def test_whole_titles_in_many_tiles(spark, monkeypatch):
+    """Tiles of few titles: each pair is told once, whichever tiles its titles are in, and no task holds more than two tiles."""
+    monkeypatch.setattr(titles, "TILE_ROWS", 8)
+    rng = random.Random(11)
+    cores = ["".join(rng.choice("ABCD") for _ in range(rng.choice((2, 9, 40)))) for _ in range(70)]
+    got = titles.near_duplicates(spark.createDataFrame(list(enumerate(cores)), "doc_id long, title string"), "doc_id", "title").where("relation = 'similar'").collect()
+    head = {}
+    for i, x in enumerate(cores):
+        head.setdefault(x, i)
+    want = {(i, j) for x, i in head.items() for y, j in head.items() if i < j and alike(x, y)}
+    assert len(got) == len(want) and {(r[0], r[1]) for r in got} == want
