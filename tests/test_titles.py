@@ -75,3 +75,13 @@ def test_whole_titles_in_many_tiles(spark, monkeypatch):
         head.setdefault(x, i)
     want = {(i, j) for x, i in head.items() for y, j in head.items() if i < j and alike(x, y)}
     assert len(got) == len(want) and {(r[0], r[1]) for r in got} == want
+
+
+def test_within_a_span_in_many_tiles(spark, monkeypatch):
+    """Blocks of time of more rows than a tile takes, and times below zero."""
+    monkeypatch.setattr(titles, "TILE_ROWS", 4)
+    test_within_a_span(spark)
+    rows = [(i, f"ABCDEFGHI{'XYZ'[i % 3] * 2}", t) for i, t in enumerate([-25, -24, -1, 0, 23, 24, -48, -25])]
+    got = titles.near_duplicates_within(spark.createDataFrame(rows, "doc_id long, core string, t long"), "doc_id", "core", "t", 24).where("relation = 'similar'").collect()
+    want = {(i, j) for i, x, t in rows for j, y, u in rows if i < j and x != y and abs(t - u) <= 24 and alike(x, y)}
+    assert want and len(got) == len(want) and {(r[0], r[1]) for r in got} == want
