@@ -59,3 +59,12 @@ def test_events_feed_the_fact_sets(spark):
     hits = C.identities(df, CONFIG).groupBy("id").agg(F.collect_list(reservations.hit(F.lit(C.RULE), F.col("dedup_key"), F.array().cast("array<string>"), F.col("minutes"))).alias("hits"))
     rows = hits.join(df.select("id", (F.col("published_at") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("t")), "id").withColumn("outcome", F.lit("sent"))
     assert {r.id: r.status for r in reservations.reserve_sets(rows, "t", "id", "hits", "outcome").collect()} == {1: "reserved", 2: "reserved", 3: "duplicate"}
+
+
+def test_names_are_sought_once(spark):
+    """No filter is inferred from the list of names, which would search for them again for each of its conditions."""
+    df = spark.createDataFrame([(1, "Firm announces a buyback"), (2, "nothing")], "id int, title string").withColumn("at", F.lit(None).cast("timestamp"))
+    rows = C.named(C.claims(df, "id", ("title",), "at", None), CONFIG)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{2,36}") == 1
+    assert [(r.id, r.f.name) for r in rows.collect()] == [(1, "Firm")]
