@@ -43,24 +43,68 @@ def read_responses(responses: DataFrame, key: str, raw: str) -> DataFrame:
     texts that are not blank as references; else its action is null. A response that is no JSON, has other fields or
     no list is one such row. An empty list gives one as well, so that its missing rules are told.
     """
+    return _with_assessments(responses.select(key, raw), raw).select(key, F.inline("_told"))
+
+
+def _with_assessments(responses: DataFrame, raw: str) -> DataFrame:
+    """``responses`` with the list ``_told`` of (place, rule_id, action, evidence_ids, reason) for ``raw``; what several expressions read is a column or a step of its own."""
     same = lambda keys, fields: F.coalesce(F.size(keys) == len(fields), F.lit(False)) & F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(f) for f in fields]))) == 0, F.lit(False))
     text = F.trim(F.coalesce(raw, F.lit("")))
-    rows = responses.select(key, F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text).alias("_raw"))
-    listed = F.when(same(F.json_object_keys("_raw"), TOP_FIELDS), F.from_json(F.get_json_object("_raw", "$.rule_results"), "array<string>"))
-    each = rows.select(key, F.posexplode_outer(F.when(F.get_json_object("_raw", "$.rule_results").startswith("["), listed)).alias("place", "_one"))
-    each = each.withColumn("_keys", F.json_object_keys("_one")).withColumn("_v", F.when(F.col("_keys").isNotNull(), F.try_parse_json("_one")))
-    kind = lambda name: F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{name}", "variant"))
-    value = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", "string")
-    is_text = lambda name: F.coalesce(kind(name) == "STRING", F.lit(False))
-    refs = F.try_variant_get(F.col("_v"), "$.evidence_ids", "array<variant>")
-    names = F.transform(F.try_variant_get(F.col("_v"), "$.evidence_ids", "array<string>"), lambda x: F.trim(x))
-    good_refs = F.coalesce(F.forall(refs, lambda r: F.schema_of_variant(r) == "STRING"), F.lit(False)) & F.coalesce(F.forall(names, lambda n: n != ""), F.lit(False))
-    archive = value("action") == "archive"
-    good = is_text("action") & is_text("rule_id") & F.when(archive, same(F.col("_keys"), ARCHIVE_FIELDS)).otherwise(same(F.col("_keys"), EVIDENCED_FIELDS) & is_text("reason") & good_refs)
-    return each.select(
-        key, F.coalesce("place", F.lit(0)).alias("place"), F.when(is_text("rule_id"), F.trim(value("rule_id"))).alias("rule_id"), F.when(good, value("action")).alias("action"),
-        F.when(good & ~archive, names).otherwise(F.array().cast("array<string>")).alias("evidence_ids"), F.when(good & ~archive, value("reason")).otherwise("").alias("reason"),
-    )
+    rows = responses.withColumn("_told", F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text))
+    rows = rows.withColumn("_told", F.when(same(F.json_object_keys("_told"), TOP_FIELDS), F.get_json_object("_told", "$.rule_results")))
+    rows = rows.withColumn("_told", F.when(F.col("_told").startswith("["), F.from_json("_told", "array<string>")))
+    each = F.when(F.size("_told") > 0, F.col("_told")).otherwise(F.array(F.lit(None).cast("string")))
+    each = F.transform(each, lambda x: F.struct(x.alias("one"), F.json_object_keys(x).alias("keys")))
+    each = F.transform(each, lambda x: F.struct(x["keys"].alias("keys"), F.when(x["keys"].isNotNull(), F.try_parse_json(x["one"])).alias("v")))
+
+    def read(x: Column) -> Column:
+        kind = lambda name: F.schema_of_variant(F.try_variant_get(x["v"], f"$.{name}", "variant"))
+        value = lambda name: F.try_variant_get(x["v"], f"$.{name}", "string")
+        is_text = lambda name: F.coalesce(kind(name) == "STRING", F.lit(False))
+        refs = F.try_variant_get(x["v"], "$.evidence_ids", "array<variant>")
+        names = F.transform(F.try_variant_get(x["v"], "$.evidence_ids", "array<string>"), lambda n: F.trim(n))
+        good_refs = F.coalesce(F.forall(refs, lambda r: F.schema_of_variant(r) == "STRING"), F.lit(False)) & F.coalesce(F.forall(names, lambda n: n != ""), F.lit(False))
+        archive = value("action") == "archive"
+        good = is_text("action") & is_text("rule_id") & F.when(archive, same(x["keys"], ARCHIVE_FIELDS)).otherwise(same(x["keys"], EVIDENCED_FIELDS) & is_text("reason") & good_refs)
+        return F.struct(F.when(is_text("rule_id"), F.trim(value("rule_id"))).alias("rule_id"), F.when(good, value("action")).alias("action"), names.alias("names"), value("reason").alias("reason"))
+
+    def told(x: Column, place: Column) -> Column:
+        evidenced = x["action"] != "archive"  # null where the form is not good
+        return F.struct(
+            place.alias("place"), x["rule_id"].alias("rule_id"), x["action"].alias("action"),
+            F.when(evidenced, x["names"]).otherwise(F.array().cast("array<string>")).alias("evidence_ids"), F.when(evidenced, x["reason"]).otherwise("").alias("reason"),
+        )
+
+    return rows.withColumn("_told", F.transform(F.transform(each, read), told))
+
+
+def response_results(responses: DataFrame, key: str, raw: str, expected: str, segments: str) -> DataFrame:
+    """(key, action, reason, hits, candidates) of the JSON responses without a fault, as ``results`` has them, one row a key.
+
+    ``expected`` is the list of (rule_id, allowed_actions) of a response, one a rule, and ``segments`` the list of its evidence's ids. A response
+    is judged where it is read: ``validate`` deals assessments, rules and segments as rows, which a task sorts and groups one after the other.
+    A response of too many assessments is at fault whatever they say, so no more of them are looked at than may be.
+    """
+    rows = _with_assessments(responses.where(F.col(key).isNotNull()), raw)
+    known = F.coalesce(expected, F.array().cast("array<struct<rule_id:string,allowed_actions:array<string>>>"))
+    ids = F.coalesce(segments, F.array().cast("array<string>"))
+
+    def sound(a: Column) -> Column:
+        unknown = F.size(F.array_except(a["evidence_ids"], ids))
+        rule = F.get(F.filter(known, lambda e: e["rule_id"] == a["rule_id"]), F.lit(0))
+        acts = a["action"].isin(*ACTIONS)
+        return (_structure(acts, a["action"], a["evidence_ids"], F.trim(a["reason"]), unknown, rule.isNotNull(), rule["allowed_actions"]) == 0) & ((a["action"] == "archive") | (unknown == 0))
+
+    told = F.transform("_told", lambda a: a["rule_id"])
+    every = (F.size(F.array_distinct(told)) == F.size(told)) & (F.size(F.array_except(F.transform(known, lambda e: e["rule_id"]), told)) == 0)
+    good = F.when(F.size("_told") <= MOST_ASSESSMENTS, every & F.forall("_told", sound))
+    # A plain filter would be moved below the columns, and so read each response once more for each condition.
+    rows = rows.select(key, F.explode_outer(F.when(good, F.array("_told"))).alias("_told")).where("_told IS NOT NULL")
+    ranks = F.array_max(F.transform("_told", lambda a: rank_of(a["action"])))
+    rows = rows.withColumn("_action", F.get(F.array(*[F.lit(a) for a in ACTIONS]), ranks.cast("int") - 1))
+    hits = F.filter("_told", lambda a: a["action"] != "archive")
+    rows = rows.withColumn("_told", F.transform(hits, lambda a: F.struct(a["place"].alias("place"), a["rule_id"].alias("rule_id"), a["action"].alias("action"), F.trim(a["reason"]).alias("reason"))))
+    return _results(rows, key)
 
 
 def results(assessments: DataFrame, judged: DataFrame, key: str) -> DataFrame:
@@ -72,11 +116,15 @@ def results(assessments: DataFrame, judged: DataFrame, key: str) -> DataFrame:
     good = judged.where("failure = ''").select(F.col(key).alias("_key"), F.col("action").alias("_action"))
     rows = assessments.join(good, F.col(key) == F.col("_key"))
     told = F.array_sort(F.collect_list(F.when(F.col("action") != "archive", F.struct("place", "rule_id", "action", F.trim("reason").alias("reason")))))
-    made = rows.groupBy(key, "_action").agg(told.alias("_told"))
+    return _results(rows.groupBy(key, "_action").agg(told.alias("_told")), key)
+
+
+def _results(rows: DataFrame, key: str) -> DataFrame:
+    """What ``results`` tells of rows with the strongest ``_action`` and the list ``_told`` of hits (place, rule_id, action, reason)."""
     won = F.filter("_told", lambda t: t["action"] == F.col("_action"))
     reason = F.when(F.col("_action") == "archive", ARCHIVED).otherwise(F.array_join(F.transform(won, lambda t: t["reason"]), " "))
     weaker = F.filter("_told", lambda t: t["action"] != F.col("_action"))
-    return made.select(key, F.col("_action").alias("action"), reason.alias("reason"), F.transform("_told", lambda t: t["rule_id"]).alias("hits"), F.transform(weaker, lambda t: t["rule_id"]).alias("candidates"))
+    return rows.select(key, F.col("_action").alias("action"), reason.alias("reason"), F.transform("_told", lambda t: t["rule_id"]).alias("hits"), F.transform(weaker, lambda t: t["rule_id"]).alias("candidates"))
 
 
 def prompt_inputs(items: DataFrame, key: str, title: str, summary: str, body: str, most: int = MOST_INPUT) -> DataFrame:
@@ -119,20 +167,29 @@ def validate(assessments: DataFrame, expected: DataFrame, segments: DataFrame, k
     found = segments.groupBy(key).agg(F.collect_set("segment_id").alias("_ids"))
     rows = rows.join(found, key, "left")
     unknown = F.size(F.array_except(refs, F.coalesce("_ids", F.array().cast("array<string>"))))
-    yes = lambda c: F.coalesce(c, F.lit(False)).cast("long")
-    n_structure = (
-        yes(~acts | F.col("action").isNull()) + yes(acts & F.col("_known").isNull()) + yes(acts & F.col("_known") & ~F.array_contains("allowed_actions", F.col("action")))
-        + yes(acts & evidenced & (F.size(refs) - unknown <= 0)) + yes(acts & evidenced & (reason == "")) + yes(acts & (F.length(reason) > MOST_REASON))
-        + yes(acts & evidenced & (F.size(refs) > MOST_REFS)) + yes(acts & (F.size(refs) > F.size(F.array_distinct(refs)))) + yes(acts & ~evidenced & ((F.size(refs) > 0) | (reason != "")))
-    )
+    n_structure = _structure(acts, F.col("action"), refs, reason, unknown, F.col("_known"), F.col("allowed_actions"))
     judged = rows.select(key, "rule_id", "action", n_structure.alias("_s"), F.when(acts & evidenced, unknown).otherwise(0).cast("long").alias("_e"), acts.alias("_acts"))
     by_rule = judged.groupBy(key, "rule_id").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"), F.count("*").alias("_n"), F.count_if("_acts").alias("_told"), F.max(rank_of(F.col("action"))).alias("_rank"))
     both = by_rule.join(known.select(key, "rule_id", "_known"), [key, "rule_id"], "full")
-    missing = yes(F.col("_known") & (F.coalesce("_told", F.lit(0)) == 0))
+    missing = _yes(F.col("_known") & (F.coalesce("_told", F.lit(0)) == 0))
     done = both.groupBy(key).agg(
         F.sum(F.coalesce("_s", F.lit(0)) + missing).alias("_s"), F.coalesce(F.sum("_e"), F.lit(0)).alias("n_evidence"),
         F.count_if(F.col("_told") > 1).alias("n_conflict"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.max("_rank").alias("_rank"),
-    ).withColumn("n_structure", F.col("_s") + yes(F.col("_n") > MOST_ASSESSMENTS))
+    ).withColumn("n_structure", F.col("_s") + _yes(F.col("_n") > MOST_ASSESSMENTS))
     failure = F.when(F.col("n_structure") > 0, "invalid_output").when(F.col("n_evidence") > 0, "invalid_evidence").when(F.col("n_conflict") > 0, "conflict").otherwise("")
     action = F.when(failure == "", F.get(F.array(*[F.lit(a) for a in ACTIONS]), F.col("_rank").cast("int") - 1))
     return done.select(key, "n_structure", "n_evidence", "n_conflict", failure.alias("failure"), action.alias("action"))
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("long")
+
+
+def _structure(acts: Column, action: Column, refs: Column, reason: Column, unknown: Column, known: Column, allowed: Column) -> Column:
+    """Faults of form of one assessment: ``known`` and ``allowed`` tell of its rule, ``unknown`` counts references to no segment."""
+    evidenced = action != "archive"
+    return (
+        _yes(~acts | action.isNull()) + _yes(acts & F.coalesce(~known, F.lit(True))) + _yes(acts & known & ~F.array_contains(allowed, action))
+        + _yes(acts & evidenced & (F.size(refs) - unknown <= 0)) + _yes(acts & evidenced & (reason == "")) + _yes(acts & (F.length(reason) > MOST_REASON))
+        + _yes(acts & evidenced & (F.size(refs) > MOST_REFS)) + _yes(acts & (F.size(refs) > F.size(F.array_distinct(refs)))) + _yes(acts & ~evidenced & ((F.size(refs) > 0) | (reason != "")))
+    )

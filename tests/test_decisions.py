@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from quillstream import session
+from quillstream.catalog import QUERIES
 from quillstream.operators import decisions as D
 
 GOOD = {"rule_id": "r1", "action": "push", "evidence_ids": ["T1"], "reason": "because"}
@@ -63,3 +65,42 @@ def test_applicable_rules(spark):
     rules = spark.createDataFrame([("r1", ["b"]), ("r2", ["c", "a"]), ("r3", ["b", "b"])], "rule_id string, families array<string>")
     assert sorted(tuple(r) for r in D.applicable_rules(items, rules, "k", "admitted", "allowed", "families", "rule_id").collect()) == [(1, "r1"), (1, "r3")]
     assert D.applicable_rules(items, rules.where(F.lit(False)), "k", "admitted", "allowed", "families", "rule_id").count() == 0
+
+
+def test_responses_judged_where_they_are_read(spark):
+    many = lambda n, **c: {"rule_results": [{**GOOD, "rule_id": f"r{i}", **c} for i in range(n)]}
+    archived = {"rule_id": "r1", "action": "archive"}
+    responses = [
+        None, "", "no json", "[]", '{"rule_results": [], "more": 1}', {"rules": []}, {"rule_results": {}}, {"rule_results": ["text"]}, {"rule_results": []}, {"rule_results": [None]}, '{"rule_results": [{"rule_id": "r1", "rule_id": "r1", "action": "archive"}]}',
+        one(), one(extra=1), one(reason=...), one(action="archive"), one(action="maybe"), one(action=1), one(action=None), one(rule_id=7), one(rule_id=" r1 "), one(rule_id="other"), one(rule_id="R1"), one(evidence_ids="T1"), one(evidence_ids=[1]), one(evidence_ids=[" "]), one(evidence_ids=[]), one(evidence_ids=None),
+        one(evidence_ids=[" T1 "]), one(evidence_ids=["T1", "B1", "B2"]), one(evidence_ids=["T1", "B1", "B2", "B3"]), one(evidence_ids=["T1", " T1"]), one(evidence_ids=["T1", "X9"]), one(evidence_ids=["X9"]), one(reason=None), one(reason=" "), one(reason=" x "), one(reason="x" * 800), one(reason="x" * 801),
+        {"rule_results": [archived]}, {"rule_results": [archived, archived]}, {"rule_results": [GOOD, {**GOOD, "action": "daily"}]}, {"rule_results": [GOOD, {**GOOD, "rule_id": "r2", "evidence_ids": ["X9"]}]}, many(1), many(2), many(3), many(64), many(65),
+        {"rule_results": [{**GOOD, "rule_id": "r2", "action": "daily", "reason": "b"}, {**GOOD, "reason": "a"}, {**GOOD, "rule_id": "r0", "reason": " c "}]}, {"rule_results": [{**GOOD, "rule_id": "r0", "reason": " c "}, archived, {**GOOD, "rule_id": "r2", "action": "daily"}]},
+    ]
+    rows = [(k, r if r is None or isinstance(r, str) else json.dumps(r)) for k, r in enumerate(responses)]
+    for rules, allowed in ((["r1"], D.ACTIONS), (["r1"], ("archive", "daily")), (["r0", "r1", "r2"], D.ACTIONS), ([f"r{i}" for i in range(64)], D.ACTIONS), ([f"r{i}" for i in range(65)], D.ACTIONS), ([], D.ACTIONS)):
+        known = [(r, list(allowed)) for r in rules]
+        df = spark.createDataFrame([(k, r, known, ["T1", "B1", "B2", "B3"]) for k, r in [*rows, (None, json.dumps(one()))]], "k long, raw string, expected array<struct<rule_id:string,allowed_actions:array<string>>>, segments array<string>")
+        told = D.read_responses(df, "k", "raw")
+        expected, segments = df.selectExpr("k", "inline(expected)"), df.selectExpr("k", "explode(segments) AS segment_id")
+        want = {r.k: r.asDict() for r in D.results(told, D.validate(told, expected, segments, "k"), "k").collect()}
+        got = [r.asDict() for r in D.response_results(df, "k", "raw", "expected", "segments").collect()]
+        assert len(got) == len(want) and {r["k"]: r for r in got} == want
+        assert bool(want) == (0 < len(rules) <= D.MOST_ASSESSMENTS) and (len(rules) != 64 or [*want] == [responses.index(many(64))])
+    none = df.withColumn("expected", F.lit(None).cast(df.schema["expected"].dataType)).withColumn("segments", F.lit(None).cast("array<string>"))
+    assert D.response_results(none, "k", "raw", "expected", "segments").count() == 0
+
+
+def test_a_response_is_grouped_once(spark, sf_dir):
+    plan = QUERIES["response_results"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1 and "Join" not in plan and "Sort" not in plan
+
+
+def test_tasks_of_bounded_rows(spark, monkeypatch):
+    df = spark.range(95).select((F.col("id") % 40).alias("k"), "id")
+    assert session.dealt(df, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(session, "DEALT", 10)
+    cut = session.dealt(df, "k").withColumn("p", F.spark_partition_id())
+    assert cut.rdd.getNumPartitions() == 10 and cut.count() == 95
+    assert cut.groupBy("k").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+    assert session.dealt(df.where("id < 0"), "k").count() == 0
