@@ -92,8 +92,8 @@ def response_results(responses: DataFrame, key: str, raw: str, expected: str, se
     def sound(a: Column) -> Column:
         unknown = F.size(F.array_except(a["evidence_ids"], ids))
         rule = F.get(F.filter(known, lambda e: e["rule_id"] == a["rule_id"]), F.lit(0))
-        acts = a["action"].isin(*ACTIONS)
-        return (_structure(acts, a["action"], a["evidence_ids"], F.trim(a["reason"]), unknown, rule.isNotNull(), rule["allowed_actions"]) == 0) & ((a["action"] == "archive") | (unknown == 0))
+        faults = _structure(a["action"].isin(*ACTIONS), a["action"], a["evidence_ids"], F.trim(a["reason"]), unknown)
+        return (faults == 0) & rule.isNotNull() & _may(rule["allowed_actions"], a["action"]) & ((a["action"] == "archive") | (unknown == 0))
 
     told = F.transform("_told", lambda a: a["rule_id"])
     every = (F.size(F.array_distinct(told)) == F.size(told)) & (F.size(F.array_except(F.transform(known, lambda e: e["rule_id"]), told)) == 0)
@@ -159,22 +159,26 @@ def validate(assessments: DataFrame, expected: DataFrame, segments: DataFrame, k
     segments. Conflict: rules told twice. The failure is the first class that has errors, in that order;
     without one the action is the strongest of the assessments.
     """
-    known = expected.select(key, "rule_id", "allowed_actions", F.lit(True).alias("_known"))
     acts, evidenced = F.col("action").isin(*ACTIONS), F.col("action") != "archive"
     refs = F.coalesce("evidence_ids", F.array().cast("array<string>"))
     reason = F.trim(F.coalesce("reason", F.lit("")))
-    rows = assessments.join(known, [key, "rule_id"], "left")
     found = segments.groupBy(key).agg(F.collect_set("segment_id").alias("_ids"))
-    rows = rows.join(found, key, "left")
+    rows = assessments.select(key, "rule_id", "action", "evidence_ids", "reason").join(found, key, "left")
     unknown = F.size(F.array_except(refs, F.coalesce("_ids", F.array().cast("array<string>"))))
-    n_structure = _structure(acts, F.col("action"), refs, reason, unknown, F.col("_known"), F.col("allowed_actions"))
-    judged = rows.select(key, "rule_id", "action", n_structure.alias("_s"), F.when(acts & evidenced, unknown).otherwise(0).cast("long").alias("_e"), acts.alias("_acts"))
-    by_rule = judged.groupBy(key, "rule_id").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"), F.count("*").alias("_n"), F.count_if("_acts").alias("_told"), F.max(rank_of(F.col("action"))).alias("_rank"))
-    both = by_rule.join(known.select(key, "rule_id", "_known"), [key, "rule_id"], "full")
-    missing = _yes(F.col("_known") & (F.coalesce("_told", F.lit(0)) == 0))
-    done = both.groupBy(key).agg(
-        F.sum(F.coalesce("_s", F.lit(0)) + missing).alias("_s"), F.coalesce(F.sum("_e"), F.lit(0)).alias("n_evidence"),
-        F.count_if(F.col("_told") > 1).alias("n_conflict"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.max("_rank").alias("_rank"),
+    faults = _structure(acts, F.col("action"), refs, reason, unknown)
+    judged = rows.select(key, "rule_id", faults.alias("_s"), F.when(acts & evidenced, unknown).otherwise(0).cast("long").alias("_e"), F.lit(1).alias("_n"), *[_yes(F.col("action") == a).alias(f"_{a}") for a in ACTIONS])
+    # Rules meet their assessments in one grouping, with what each allows as flags, so that neither side is sorted for a join.
+    rules = expected.select(key, "rule_id", F.lit(1).alias("_known"), *[_may(F.col("allowed_actions"), F.lit(a)).cast("int").alias(f"_may_{a}") for a in ACTIONS])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_s", "_e", "_n", "_known", *[f"_{a}" for a in ACTIONS])]
+    by_rule = judged.unionByName(rules, allowMissingColumns=True).groupBy(key, "rule_id").agg(*sums, *[F.max(f"_may_{a}").alias(f"_may_{a}") for a in ACTIONS])
+    apart = F.col(key).isNull() | F.col("rule_id").isNull()  # such a rule is told by no assessment
+    n_told = sum((F.col(f"_{a}") for a in ACTIONS[1:]), F.col(f"_{ACTIONS[0]}"))
+    wrong = [F.when(apart | (F.col("_known") == 0) | (F.col(f"_may_{a}") == 0), F.col(f"_{a}")).otherwise(0) for a in ACTIONS]
+    missing = F.when(apart, F.col("_known")).otherwise(_yes((F.col("_known") > 0) & (n_told == 0)))
+    rank = F.greatest(*[F.when(F.col(f"_{a}") > 0, k) for k, a in enumerate(ACTIONS, 1)])
+    done = by_rule.groupBy(key).agg(
+        F.sum(sum(wrong, F.col("_s")) + missing).alias("_s"), F.sum("_e").alias("n_evidence"),
+        F.count_if(n_told > 1).alias("n_conflict"), F.sum("_n").alias("_n"), F.max(rank).alias("_rank"),
     ).withColumn("n_structure", F.col("_s") + _yes(F.col("_n") > MOST_ASSESSMENTS))
     failure = F.when(F.col("n_structure") > 0, "invalid_output").when(F.col("n_evidence") > 0, "invalid_evidence").when(F.col("n_conflict") > 0, "conflict").otherwise("")
     action = F.when(failure == "", F.get(F.array(*[F.lit(a) for a in ACTIONS]), F.col("_rank").cast("int") - 1))
@@ -185,11 +189,14 @@ def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("long")
 
 
-def _structure(acts: Column, action: Column, refs: Column, reason: Column, unknown: Column, known: Column, allowed: Column) -> Column:
-    """Faults of form of one assessment: ``known`` and ``allowed`` tell of its rule, ``unknown`` counts references to no segment."""
+def _may(allowed: Column, action: Column) -> Column:
+    return F.coalesce(F.array_contains(allowed, action), F.lit(True))
+
+
+def _structure(acts: Column, action: Column, refs: Column, reason: Column, unknown: Column) -> Column:
+    """Faults of form of one assessment, but for what its rule allows; ``unknown`` counts references to no segment."""
     evidenced = action != "archive"
     return (
-        _yes(~acts | action.isNull()) + _yes(acts & F.coalesce(~known, F.lit(True))) + _yes(acts & known & ~F.array_contains(allowed, action))
-        + _yes(acts & evidenced & (F.size(refs) - unknown <= 0)) + _yes(acts & evidenced & (reason == "")) + _yes(acts & (F.length(reason) > MOST_REASON))
+        _yes(~acts | action.isNull()) + _yes(acts & evidenced & (F.size(refs) - unknown <= 0)) + _yes(acts & evidenced & (reason == "")) + _yes(acts & (F.length(reason) > MOST_REASON))
         + _yes(acts & evidenced & (F.size(refs) > MOST_REFS)) + _yes(acts & (F.size(refs) > F.size(F.array_distinct(refs)))) + _yes(acts & ~evidenced & ((F.size(refs) > 0) | (reason != "")))
     )

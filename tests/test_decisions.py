@@ -104,3 +104,15 @@ def test_tasks_of_bounded_rows(spark, monkeypatch):
     assert cut.rdd.getNumPartitions() == 10 and cut.count() == 95
     assert cut.groupBy("k").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
     assert session.dealt(df.where("id < 0"), "k").count() == 0
+
+
+def test_rules_meet_their_assessments_in_one_grouping(spark):
+    rows = [(1, "r1", "push", ["T1"], "a"), (1, None, "push", ["T1"], "a"), (2, "r1", "push", ["T1"], "a"), (2, "r1", "maybe", None, None), (3, "r9", "daily", ["T1", "X9"], "a"), (None, "r1", "push", ["T1"], "a"), (5, "r1", "push", ["T1"], "a"), (6, "r1", "push", ["T1"], "a")]
+    told = spark.createDataFrame(rows, "k long, rule_id string, action string, evidence_ids array<string>, reason string")
+    expected = spark.createDataFrame([(1, "r1", ["push"]), (1, None, ["push"]), (2, "r1", ["push"]), (4, "r1", ["push"]), (None, "r1", ["push"]), (5, "r1", ["daily"]), (6, "r1", None)], "k long, rule_id string, allowed_actions array<string>")
+    verdict = D.validate(told, expected, spark.createDataFrame(SEGMENTS, "k long, segment_id string"), "k")
+    # A rule without a name, or of no response, is missing and is unknown to what names it; null allows any action.
+    assert {r.k: (r.n_structure, r.n_evidence, r.n_conflict, r.failure) for r in verdict.collect()} == {
+        1: (2, 0, 0, "invalid_output"), 2: (1, 0, 0, "invalid_output"), 3: (1, 1, 0, "invalid_output"), 4: (1, 0, 0, "invalid_output"), None: (3, 1, 0, "invalid_output"), 5: (1, 0, 0, "invalid_output"), 6: (0, 0, 0, ""),
+    }
+    assert verdict._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # evidence alone
