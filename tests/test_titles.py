@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+import pytest
+
 from quillstream.operators import titles
 
 
@@ -85,3 +88,27 @@ def test_within_a_span_in_many_tiles(spark, monkeypatch):
     got = titles.near_duplicates_within(spark.createDataFrame(rows, "doc_id long, core string, t long"), "doc_id", "core", "t", 24).where("relation = 'similar'").collect()
     want = {(i, j) for i, x, t in rows for j, y, u in rows if i < j and x != y and abs(t - u) <= 24 and alike(x, y)}
     assert want and len(got) == len(want) and {(r[0], r[1]) for r in got} == want
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_a_cell_of_wide_tiles_is_compared_in_parts(monkeypatch, alone):
+    """Every pair of a cell once, where a tile takes many products; also texts that both tiles have, parts with few bigrams of their own, and single characters."""
+    monkeypatch.setattr(titles, "TILE_ROWS", 8)
+    monkeypatch.setattr(titles, "TILE_CHARS", 300)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("ABCDEF") for _ in range(rng.choice((1, 2, 7, 8, 30, 90))))
+    cores = [word() for _ in range(60)]
+    cores += [x[3:] + "ABABAB" for x in cores[:9]] + [x * 3 for x in cores[:9]] + cores[:4]
+    second = [not alone and k % 3 == 0 for k in range(len(cores))]
+    rows = pa.table({"a": [0] * len(cores), "b": [0 if alone else 1] * len(cores), "second": second, "id": range(len(cores)), "core": cores, "t": range(len(cores))})
+    want = sorted((i, j) for i, x in enumerate(cores) for j, y in enumerate(cores) if (i < j if alone else second[i] < second[j]) and x != y and alike(x, y))
+    got = [tuple(r.values()) for b in titles._met(iter(rows.to_batches())) for r in b.to_pylist()]
+    assert sorted((x, y) for x, _, y, _ in got) == want and all((x, y) == (t, u) for x, t, y, u in got)
+    plain = [tuple(r.values()) for b in titles._met_ever(iter(rows.drop_columns("t").to_batches())) for r in b.to_pylist()]
+    assert sorted(plain) == want
+
+
+def test_texts_go_to_few_cells():
+    """340,000 titles of 400 characters (1 GB of documents) went to 333 cells each; few titles are still dealt to many."""
+    assert titles._whole_tiles(340_000, 136_000_000) <= 42
+    assert [titles._whole_tiles(n, 400 * n) for n in (0, 1, 1024, 1025, 34_000)] == [1, 1, 1, 2, 32]
