@@ -32,43 +32,96 @@ def plain_title(title: Column) -> Column:
     return F.lower(F.regexp_replace(F.replace(T.text_of(title), F.lit("Ａ"), F.lit("A")), r"(?U)\s+", ""))
 
 
-def _pieces(title: str, size: Column) -> Column:
-    """The distinct pieces of ``size`` characters of a title, as numbers."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(F.col(title), i, size))))
-
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = "`id` bigint, `size` int, `n` int, `p` bigint"
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, size, n, p) of titles: the pieces of the least hash in each window of a size, for every size up to a title's length.
+#: Bits of the filter of sought anchors: for each of them, and at most (16 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 27
+
+
+def _mixed(hashed: np.ndarray) -> np.ndarray:
+    return (hashed ^ (hashed >> np.uint64(29))) * _ODD
+
+
+def _found(rows: np.ndarray, hashed: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of valid places; a hash that a row repeats in the next place once."""
+    rows, hashed = rows[: len(valid)][valid], hashed[valid]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashed[1:] != hashed[:-1])
+    return rows[new], hashed[new]
+
+
+def _sized(titles: list[str], sizes: set[int] | None, own: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, rows, hashes) of titles laid end to end: all pieces of the sizes 1 to 4, and anchors of the sizes from 8 on; ``own`` has those alone that a title is sought by."""
+    lengths = np.array([len(x) for x in titles], np.int64)
+    hashed = _mixed(np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32).astype(np.uint64) * _ODD)
+    rows = np.repeat(np.arange(len(titles)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(rows))  # characters from a place to its title's end
+    asked = lambda size: sizes is None or size in sizes
+    short = np.where(lengths < 2 * PIECE, np.minimum(lengths, PIECE), 0)
+    single, half = hashed, 1  # hashes of pieces of one and of half characters; two of these make the next
+    while len(rows):
+        if half <= PIECE:
+            for size, made in ((half, hashed), *([(3, _mixed(hashed[:-2] * _ODD + single[2:]))] if half == 2 and len(rows) > 2 else [])):
+                if asked(size):
+                    valid = left[: len(made)] >= size
+                    yield size, *_found(rows, made, valid & (short[rows[: len(made)]] == size) if own else valid)
+        if half >= PIECE:
+            # Titles under the size are done with.
+            kept = lengths[rows] >= 2 * half
+            if not kept.all():
+                hashed, rows, left = hashed[kept], rows[kept], left[kept]
+            if asked(2 * half) and len(rows):
+                least, span = hashed, 1
+                while span < half:
+                    least, span = np.minimum(least[:-span], least[span:]), 2 * span
+                least = np.minimum(least[:-1], least[1:])
+                valid = left[: len(least)] >= 2 * half
+                yield 2 * half, *_found(rows, least, valid & (lengths[rows[: len(least)]] < 4 * half) if own else valid)
+        if len(rows) <= half:
+            break
+        # Places at the end of the last title are not valid for pieces of that length.
+        hashed = np.append(_mixed(hashed[:-half] * _ODD + hashed[half:]), hashed[-half:])
+        half *= 2
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], sizes: set[int] | None = None, own: bool = False, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, size, n, p) of titles (id, title, group's hash): the pieces of the least hash in each window of a size, for every size up to a title's length.
 
     Of the size s, pieces have s / 2 characters and windows s / 2 + 1 pieces, so a window is s characters. A title that
-    has a part of s characters or more has all windows of that part, and so all its anchors of that size.
+    has a part of s characters or more has all windows of that part, and so all its anchors of that size. Sizes under 8 are those of
+    pieces, of which all are given. ``p`` tells the group, the size and the piece; ``wanted`` is a filter of it that lets too much through.
     """
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            ids, sizes, lengths, found = [], [], [], []
-            for key, title in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                hashed = np.frombuffer(title.encode("utf-32-le"), np.uint32).astype(np.uint64) * _ODD
-                half = 1  # characters of the pieces whose hashes are at hand; two of them make the next
-                while 2 * half <= len(title):
-                    if half >= PIECE:
-                        least, span = hashed, 1
-                        while span < half:
-                            least, span = np.minimum(least[:-span], least[span:]), 2 * span
-                        told = np.unique(np.minimum(least[:-1], least[1:])).view(np.int64)
-                        ids.append(np.full(len(told), key, np.int64))
-                        sizes.append(np.full(len(told), 2 * half, np.int32))
-                        lengths.append(np.full(len(told), len(title), np.int32))
-                        found.append(told)
-                    hashed = hashed[:-half] * _ODD + hashed[half:]
-                    hashed = (hashed ^ (hashed >> np.uint64(29))) * _ODD
-                    half *= 2
-            columns = [pa.array(np.concatenate(c) if c else np.empty(0, t)) for c, t in ((ids, np.int64), (sizes, np.int32), (lengths, np.int32), (found, np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "n", "p"])
+            ids, titles = part.column(0).to_numpy(), part.column(1).to_pylist()
+            groups = part.column(2).to_numpy().astype(np.int64).view(np.uint64) * _ODD if part.num_columns > 2 else np.zeros(len(ids), np.uint64)
+            lengths = np.array([len(x) for x in titles], np.int32)
+            told = []
+            for size, rows, hashed in _sized(titles, sizes, own):
+                p = _mixed(_mixed(hashed + groups[rows]) + np.uint64(size))
+                if wanted is not None:
+                    place = p >> np.uint64(65 - len(wanted).bit_length() - 3)
+                    there = (wanted[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    rows, p = rows[there], p[there]
+                order = np.lexsort((p, rows))
+                rows, p = _found(rows[order], p[order], np.ones(len(p), bool))
+                told.append((ids[rows], np.full(len(rows), size, np.int32), lengths[rows], p.view(np.int64)))
+            columns = [np.concatenate(c) for c in zip(*told, strict=True)] or [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "size", "n", "p"])
+
+
+def _filter(sought: DataFrame) -> tuple[set[int], np.ndarray]:
+    """The sizes of sought anchors, and bits that are set for their ``p``: some bits for each, ``MOST_BITS`` at most, so that a full one only lets more through."""
+    counts = {r["size"]: r["count"] for r in sought.groupBy("size").count().collect()}  # one row for each power of two
+    bits = min(MOST_BITS, max(1 << 15, 1 << (FILTER_BITS * sum(counts.values())).bit_length()))
+    place = F.shiftrightunsigned("p", 65 - bits.bit_length()) + 1
+    made = np.zeros(bits // 8, np.uint8)
+    parts = sought.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    for r in parts.collect():
+        made[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return set(counts), made
 
 
 def containing_pairs(titles: DataFrame, group: str, title: str) -> DataFrame:
@@ -85,21 +138,16 @@ def containing_pairs(titles: DataFrame, group: str, title: str) -> DataFrame:
 
 def _id_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): ids of the rows (id, g, x), whose titles are distinct in a group, of which a's title is a proper part of b's."""
-    short = rows.where(F.length("x") < 2 * PIECE).withColumn("size", F.least(F.length("x"), F.lit(PIECE)))
-    group = F.xxhash64("g").alias("h")
-    sought = short.select("id", group, "size", F.length("x").alias("n"), F.explode(_pieces("x", F.col("size"))).alias("p"))
-    # Longer titles have all pieces of the sizes that short ones are sought by; four sizes at most, and those alone that are sought.
-    wanted = sought.select("h", "size", "p").distinct()
-    sizes = short.select("size").distinct()
-    spread = rows.join(F.broadcast(sizes), F.length("x") > F.col("size"))  # four rows at most
-    pieces = spread.select("id", group, "size", F.length("x").alias("n"), F.explode(_pieces("x", F.col("size"))).alias("p")).join(wanted, ["h", "size", "p"], "left_semi")
-    anchors = rows.select("id", "x").mapInArrow(_anchors, ANCHORS).join(rows.select("id", group), "id")
-    held = checkpointed(pieces.unionByName(anchors.select("id", "h", "size", "n", "p")))
-    # Of a title's anchors only those of its largest size are sought: the size s with s <= n < 2 s.
-    own = sought.unionByName(held.where((F.col("size") >= 2 * PIECE) & (F.col("n") < 2 * F.col("size"))).select("id", "h", "size", "n", "p"))
-    rarity = held.groupBy("h", "size", "p").agg(F.count("*").alias("df"))
-    rare = own.join(rarity, ["h", "size", "p"], "left").groupBy("id", "h", "size", "n").agg(F.min_by("p", F.struct(F.coalesce("df", F.lit(0)), "p")).alias("p"), F.min(F.coalesce("df", F.lit(0))).alias("df")).where("df > 0")
-    met = rare.select("h", "size", "p", F.col("id").alias("a"), F.col("n").alias("n1")).join(held.select("h", "size", "p", F.col("id").alias("b"), F.col("n").alias("n2")), ["h", "size", "p"]).where("n2 > n1").select("a", "b").distinct()
+    keyed = rows.select("id", "x", F.xxhash64("g").alias("h"))
+    # A title under 8 characters is sought by a piece of up to 4, one of s <= n < 2 s by an anchor of the size s; only what is sought of anything travels.
+    sought = checkpointed(keyed.mapInArrow(lambda batches: _anchors(batches, own=True), ANCHORS))
+    sizes, bits = _filter(sought)
+    wanted = rows.sparkSession.sparkContext.broadcast(bits)
+    held = checkpointed(keyed.mapInArrow(lambda batches: _anchors(batches, sizes, wanted=wanted.value), ANCHORS).select("id", "n", "p"))
+    rarity = held.groupBy("p").agg(F.count("*").alias("df")).where("df > 1")
+    # Where one of a title's anchors is its own alone, no other title has the whole.
+    common = sought.join(rarity, "p", "left").groupBy("id").agg(F.first("n").alias("n"), F.min(F.coalesce("df", F.lit(1))).alias("df"), F.min_by("p", F.struct("df", "p")).alias("p")).where("df > 1")
+    met = common.select("p", F.col("id").alias("a"), F.col("n").alias("n1")).join(held.select("p", F.col("id").alias("b"), F.col("n").alias("n2")), "p").where("n2 > n1").select("a", "b").distinct()
     of = lambda c, k: rows.select(F.col("id").alias(c), F.col("g").alias(f"g{k}"), F.col("x").alias(f"x{k}"))
     return met.join(of("a", 1), "a").join(of("b", 2), "b").where((F.col("g1") == F.col("g2")) & F.col("x2").contains(F.col("x1"))).select("a", "b")
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -52,6 +53,31 @@ def test_parts_of_long_titles_and_few_pieces(spark):
     assert sum(b.num_rows for b in A._anchors(iter([batch]))) < 2 * 2000
 
 
+def test_short_titles_in_a_very_long_one(spark):
+    """Pieces of a title cost its length; they were cut out one by one from the title's start, which cost its square: minutes for 150,000 characters."""
+    rng = random.Random(17)
+    long = "".join(rng.choice("abcdefgh漢") for _ in range(150_000))
+    xs = [long, "b", "h漢", "abz", long[9:12], long[70_000:70_004], long[140_000:140_007], long[99:108], long[-21:], "z" + long[50:60], long[1:], "z"]
+    began = time.monotonic()
+    got = {(r.part, r.whole) for r in A.containing_pairs(spark.createDataFrame([("g", x) for x in xs], "g string, t string"), "g", "t").collect()}
+    assert got == {(x, y) for x in xs for y in xs if x != y and x in y}
+    assert time.monotonic() - began < 60
+
+
+def test_only_sought_anchors_are_told(spark):
+    """A long title without a part among the titles tells what it is sought by itself and next to nothing else; all its anchors, as many as its characters, were told before."""
+    rng = random.Random(19)
+    xs = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (9, 20, 50, 3000)]
+    rows = spark.createDataFrame(list(enumerate(xs)), "id long, x string").withColumn("h", F.lit(1).cast("long"))
+    sought = rows.mapInArrow(lambda batches: A._anchors(batches, own=True), A.ANCHORS)
+    sizes, bits = A._filter(sought)
+    assert sizes == {8, 16, 32, 2048}
+    held = rows.mapInArrow(lambda batches: A._anchors(batches, sizes, wanted=bits), A.ANCHORS).collect()
+    own = {tuple(r) for r in sought.collect()}
+    assert own <= {tuple(r) for r in held} and len(held) < len(own) + 30
+    assert rows.mapInArrow(lambda batches: A._anchors(batches), A.ANCHORS).count() > 1500
+
+
 def test_chains_alternate_and_no_rows(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(20, 22), (21, 22), (22, 23)], "earlier long, later long")
     nodes = spark.createDataFrame([(k,) for k in [*range(13), 20, 21, 22, 23, 99]], "node long")
