@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ def plain_title(title: Column) -> Column:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = "`id` bigint, `size` int, `n` int, `p` bigint"
+#: Characters of titles that are hashed together at most, besides one title that goes beyond them.
+PART_CHARS = 1 << 18
 #: Bits of the filter of sought anchors: for each of them, and at most (16 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 
@@ -92,8 +95,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], sizes: set[int] | None = None, o
     pieces, of which all are given. ``p`` tells the group, the size and the piece; ``wanted`` is a filter of it that lets too much through.
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        # Some titles at a time, and few long ones.
+        ends = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(np.arange(len(ends)) // 256 + ends // PART_CHARS)) + 1
+        for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            part = batch.slice(at, end - at)
             ids, titles = part.column(0).to_numpy(), part.column(1).to_pylist()
             groups = part.column(2).to_numpy().astype(np.int64).view(np.uint64) * _ODD if part.num_columns > 2 else np.zeros(len(ids), np.uint64)
             lengths = np.array([len(x) for x in titles], np.int32)

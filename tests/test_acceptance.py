@@ -78,6 +78,19 @@ def test_only_sought_anchors_are_told(spark):
     assert rows.mapInArrow(lambda batches: A._anchors(batches), A.ANCHORS).count() > 1500
 
 
+def test_titles_are_hashed_a_few_long_ones_at_a_time(monkeypatch):
+    rng = random.Random(23)
+    xs = ["".join(rng.choice("abcd") for _ in range(rng.choice((1, 3, 9, 400)))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(xs)], names=["id", "x"])
+    told = lambda: [r for b in A._anchors(iter([batch])) for r in b.to_pylist()]
+    once, seen, sized = told(), [], A._sized
+    monkeypatch.setattr(A, "PART_CHARS", 1000)
+    monkeypatch.setattr(A, "_sized", lambda titles, *a: seen.append(sum(map(len, titles))) or sized(titles, *a))
+    key = lambda r: tuple(r.values())
+    assert sorted(map(key, told())) == sorted(map(key, once)) and max(seen) < 1000 + 400 and sum(seen) == sum(map(len, xs))
+    assert list(A._anchors(iter([batch.slice(0, 0)]))) == []
+
+
 def test_chains_alternate_and_no_rows(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(20, 22), (21, 22), (22, 23)], "earlier long, later long")
     nodes = spark.createDataFrame([(k,) for k in [*range(13), 20, 21, 22, 23, 99]], "node long")
